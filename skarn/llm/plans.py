@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skarn.llm import duplicates, packing, tokens, vectors
+from skarn.llm import duplicates, packing, pii, tokens, vectors
 from skarn.session import table
 
 #: table, key column, column that tells the current row
@@ -75,7 +75,17 @@ def p9_waste(spark: SparkSession, d: str) -> DataFrame:
     return packed.withColumn("unused_share", F.round(1 - F.col("used") / (F.col("containers") * cap), 5))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_knn, p6_found, p6_classes, p8_ids, p8_round_trip, p9_pack, p9_waste)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_cases(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "name_lexicon"))
+
+
+def p10_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.mask(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "name_lexicon"))
+
+
+QUERIES = {
+    f.__name__: f for f in (p2_found, p2_knn, p6_found, p6_classes, p8_ids, p8_round_trip, p9_pack, p9_waste, p10_found, p10_masked)
+}
 
 
 def _p2_sql(name: str, key: str, updated: str | None) -> str:
