@@ -6,13 +6,26 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skarn.llm import duplicates, packing, pii, tokens, vectors
+from skarn.llm import code_docs, duplicates, packing, pii, tokens, vectors
 from skarn.session import table
 
 #: table, key column, column that tells the current row
 VECTOR_TABLES = (("mem_vectors", "observation_id", "created_at"), ("doc_vectors", "section_id", "created_at"), ("kg_nodes", "node_id", None))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return code_docs.stored_pairs(table(spark, d, "nodes")).select("id")
+
+
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return code_docs.stored_pairs(table(spark, d, "nodes"))
+
+
+def p1_source_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs found in the source text and code fences of documents."""
+    return code_docs.source_pairs(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of keys with cosine of at least 0.9, per vector table."""
     parts = []
@@ -84,7 +97,7 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p2_found, p2_knn, p6_found, p6_classes, p8_ids, p8_round_trip, p9_pack, p9_waste, p10_found, p10_masked)
+    f.__name__: f for f in (p1_found, p1_pairs, p1_source_pairs, p2_found, p2_knn, p6_found, p6_classes, p8_ids, p8_round_trip, p9_pack, p9_waste, p10_found, p10_masked)
 }
 
 
