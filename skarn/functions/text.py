@@ -58,7 +58,7 @@ def half_up(c: Column, digits: int = 0) -> Column:
 
 def identifiers(c: Column) -> Column:
     """Distinct identifiers in text: camelCase, PascalCase, snake_case and SCREAMING_CASE words, sorted."""
-    found = F.regexp_extract_all(c, F.lit(r"\b((?:[a-z]+[a-z0-9]*(?:[A-Z][a-z0-9]*)+)|(?:[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+)|(?:[a-z][a-z0-9]*(?:_[a-z0-9]+)+)|(?:[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+))\b"), F.lit(1))
+    found = F.regexp_extract_all(c, F.lit(r"(?<![A-Za-z0-9_])((?:[a-z]+[a-z0-9]*(?:[A-Z][a-z0-9]*)+)|(?:[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+)|(?:[a-z][a-z0-9]*(?:_[a-z0-9]+)+)|(?:[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+))(?![A-Za-z0-9_])"), F.lit(1))
     return F.array_sort(F.array_distinct(found))
 
 

@@ -1,0 +1,182 @@
+"""Queries of security, architecture, exports and streaming forms, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from skarn.operators import logs, security
+from skarn.plans.graphs import G, _views
+from skarn.session import table
+from skarn.sources import readers, sinks
+from skarn.streaming import windows
+
+Q: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query("""with f as (select p_brand brand, p_type kind, case when l_returnflag = 'R' then 'affected' when l_returnflag = 'A' then 'under_investigation' else 'not_affected' end verdict from lineitem join part on p_partkey = l_partkey where l_quantity > 45)
+select brand, kind, case max(case verdict when 'affected' then 3 when 'under_investigation' then 2 else 1 end) when 3 then 'affected' when 2 then 'under_investigation' else 'not_affected' end verdict, count(*) findings from f group by all""")
+def v_worst_verdict(spark: SparkSession, d: str) -> DataFrame:
+    j = table(spark, d, "lineitem").where("l_quantity > 45").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    f = j.selectExpr("p_brand brand", "p_type kind", "case when l_returnflag = 'R' then 'affected' when l_returnflag = 'A' then 'under_investigation' else 'not_affected' end verdict")
+    return security.worst_verdict(f, ["brand", "kind"])
+
+
+@query("""with r as (select string_split(replace(regexp_extract(text, '@[a-z]+/[a-z]+@\\d+\\.\\d+\\.\\d+'), '@', '|'), '|') p, source from documents where text is not null and regexp_matches(text, '@[a-z]+/[a-z]+@\\d+\\.\\d+\\.\\d+'))
+select 'npm' ecosystem, p[2] as name, arg_max(p[3], list_transform(string_split(p[3], '.'), lambda x: x::int)) as version, coalesce(list_sort(list(distinct source) filter (where source is not null)), [])::varchar manifests from r group by 2""")
+def v_newest_dependency(spark, d):
+    spec = r"@([a-z]+/[a-z]+)@(\d+\.\d+\.\d+)"
+    docs = table(spark, d, "documents").where(F.col("text").rlike(spec))
+    deps = docs.select(F.lit("npm").alias("ecosystem"), F.regexp_extract("text", spec, 1).alias("name"), F.regexp_extract("text", spec, 2).alias("version"), F.col("source").alias("manifest"))
+    return security.newest(deps).withColumn("manifests", F.concat(F.lit("["), F.array_join("manifests", ", "), F.lit("]")))
+
+
+@query("select distinct n_name as name, k.v as \"like\", levenshtein(n_name, k.v)::int as distance from nation, (select unnest(['NATION_01', 'NATION_12', 'NATION', 'CHINA', 'INDIA']) v) k where levenshtein(n_name, k.v) between 1 and 2")
+def v_lookalikes(spark, d):
+    return security.lookalikes(table(spark, d, "nation").select(F.col("n_name").alias("name")), ["NATION_01", "NATION_12", "NATION", "CHINA", "INDIA"])
+
+
+@query("select p_partkey, case when regexp_matches(p_type, '(?i)^STANDARD') then 'deny' when regexp_matches(p_type, '(?i)(TIN|BRASS)$') then 'warn' else 'allow' end ruling from part")
+def v_wildcard_policy(spark, d):
+    return security.by_wildcards(table(spark, d, "part"), "p_type", [("standard*", "deny"), ("*tin", "warn"), ("*brass", "warn")], "allow").select("p_partkey", "ruling")
+
+
+@query("""with b as (select p_partkey k, p_brand v from part where p_partkey < 800), n as (select p_partkey k, case when p_partkey % 10 = 0 then 'x' else p_brand end v from part where p_partkey between 300 and 1200)
+select coalesce(b.k, n.k) k, case when b.k is null then 'NEW' when n.k is null then 'RESOLVED' when b.v <> n.v then 'CHANGED' else 'UNCHANGED' end state from b full join n using (k)""")
+def v_baseline_diff(spark, d):
+    p = table(spark, d, "part")
+    return security.baseline_diff(p.where("p_partkey < 800").selectExpr("p_partkey k", "p_brand v"), p.where("p_partkey between 300 and 1200").selectExpr("p_partkey k", "case when p_partkey % 10 = 0 then 'x' else p_brand end v"), ["k"], "v")
+
+
+@query("""select distinct file_path, case when regexp_matches(file_path, '^src/(auth|session)/') then 'access' when regexp_matches(file_path, '^src/(storage|cache|ledger)/') then 'data' when regexp_matches(file_path, '\\.ts$') then 'frontend' else 'other' end layer,
+case when regexp_matches(file_path, '^src/(auth|session)/') then 0.9 when regexp_matches(file_path, '^src/(storage|cache|ledger)/') then 0.8 when regexp_matches(file_path, '\\.ts$') then 0.4 else 0.1 end::double confidence from nodes where file_path is not null""")
+def c_layers(spark, d):
+    rules = [("other", "**", 0.1), ("frontend", "**/*.ts", 0.4), ("data", "src/storage/**", 0.8), ("data", "src/cache/**", 0.8), ("data", "src/ledger/**", 0.8), ("access", "src/auth/**", 0.9), ("access", "src/session/**", 0.9)]
+    return security.layers(table(spark, d, "nodes").where("file_path is not null").select("file_path").distinct(), rules)
+
+
+@query("""with s as (select distinct file_path spec from nodes where file_path is not null), k as (select distinct regexp_extract(file_path, '^[^/]+/[^/]+') as name from nodes where file_path is not null and file_path like '%/%')
+select spec, arg_max(name, length(name)) as name from s join k on spec = name or starts_with(spec, name || '/') group by 1""")
+def v_import_dependencies(spark, d):
+    n = table(spark, d, "nodes").where("file_path is not null")
+    packages = n.where("file_path like '%/%'").select(F.regexp_extract("file_path", "^[^/]+/[^/]+", 0).alias("name")).distinct()
+    return security.import_dependencies(n.select(F.col("file_path").alias("spec")), packages)
+
+
+@query()
+def v_secrets(spark, d):
+    return security.secrets(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("with recursive " + G + """routes as (select id seed from nodes_x where kind = 'route'), w as (select seed, seed id, 0 hop from routes union select w.seed, e.target, w.hop + 1 from w join edges_g e on e.source = w.id where e.kind in ('calls', 'references') and w.hop < 3),
+m as (select seed, id, min(hop) hop from w group by all) select seed, count(*) filter (where id like 's:%') suppliers, min(hop) filter (where id like 's:%') nearest from m group by 1""")
+def v_attack_surface(spark, d):
+    """Per route, what it reaches and in how many hops: plain SQL recursion would list paths, levels list nodes."""
+    from skarn.operators.graph import multi_bfs
+
+    n, e = _views(spark, d)
+    r = multi_bfs(e, n.where("kind = 'route'"), 3, ["calls", "references"])
+    return r.groupBy("seed").agg(F.count_if(F.col("id").startswith("s:")).alias("suppliers"), F.min(F.when(F.col("id").startswith("s:"), F.col("depth"))).alias("nearest"))
+
+
+@query("select p_partkey % 50 family, count(*) commands, sum(p_size * 100)::bigint original, sum(p_size * 37)::bigint compressed, floor((1 - sum(p_size * 37) / sum(p_size * 100)) * 100 + 0.5)::bigint saved_percent from part group by 1")
+def a_savings(spark, d):
+    r = table(spark, d, "part").selectExpr("concat(p_partkey % 50, ':', p_name) command", "p_size * 100 original", "p_size * 37 compressed")
+    return logs.savings(r).withColumn("family", F.col("family").cast("bigint"))
+
+
+@query("select event_id, sum(value) over (partition by user_id order by ts, event_id rows unbounded preceding) > 2000 over_budget from events")
+def c_budget(spark, d):
+    e = table(spark, d, "events").selectExpr("user_id session_id", "ts at", "event_id id", "value tokens")
+    return logs.budget(e, 2000, 1000, 2000).select(F.col("id").alias("event_id"), (F.col("used") > 2000).alias("over_budget"))
+
+
+@query("with recursive " + G + "x as (select 1 part, count(*) n from nodes_x union all select 2, count(*) from edges_g union all select 0, 1 union all select 3, 1) select * from x")
+def k_graphml(spark, d):
+    n, e = _views(spark, d)
+    return sinks.graphml(n, e).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("with recursive " + G + "x as (select 'CREATE' verb, count(*) n from nodes_x union all select 'MATCH', count(*) from edges_g) select * from x")
+def k_cypher(spark, d):
+    n, e = _views(spark, d)
+    return sinks.cypher(n, e).groupBy(F.regexp_extract("value", r"^(\w+)", 1).alias("verb")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def k_notes(spark, d):
+    n, e = _views(spark, d)
+    return sinks.notes(n, e)
+
+
+@query("select 'pkg' || p_brand ecosystem, p_name as name, p_size || '.0.0' as version from part")
+def k_sbom_round_trip(spark, d):
+    deps = table(spark, d, "part").selectExpr("concat('pkg', p_brand) ecosystem", "p_name name", "concat(p_size, '.0.0') version")
+    return sinks.from_components(sinks.components(deps))
+
+
+_LANGS = "case regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1) when 'ts' then 'typescript' when 'py' then 'python' when 'go' then 'go' when 'rs' then 'rust' when 'java' then 'java' when 'rb' then 'ruby' when 'js' then 'javascript' when 'md' then 'unknown' else 'unknown' end"
+
+
+@query(f"select {_LANGS} lang, count(distinct file_path) files from nodes where file_path is not null group by 1")
+def s17_language(spark, d):
+    return table(spark, d, "nodes").where("file_path is not null").groupBy(readers.language(F.col("file_path")).alias("lang")).agg(F.count_distinct("file_path").alias("files"))
+
+
+# -- streaming forms ------------------------------------------------------------------------------------------------
+@query("select strftime(date_trunc('day', ts), '%Y-%m-%d') window_day, event_type, count(*) n, round(sum(value), 2) total from events group by all")
+def z_tumbling(spark, d):
+    """A stream over the events' file, drained; a far watermark keeps every row."""
+    s = windows.tumbling(windows.stream_table(spark, d, "events"), late="3650 days")
+    out = windows.drain(s, "complete")
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("window_day"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("select user_id, ts::varchar session_start, 1::bigint n from events where false")
+def z_sessions_empty(spark, d):
+    """An empty stream has no sessions."""
+    return windows.started_sessions_batch(table(spark, d, "events").where("false")).select("user_id", F.col("session_start").cast("string").alias("session_start"), "n")
+
+
+_FOLD = """with recursive e as (select user_id, ts, row_number() over (partition by user_id order by ts) k from events),
+w as (select user_id, k, ts, ts s from e where k = 1 union all select e.user_id, e.k, e.ts, case when epoch_us(e.ts) - epoch_us(w.s) > 7200000000 then e.ts else w.s end from w join e on e.user_id = w.user_id and e.k = w.k + 1)
+select user_id, strftime(s, '%Y-%m-%d %H:%M:%S') session_start, count(*) n from w group by all"""
+
+
+@query(_FOLD)
+def z_started_sessions(spark, d):
+    """Sessions reused by their start time, through the stateful stream; the greatest count of a session is its last."""
+    out = windows.drain(windows.started_sessions(windows.stream_table(spark, d, "events").select("user_id", "ts")), "update")
+    return out.groupBy("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start")).agg(F.max("n").alias("n"))
+
+
+@query(_FOLD)
+def z_started_sessions_batch(spark, d):
+    s = windows.started_sessions_batch(table(spark, d, "events"))
+    return s.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")
+
+
+@query("""with g as (select user_id, ts, case when epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts)) < 7200000000 then 0 else 1 end b from events), s as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) k from g)
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') started, count(*) n from s group by user_id, k""")
+def z_gap_sessions(spark, d):
+    """Native extension: sessions that end after a pause."""
+    out = windows.gap_sessions(windows.with_zone(table(spark, d, "events")))
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("started"), "n")
+
+
+@query("select distinct user_id, event_type from events")
+def z_dedup(spark, d):
+    return windows.drain(windows.once(windows.stream_table(spark, d, "events").select("user_id", "event_type"), ["user_id", "event_type"]))
+
+
+QUERIES = Q
