@@ -21,8 +21,8 @@ PLAIN = r"[^\p{L}\p{N}]+"
 
 
 def letters(c: Column) -> Column:
-    """Letters and digits in order, in one letter case (upper, then lower: so that ß and SS are equal, too)."""
-    return F.translate(F.lower(F.upper(F.regexp_replace(c, PLAIN, ""))), "ς", "σ")
+    """Letters and digits in order, in one letter case; ß counts as the SS it becomes in capitals."""
+    return F.replace(F.translate(F.lower(F.upper(F.regexp_replace(c, PLAIN, ""))), "ς", "σ"), F.lit("ß"), F.lit("ss"))
 
 
 def fields(c: Column) -> Column:

@@ -115,7 +115,7 @@ def _p2_with(name: str, key: str, updated: str | None) -> str:
 
 
 _P6_FIELD = duplicates.FIELD.replace("'", "''").replace("\\A", "^")
-_P6_LETTERS = "translate(lower(upper(regexp_replace({}, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))), 'ς', 'σ')"
+_P6_LETTERS = "replace(translate(lower(upper(regexp_replace({}, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))), 'ς', 'σ'), 'ß', 'ss')"
 
 
 def _letters(x: str) -> str:

@@ -229,7 +229,7 @@ def _pairs_fn(centroids, dim: int, least: float):
             keep = (ids[a] < ids[b]) if same else (ids[a] != ids[b])
             a, b = a[keep], b[keep]
             exact = np.einsum("ij,ij->i", x[a].astype(np.float64), x[b].astype(np.float64))
-            ok = exact >= least - 1e-6
+            ok = exact >= least - 1e-7  # rounding of the packed units
             out_a.append(np.minimum(ids[a[ok]], ids[b[ok]]))
             out_b.append(np.maximum(ids[a[ok]], ids[b[ok]]))
             out_s.append(exact[ok])
