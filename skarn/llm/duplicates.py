@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skarn.skew import salted_join
+from skarn.session import cut
+from skarn.skew import HOT_SHARE, salted_join
 
 _WHITE = r"[\s\p{Z}]"
 _QUOTE = r"[\"'“”«»‘’„*`]"
@@ -70,11 +71,15 @@ def members(df: DataFrame, id: str, content: str) -> DataFrame:
     other; repeated rows count once; other columns are ignored. A set of any size is written as its members, never as
     pairs, and the rows of a content with very many copies are spread over tasks.
     """
-    distinct = survivors(df, id, content)
+    # Written once: the distinct contents are read three times below, the raw rows only once more, at the end.
+    distinct = cut(survivors(df, id, content), "survivors")
     texts = _by_text(distinct)
     keep = texts.groupBy("canonical").agg(F.min("low").alias("keep_id"), F.max("high").alias("last")).where("keep_id < last").drop("last")
     # The canonical text leads from the kept record to spellings, the spelling's digest to the rows.
     of_text = texts.select("canonical", digest(F.col("plain")).alias("text")).join(keep, "canonical").select("text", "keep_id")
     spelled = distinct.select("raw", digest(F.col("plain")).alias("text")).join(of_text, "text").select("raw", "keep_id")
     rows = df.select(F.col(id).alias("id"), digest(F.col(content)).alias("raw")).where("id is not null and raw is not null")
-    return salted_join(rows, spelled, "raw", "inner").where("id <> keep_id").select("keep_id", "id").distinct()
+    # The counts of the first collapse tell which contents are hot: at most 1 / HOT_SHARE of them.
+    total = F.broadcast(distinct.agg(F.sum("copies").alias("total")))
+    hot = distinct.join(total, F.col("copies") >= F.col("total") * F.lit(HOT_SHARE)).select(F.col("raw").alias("hot_key"))
+    return salted_join(rows, spelled, "raw", "inner", hot=hot).where("id <> keep_id").select("keep_id", "id").distinct()
