@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from skarn.session import cut
+from skarn.skew import hashed_sample
 
-#: Rows at most on which centroids are fitted (a bounded sample; every row is indexed).
+#: Rows, about, on which centroids are fitted (a bounded sample; every row is indexed).
 SAMPLE = 20_000
 #: Bits of the quantised query.
 QUERY_BITS = 4
@@ -154,7 +155,7 @@ def build_index(vectors: DataFrame, dim: int = 64, cell_size: int | None = 600,
     """Number the rows, write them, and fit centroids: about n / cell_size of them, at most a fifth of the sample."""
     rows = cut(vectors.withColumn("vec_id", F.monotonically_increasing_id()), "vectors")
     n = rows.count()
-    picked = rows.orderBy(F.xxhash64("vec_key"), "vec_key").limit(SAMPLE).select("unit").toArrow() if n else None
+    picked = hashed_sample(rows, ["vec_key"], SAMPLE, n).select("vec_key", "unit").toArrow().sort_by("vec_key").select(["unit"]) if n else None
     x = matrix(picked.column(0), dim).astype(np.float32) if n else np.zeros((0, dim), np.float32)
     k = min(cells or _cells(n, cell_size), max(1, len(x) // 5))
     return Index(rows, fit_centroids(x, k) if n else np.zeros((0, dim), np.float32), n, dim)
