@@ -98,3 +98,19 @@ def version_key(c: Column) -> Column:
     numbers = F.transform(F.split(F.regexp_extract(bare, r"^([0-9]+(?:\.[0-9]+)*)", 1), r"\."), lambda p: F.lpad(p, 12, "0"))
     filled = F.slice(F.concat(numbers, F.array_repeat(F.lit("0" * 12), 4)), 1, 4)
     return F.concat(F.array_join(filled, "."), F.when(bare.rlike(r"^[0-9.]+-"), F.lit("a")).otherwise(F.lit("b")))
+
+
+def replace_once(c: Column, old: Column, new: Column) -> Column:
+    """The text with ``old`` replaced if it occurs exactly once; null otherwise."""
+    once = (F.length(c) - F.length(F.replace(c, old, F.lit("")))) == F.length(old)
+    return F.when((F.length(old) > 0) & once, F.replace(c, old, new))
+
+
+def insert_at(c: Column, line: int, new: str) -> Column:
+    """The text with a line put before line number ``line`` (from 1)."""
+    lines = F.split(c, "\n")
+    return F.array_join(F.concat(F.slice(lines, 1, line - 1), F.array(F.lit(new)), F.slice(lines, line, F.greatest(F.size(lines) - line + 1, F.lit(0)))), "\n")
+
+
+def line_range(c: Column, first: int, last: int) -> Column:
+    return F.array_join(F.slice(F.split(c, "\n"), first, last - first + 1), "\n")

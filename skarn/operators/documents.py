@@ -113,3 +113,27 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], count: str | None =
     rest = [c for c in old.columns if c not in keys and c != count]
     g = both.groupBy(*keys).agg(F.max(F.struct("__new", *rest)).alias("m"), F.sum(count).alias(count))
     return g.select(*keys, *[F.col(f"m.{c}").alias(c) for c in rest], count).select(*old.columns)
+
+
+def section_context(sections: DataFrame) -> DataFrame:
+    """Per current section its title, the titles of its ancestors from the root, and its number of children."""
+    from skarn.operators.hierarchy import build
+    from skarn.skew import current_rows
+
+    h = build(sections)
+    cur = current_rows(sections.select("id", "title", "updated_at"), ["id"], "updated_at").select("id", "title")
+    named = h.descendants().join(cur.withColumnsRenamed({"id": "ancestor_id", "title": "above"}), "ancestor_id")
+    chain = named.groupBy(F.col("descendant_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "above"))).alias("c"))
+    children = h.reached.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("children"))
+    out = h.reached.select("id").join(cur, "id").join(chain, "id", "left").join(children, "id", "left")
+    return out.select("id", "title", F.coalesce(F.array_join("c.above", " > "), F.lit("")).alias("ancestors"), F.coalesce("children", F.lit(0)).alias("children"))
+
+
+def apply_blocks(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Pages (slug, content) after edit blocks (slug, seq, action, body) in order: create and replace set the content,
+    append adds a paragraph. Blocks of one page are folded in order; pages without blocks stay."""
+    ops = blocks.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "body"))).alias("ops"))
+    both = pages.join(ops, "slug", "full_outer")
+    step = lambda acc, o: F.when(o.action == "append", F.concat(F.coalesce(acc, F.lit("")), F.when(acc.isNull() | (acc == ""), F.lit("")).otherwise(F.lit("\n\n")), o.body)).otherwise(o.body)
+    folded = F.aggregate(F.coalesce("ops", F.array().cast("array<struct<seq: bigint, action: string, body: string>>")), F.col("content"), step)
+    return both.select("slug", folded.alias("content"))

@@ -330,3 +330,35 @@ def coupling(pairs: DataFrame) -> DataFrame:
     ends = pairs.where("src <> dst").distinct().select(F.explode(F.array(F.struct(F.col("src").alias("package"), F.lit(1).alias("out")), F.struct(F.col("dst").alias("package"), F.lit(0).alias("out")))).alias("e")).select("e.*")
     g = ends.groupBy("package").agg(F.count_if(F.col("out") == 0).alias("ca"), F.count_if(F.col("out") == 1).alias("ce"))
     return g.withColumn("instability", F.round(F.coalesce(F.try_divide("ce", F.col("ca") + F.col("ce")), F.lit(0.0)), 4))
+
+
+def dfs_order(edges: DataFrame, start: str, max_depth: int = 10, limit: int = 1000, kinds: Sequence[str] | None = None) -> DataFrame:
+    """Pre-order of a depth-first walk: (position, id). The order is sequential, so the subgraph that is walked is first
+    reached level by level and must not have more than ``limit`` nodes; children go by their id."""
+    reached = bfs(edges, edges.sparkSession.createDataFrame([(start,)], "id string"), max_depth, kinds)
+    ids = [r.id for r in reached.select("id").limit(limit + 1).collect()]
+    if len(ids) > limit:
+        raise ValueError(f"more than {limit} nodes are reached; a walk in order is meant for small subgraphs")
+    inner = induced(of_kinds(edges, kinds), reached.select("id")).select("source", "target").distinct()
+    below: dict[str, list[str]] = {}
+    for s, t in inner.orderBy("source", "target").collect():  # edges among at most ``limit`` nodes
+        below.setdefault(s, []).append(t)
+    out, seen, stack = [], set(), [(start, 0)]
+    while stack:
+        at, depth = stack.pop()
+        if at in seen:
+            continue
+        seen.add(at)
+        out.append((len(out), at))
+        if depth < max_depth:
+            stack += [(t, depth + 1) for t in reversed(below.get(at, []))]
+    return edges.sparkSession.createDataFrame(out, "position int, id string")
+
+
+def context(nodes: DataFrame, edges: DataFrame, ids: DataFrame, each: int = 5) -> DataFrame:
+    """Up to ``each`` callers and callees of each symbol, in order of their id: (id, side, other)."""
+    calls = edges.where("kind = 'calls'").select("source", "target").distinct()
+    one = calls.join(ids.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("target").alias("id"), F.lit("caller").alias("side"), F.col("source").alias("other"))
+    two = calls.join(ids.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("source").alias("id"), F.lit("callee").alias("side"), F.col("target").alias("other"))
+    w = Window.partitionBy("id", "side").orderBy("other")
+    return one.unionByName(two).withColumn("k", F.row_number().over(w)).where(F.col("k") <= each).drop("k")

@@ -85,3 +85,24 @@ def duration_ms(text: str, default: str = "90d") -> int:
 
     m = re.fullmatch(r"(\d+)\s*([hdwm])", (text or default).strip().lower()) or re.fullmatch(r"(\d+)([hdwm])", default)
     return int(m[1]) * {"h": 3_600_000, "d": 86_400_000, "w": 604_800_000, "m": 2_592_000_000}[m[2]]
+
+
+def successive(obs: DataFrame, kind: str = "decision") -> DataFrame:
+    """Candidates for conflicts: each observation of a kind with the one before it in its topic: (topic_key, earlier, later).
+
+    Neighbours in time only, so a topic of any size adds one pair per observation.
+    """
+    w = Window.partitionBy("topic_key").orderBy("created_at", "id")
+    own = obs.where((F.col("kind") == kind) & F.col("topic_key").isNotNull()).select("topic_key", "id", "created_at").distinct()
+    return own.withColumn("earlier", F.lag("id").over(w)).where("earlier is not null").select("topic_key", "earlier", F.col("id").alias("later"))
+
+
+def without_private(c):
+    """Text without what stands between private marks."""
+    return F.regexp_replace(c, r"(?is)<private>.*?</private>", "[private]")
+
+
+def close_stale(sessions: DataFrame, now: int, after_ms: int = 7_200_000) -> DataFrame:
+    """Open sessions (session_id, started_at, ended_at) that began too long ago get an end."""
+    stale = F.col("ended_at").isNull() & (F.col("started_at") < now - after_ms)
+    return sessions.withColumn("ended_at", F.when(stale, F.lit(now)).otherwise(F.col("ended_at")))

@@ -73,3 +73,22 @@ def secrets(docs: DataFrame, id: str, text: str) -> DataFrame:
     rules = {"private key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "cloud key": r"\bAKIA[0-9A-Z]{16}\b", "token": r"\bgh[pousr]_[A-Za-z0-9]{36,}\b", "assignment": r"(?i)\b(?:password|passwd|secret|api_?key|token)\s*[:=]\s*['\"][^'\"\s]{8,}['\"]", "address with password": r"\b[a-z][a-z0-9+.-]*://[^/\s:@]+:[^/\s:@]+@"}
     c = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.regexp_count(F.col(text), F.lit(v)).alias("hits")) for k, v in rules.items()])).alias("r")
     return docs.where(F.col(text).isNotNull()).select(F.col(id).alias("doc"), c).select("doc", "r.rule", "r.hits").where("hits > 0")
+
+
+def suppressed(findings: DataFrame, suppressions: DataFrame, keys: Sequence[str], today: str) -> DataFrame:
+    """Findings without those that a suppression of their key covers that has no end or ends on a later day."""
+    live = suppressions.where(F.col("expires").isNull() | (F.col("expires") > today)).select(*keys).distinct()
+    return findings.join(live, list(keys), "left_anti")
+
+
+def findings_with_context(vulnerabilities: DataFrame, edges: DataFrame, dependencies: DataFrame, reach: DataFrame) -> DataFrame:
+    """Vulnerabilities with the packages they belong to and how those are reached: a chain of left joins on ids."""
+    e = edges.where("kind = 'has_vulnerability'").select(F.col("source").alias("dep_id"), F.col("target").alias("vuln_id"))
+    return vulnerabilities.join(e, "vuln_id", "left").join(dependencies, "dep_id", "left").join(reach, "dep_id", "left")
+
+
+def orphan_dependencies(dependencies: DataFrame, edges: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Dependencies (id) without a declaring edge, or all of whose manifests are gone."""
+    declared = edges.where("kind = 'declared_in'").select(F.col("source").alias("id"), F.col("target").alias("manifest"))
+    alive = declared.join(manifests.select("manifest").distinct(), "manifest", "left_semi").select("id").distinct()
+    return dependencies.select("id").distinct().join(alive, "id", "left_anti")

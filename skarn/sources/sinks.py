@@ -63,3 +63,21 @@ def delete_by_file(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> tupl
     gone = nodes.join(files.select("file_path"), "file_path", "left_semi").select("id")
     kept = edges.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti")
     return nodes.join(files.select("file_path"), "file_path", "left_anti"), kept.select(*edges.columns)
+
+
+def save_label(df: DataFrame, path: str, label: str, by: str = "label") -> None:
+    """One snapshot or branch as a partition of a table; saving a label again replaces that label only."""
+    df.withColumn(by, F.lit(label)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def labels(spark, path: str, by: str = "label") -> list[str]:
+    """Labels that are saved, from the names of the partitions."""
+    return sorted(r[0] for r in spark.read.parquet(path).select(by).distinct().collect())
+
+
+def vex(findings: DataFrame) -> DataFrame:
+    """Statements of exploitability as JSON text from (cve, purl, verdict)."""
+    state = F.when(F.col("verdict") == "affected", "exploitable").when(F.col("verdict") == "not_affected", "not_affected").otherwise("in_triage")
+    why = F.when(F.col("verdict") == "not_affected", "code_not_reachable")
+    body = F.struct(F.col("cve").alias("id"), F.struct(state.alias("state"), why.alias("justification")).alias("analysis"), F.array(F.struct(F.col("purl").alias("ref"))).alias("affects"))
+    return findings.select("cve", F.to_json(body).alias("statement"))
