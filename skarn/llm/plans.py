@@ -41,7 +41,7 @@ def p2_knn(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for name, key, updated in VECTOR_TABLES:
         rows = vectors.usable(table(spark, d, name), key, updated=updated)
-        index = vectors.build_index(rows, cell_size=1200)
+        index = vectors.build_index(rows, cell_size=None)
         near = vectors.named(index, vectors.nearest(index, 10), "vec_id", "other")
         parts.append(near.select(F.lit(name).alias("vec_table"), F.col("vec_id").alias("key"), "rank", F.col("other").alias("neighbour"), F.round("cosine", 5).alias("cosine")))
     return reduce(DataFrame.unionByName, parts)

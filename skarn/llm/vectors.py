@@ -28,7 +28,11 @@ QUERY_BITS = 4
 #: Width of the error bound in standard deviations of the estimate.
 WIDTH = 4.0
 #: Rows of a cell's block at most (per side of a task).
-BLOCK = 6_000
+BLOCK = 16_000
+#: Queries that are estimated at a time: their arrays shall stay in the processor's cache.
+ROWS = 48
+#: Columns whose greatest lower bound stands for them when the k-th is sought.
+GROUP = 16
 
 
 def usable(df: DataFrame, key: str, vector: str = "embedding", updated: str | None = "created_at", dim: int = 64) -> DataFrame:
@@ -115,26 +119,70 @@ def encode(rotated: np.ndarray) -> Codes:
     return Codes(bits, norm, np.maximum(inner, 1e-3), np.bitwise_count(bits).sum(1).astype(np.int32))
 
 
-def estimate(codes: Codes, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products of unit directions (queries x codes), and the error's standard deviation per code.
-
-    q: rotated unit directions. Their coordinates become QUERY_BITS-bit integers with a random-free rounding; the sum
-    over set bits is then a weighted sum of popcounts of AND with the bit planes.
-    """
-    d = q.shape[1]
-    low = q.min(1, keepdims=True)
-    step = np.maximum((q.max(1, keepdims=True) - low) / (2**QUERY_BITS - 1), 1e-12)
-    level = np.rint((q - low) / step).astype(np.uint8)
-    acc = np.zeros((len(q), len(codes.norm)), np.uint16)
+def plane_sums(bits: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Sums over the set bits of each code of the queries' QUERY_BITS-bit levels (queries x codes), by AND and popcount."""
+    if bits.shape[1] == 1:  # up to 64 dimensions: pairs of planes stay below 256 and add up in bytes
+        words = bits[None, :, 0]
+        halves = []
+        for j in range(0, QUERY_BITS, 2):
+            low = np.bitwise_count(words & pack_bits((level >> j) & 1)[:, 0, None])
+            high = np.bitwise_count(words & pack_bits((level >> (j + 1)) & 1)[:, 0, None])
+            high <<= 1
+            low += high
+            halves.append(low)
+        acc = halves[1].astype(np.float32)
+        acc *= 4
+        acc += halves[0]
+        return acc
+    acc = np.zeros((len(level), len(bits)), np.float32)
     for j in range(QUERY_BITS):
         plane = pack_bits((level >> j) & 1)
         for w in range(plane.shape[1]):
-            acc += np.bitwise_count(codes.bits[None, :, w] & plane[:, w, None]).astype(np.uint16) << j
-    over = step * acc + low * codes.ones  # sum of the query's coordinates where the code has a one
-    raw = (2 * over - (level.sum(1, keepdims=True) * step + low * d)) / math.sqrt(d)
-    spread = np.sqrt((1 - np.minimum(codes.inner, 1) ** 2) / (codes.inner**2 * max(d - 1, 1)))
-    rounding = (step[:, 0] / math.sqrt(12)).mean() if len(q) else 0.0
-    return raw / codes.inner, np.sqrt(spread**2 + (rounding / codes.inner) ** 2)
+            acc += np.bitwise_count(bits[None, :, w] & plane[:, w, None]).astype(np.float32) * (1 << j)
+    return acc
+
+
+def quantise(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """QUERY_BITS-bit levels of each row's coordinates, the step and the least coordinate."""
+    low = q.min(1)
+    step = np.maximum((q.max(1) - low) / (2**QUERY_BITS - 1), 1e-12)
+    return np.rint((q - low[:, None]) / step[:, None]).astype(np.uint8), step, low
+
+
+def deviation(codes: Codes, dim: int, step: float) -> np.ndarray:
+    """Standard deviation per code of the estimate between unit directions: of the code and of the query's rounding."""
+    spread = np.sqrt((1 - np.minimum(codes.inner, 1) ** 2) / (codes.inner**2 * max(dim - 1, 1)))
+    return np.sqrt(spread**2 + (step / math.sqrt(12) / codes.inner) ** 2)
+
+
+def estimate(codes: Codes, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated inner products of unit directions (queries x codes), and the error's standard deviation per code."""
+    d = q.shape[1]
+    level, step, low = quantise(q)
+    over = step[:, None] * plane_sums(codes.bits, level) + low[:, None] * codes.ones  # coordinates where the code has a one
+    total = level.sum(1) * step + low * d
+    return (2 * over - total[:, None]) / math.sqrt(d) / codes.inner, deviation(codes, d, float(step.mean()) if len(q) else 0.0)
+
+
+def scores(codes: Codes, r: np.ndarray, rc_q: np.ndarray, rc_c: np.ndarray, cc: float) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Estimated inner products of vectors (queries x codes) and their standard deviation as a product of two factors.
+
+    r: rotated differences of the queries from the centroid c. <x, y> = |x-c||y-c| <dx, dy> + <x-c, c> + <y-c, c> + <c, c>;
+    all but the popcounts is of low rank, so that it is one small matrix product.
+    """
+    d = r.shape[1]
+    norm = np.maximum(np.linalg.norm(r, axis=1), 1e-12)
+    level, step, low = quantise(r / norm[:, None])
+    w = (codes.norm / (codes.inner * math.sqrt(d))).astype(np.float32)
+    total = level.sum(1) * step + low * d
+    mid = plane_sums(codes.bits, level)
+    mid *= w
+    mid *= (2 * norm * step).astype(np.float32)[:, None]
+    one = np.ones(len(w), np.float32)
+    left = np.stack((2 * norm * low, -norm * total, rc_q + cc, np.ones(len(r))), 1).astype(np.float32)
+    mid += left @ np.stack((codes.ones * w, w, one, rc_c.astype(np.float32)))
+    dev = codes.norm * deviation(codes, d, float(step.mean()) if len(r) else 0.0)
+    return mid, (norm.astype(np.float32), dev.astype(np.float32))
 
 
 def _cells(n: int, size: int) -> int:
@@ -152,12 +200,16 @@ class Index:
 
 
 def build_index(vectors: DataFrame, dim: int = 64, cell_size: int | None = 600, cells: int | None = None) -> Index:
-    """Number the rows, write them, and fit centroids: about n / cell_size of them, at most a fifth of the sample."""
+    """Number the rows, write them, and fit centroids: about n / cell_size of them, at most a fifth of the sample.
+
+    Without a cell_size the number of cells is a third of the root of n: for neighbours at any distance, whose cells must
+    not become so many that the nearest few hold too little of a vector's surroundings.
+    """
     rows = cut(vectors.withColumn("vec_id", F.monotonically_increasing_id()), "vectors")
     n = rows.count()
     picked = hashed_sample(rows, ["vec_key"], SAMPLE, n).select("vec_key", "unit").toArrow().sort_by("vec_key").select(["unit"]) if n else None
     x = matrix(picked.column(0), dim).astype(np.float32) if n else np.zeros((0, dim), np.float32)
-    k = min(cells or _cells(n, cell_size), max(1, len(x) // 5))
+    k = min(cells or (_cells(n, cell_size) if cell_size else math.ceil(math.sqrt(n) / 3)), max(1, len(x) // 5))
     return Index(rows, fit_centroids(x, k) if n else np.zeros((0, dim), np.float32), n, dim)
 
 
@@ -217,15 +269,11 @@ def _pairs_fn(centroids, dim: int, least: float):
         codes = encode(r[right])
         cc = float(c @ c)
         out_a, out_b, out_s = [], [], []
-        for s in range(0, len(left), 256):
-            at = left[s : s + 256]
-            qn = np.maximum(np.linalg.norm(r[at], axis=1), 1e-12)
-            est, err = estimate(codes, r[at] / qn[:, None])
-            # <x, y> = |x-c||y-c| <dx, dy> + <x, c> + <y, c> - <c, c>, and <x, c> = <x-c, c> + <c, c>
-            scale = qn[:, None] * codes.norm[None, :]
-            fixed = rc[at][:, None] + rc[right][None, :] + cc
-            near = scale * (est + WIDTH * err) + fixed >= least
-            a, b = np.nonzero(near)
+        for s in range(0, len(left), ROWS):
+            at = left[s : s + ROWS]
+            top, (norm, dev) = scores(codes, r[at], rc[at], rc[right], cc)
+            top += norm[:, None] * (WIDTH * dev)
+            a, b = np.divmod(np.flatnonzero(top >= least), top.shape[1])
             a, b = at[a], right[b]
             keep = (ids[a] < ids[b]) if same else (ids[a] != ids[b])
             a, b = a[keep], b[keep]
@@ -247,6 +295,18 @@ def similar_pairs(index: Index, least: float, reach: int = 3, block: int = BLOCK
     return found.groupBy("id_a", "id_b").agg(F.max("cosine").alias("cosine"))
 
 
+def _least_top(m: np.ndarray, k: int) -> np.ndarray:
+    """Per row a value that at least ``k`` columns reach: the k-th of the greatest values of groups of columns, or the
+    k-th value itself in short rows; the least float where there are fewer columns than that."""
+    n = m.shape[1]
+    groups = n // GROUP
+    if groups > 4 * k:
+        m, n = m[:, : groups * GROUP].reshape(len(m), GROUP, groups).max(1), groups
+    if n <= k:
+        return np.full(len(m), np.finfo(np.float32).min, np.float32)
+    return np.partition(m, n - k, axis=1)[:, n - k]
+
+
 def _nearest_fn(centroids, dim: int, k: int):
     turn = rotation(dim)
 
@@ -255,37 +315,41 @@ def _nearest_fn(centroids, dim: int, k: int):
         cc = float(c @ c)
         res: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for qs, ds in ((left, right),) if same else ((left, right), (right, left)):
-            codes = encode(r[ds])
-            for s in range(0, len(qs), 256):
-                at = qs[s : s + 256]
-                qn = np.maximum(np.linalg.norm(r[at], axis=1), 1e-12)
-                est, err = estimate(codes, r[at] / qn[:, None])
-                scale = qn[:, None] * codes.norm[None, :]
-                mid = (scale * est + (rc[at][:, None] + rc[ds][None, :] + cc)).astype(np.float32)
+            codes, turned = encode(r[ds]), np.ascontiguousarray(x[ds].T)
+            where = {v: i for i, v in enumerate(ds.tolist())} if same else {}
+            for s in range(0, len(qs), ROWS):
+                at = qs[s : s + ROWS]
+                mid, (norm, dev) = scores(codes, r[at], rc[at], rc[ds], cc)
                 # One deviation each way: candidates whose upper bound reaches the k-th lower bound.
-                half = (scale * err).astype(np.float32)
-                if mid.shape[1] > k + 1:
-                    floor = np.partition(mid - half, mid.shape[1] - k - 1, axis=1)[:, mid.shape[1] - k - 1]
-                    a, b = np.nonzero(mid + half >= floor[:, None])
-                else:
-                    a, b = np.divmod(np.arange(mid.size), mid.shape[1])
+                half = norm[:, None] * dev
+                mid -= half
+                floor = _least_top(mid, k + 1)
+                half *= 2
+                mid += half
+                # The candidates are compared exactly. They are several per cent of a cell, so that one matrix product
+                # with a mask costs less than gathering their vectors.
+                exact = x[at] @ turned
+                exact[mid < floor[:, None]] = -2
+                if same:
+                    exact[np.arange(len(at)), [where[v] for v in at.tolist()]] = -2
+                few = _least_top(exact, k)
+                flat = np.flatnonzero(exact >= np.maximum(few, np.float32(-1.5))[:, None])
+                a, b = np.divmod(flat, exact.shape[1])
+                e = exact.ravel()[flat]
                 a, b = at[a], ds[b]
-                keep = a != b
-                a, b = a[keep], b[keep]
-                exact = np.einsum("ij,ij->i", x[a], x[b])
-                order = np.lexsort((ids[b], -exact, a))
-                a, b, exact = a[order], b[order], exact[order]
+                order = np.lexsort((ids[b], -e, a))
+                a, b, e = a[order], b[order], e[order]
                 first = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, int)
                 rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
                 top = rank < k
-                res.append((ids[a[top]], ids[b[top]], exact[top].astype(np.float64)))
+                res.append((ids[a[top]], ids[b[top]], e[top].astype(np.float64)))
         cat = lambda i, k: np.concatenate([v[i] for v in res]) if res else np.zeros(0, k)
         return pa.table({"vec_id": pa.array(cat(0, np.int64), pa.int64()), "other": pa.array(cat(1, np.int64), pa.int64()), "cosine": pa.array(cat(2, np.float64), pa.float64())})
 
     return run
 
 
-def nearest(index: Index, k: int = 10, reach: int = 4, block: int = BLOCK) -> DataFrame:
+def nearest(index: Index, k: int = 10, reach: int = 5, block: int = BLOCK) -> DataFrame:
     """The ``k`` most similar other vectors of each vector: (vec_id, rank, other, cosine)."""
     shared = index.rows.sparkSession.sparkContext.broadcast(index.centroids)
     found = tasks(place(index, reach), block).groupBy("cell", "i", "j").applyInArrow(_nearest_fn(shared, index.dim, k), "vec_id bigint, other bigint, cosine double")
