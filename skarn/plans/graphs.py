@@ -75,8 +75,9 @@ def _split(s: str) -> list[str]:
 
 
 def g_of(spark, d):
+    """Nodes, and edges that are written once, for queries that read the edges more than once."""
     n, e = _views(spark, d)
-    return cut(n, "nodes"), cut(e, "edges")
+    return n, cut(e, "edges")
 
 
 def seeds(spark, *ids):
@@ -90,19 +91,19 @@ def _bfs_sql(start: str, depth: int | None, cond: str, step: str = "e.source = w
 
 @query(_bfs_sql("c:5", 3, "e.kind in ('calls', 'references')"))
 def g_bfs(spark, d):
-    n, e = g_of(spark, d)
+    n, e = _views(spark, d)
     return graph.bfs(e, seeds(spark, "c:5"), 3, ["calls", "references"])
 
 
 @query(_bfs_sql("p:7", None, "e.kind = 'extends'", "e.target = w.id", "e.source"))
 def g_type_hierarchy(spark, d):
-    n, e = g_of(spark, d)
+    n, e = _views(spark, d)
     return graph.bfs(e, seeds(spark, "p:7"), None, ["extends"], "in")
 
 
 @query(_bfs_sql("s:3", 2, "true", "e.target = w.id", "e.source"))
 def g_impact(spark, d):
-    n, e = g_of(spark, d)
+    n, e = _views(spark, d)
     return graph.bfs(e, seeds(spark, "s:3"), 2, None, "in")
 
 
@@ -114,7 +115,7 @@ def g_call_graph(spark, d):
 
 @query("w as (select 'c:1' id, 0 depth union select case when e.source = w.id then e.target else e.source end, w.depth + 1 from w join edges_g e on (e.source = w.id or e.target = w.id) where w.depth < 3 and e.kind in ('imports', 'contains')) select (min(depth) + 1)::bigint nodes_on_path from w where id = 'c:40'")
 def g_shortest_path(spark, d):
-    n, e = g_of(spark, d)
+    n, e = _views(spark, d)
     return graph.shortest_path(e, "c:1", "c:40", 3, kinds=["imports", "contains"]).agg(F.nullif(F.count(F.lit(1)), F.lit(0)).alias("nodes_on_path"))
 
 
@@ -132,13 +133,13 @@ def g_callees(spark, d):
 
 @query(_bfs_sql("c:77", None, "e.kind = 'contains'", "e.target = w.id", "e.source").replace("select id, min(depth) depth from w group by 1", "select id, min(depth) depth from w where depth > 0 group by 1"))
 def g_ancestors(spark, d):
-    n, e = g_of(spark, d)
+    n, e = _views(spark, d)
     return graph.bfs(e, seeds(spark, "c:77"), None, ["contains"], "in", include_start=False)
 
 
 @query("x as (select target id, 1 depth from edges_g where kind = 'contains' and source = 'n:4') select distinct id, depth from x")
 def g_children(spark, d):
-    n, e = g_of(spark, d)
+    n, e = _views(spark, d)
     return graph.bfs(e, seeds(spark, "n:4"), 1, ["contains"], include_start=False)
 
 
@@ -418,7 +419,7 @@ def a_coupling(spark, d):
 @query("""r as (select id seed from nodes_x where kind = 'route'), w as (select seed, seed id, 0 depth from r union select w.seed, e.target, w.depth + 1 from w join edges_g e on e.source = w.id where e.kind in ('calls', 'references') and w.depth < 4),
 m as (select seed, id, min(depth) depth from w group by all) select id, count(*) reached_by, min(depth) hops from m where id like 's:%' group by 1""")
 def v_reachability(spark, d):
-    n, e = g_of(spark, d)
+    n, e = _views(spark, d)
     r = graph.multi_bfs(e, n.where("kind = 'route'"), 4, ["calls", "references"])
     return r.where("id like 's:%'").groupBy("id").agg(F.count(F.lit(1)).alias("reached_by"), F.min("depth").alias("hops"))
 
