@@ -95,7 +95,32 @@ found as (
 )
 """
 
+_QUALITY = """
+with claims as (select dataset_id, name, arg_max(struct_pack(n := null_pct, c := "cardinality", t := inferred_type, lo := min_value, hi := max_value), updated_at) s from data_columns group by all),
+last as (select dataset_id, max(snapshot_at) snap from data_rows group by 1),
+recs as (select r.dataset_id, r.row_no, max(r.row_json) j from data_rows r join last l on r.dataset_id = l.dataset_id and r.snapshot_at = l.snap group by all),
+raw as (select c.dataset_id, c.name, regexp_replace(json_extract_string(j, '$."' || c.name || '"'), '^\s+|\s+$', '', 'g') v from claims c join recs r using (dataset_id)),
+vals as (select dataset_id, name, case when lower(v) in ('', 'null', 'na', 'n/a') then null else v end v from raw),
+kinds as (select *, case when v is null then null when lower(v) in ('true', 'false') then 'boolean' when regexp_full_match(v, '-?\d+') then 'integer' when regexp_full_match(v, '-?\d+\.\d+|-?\d+[eE][+-]?\d+') then 'float'
+  when regexp_matches(v, '^\d{4}-\d{2}-\d{2}') and try_cast(v[1:10] as date) is not null then 'date' else 'string' end k, regexp_replace(regexp_replace(v, '[A-Za-z]+', 'a', 'g'), '[0-9]+', '9', 'g') sh from vals),
+shapes as (select dataset_id, name, max(n) top_shape from (select dataset_id, name, sh, count(*) n from kinds where v is not null group by all) group by all),
+major as (select dataset_id, name, arg_max(k, n) k, max(n) n from (select dataset_id, name, k, count(*) n from kinds where k is not null group by all) group by all),
+st as (select dataset_id, name, count(*) total, count(v) filled, count(distinct v) card, coalesce(list_sort(list(distinct k) filter (where k is not null)), []) ks,
+  min(try_cast(v as double)) filter (where k in ('integer', 'float')) lo, max(try_cast(v as double)) filter (where k in ('integer', 'float')) hi from kinds group by all),
+p as (select st.*, coalesce(top_shape, 0) top_shape, case when len(ks) = 0 then 'null' when len(ks) = 1 then ks[1] when ks = ['float', 'integer'] then 'float' when m.n > total * 0.8 then m.k else 'mixed' end ct
+  from st left join shapes using (dataset_id, name) left join major m using (dataset_id, name)),
+checks as (select dataset_id, name, unnest([case when abs(s.n - (total - filled) / total) > 0.01 + 1e-12 then 'null_pct' end, case when s.c is distinct from card then 'cardinality' end, case when s.t is distinct from ct then 'inferred_type' end,
+  case when ct in ('integer', 'float') and (try_cast(s.lo as double) is distinct from lo or try_cast(s.hi as double) is distinct from hi) then 'range' end,
+  case when ct in ('string', 'date') and top_shape >= filled * 0.9 and top_shape < filled then 'pattern' end]) check_name from p join claims using (dataset_id, name)),
+h as (select distinct dataset_id, snapshot_at, columns_json from data_dataset_history where json_valid(columns_json) and json_type(columns_json) = 'ARRAY'),
+two as (select *, row_number() over (partition by dataset_id order by snapshot_at desc) k, count(*) over (partition by dataset_id) loads from h),
+cols as (select dataset_id, k, json_extract_string(c, '$.name') name, json_extract_string(c, '$.type') t, json_extract_string(c, '$.cardinality')::double card, json_extract_string(c, '$.nullPct')::double np
+  from (select dataset_id, k, unnest(json_extract(columns_json, '$[*]')) c from two where k <= 2 and loads >= 2)),
+d as (select coalesce(a.dataset_id, b.dataset_id) dataset_id, coalesce(a.name, b.name) as name from (select * from cols where k = 1) a full join (select * from cols where k = 2) b on a.dataset_id = b.dataset_id and a.name = b.name
+  where a.name is null or b.name is null or a.t <> b.t or abs(a.np - b.np) > 0.05 + 1e-12 or (a.card <> b.card and greatest(a.card, b.card) >= 2 * least(a.card, b.card)))
+"""
 ORACLES = {
+    "p5_found": _QUALITY + "select dataset_id, name column_name, check_name from checks where check_name is not null union all select dataset_id, name, 'drift' from d",
     "p3_found": f"""
 with recursive {_SECTIONS},
 ok as (select id from links where parent_id is null union select l.id from ok join links l on l.parent_id = ok.id),
