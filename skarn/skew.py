@@ -13,11 +13,11 @@ SALTS = 32
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     """Keys that hold at least ``share`` of all rows with a key: at most 1/share rows (column ``hot_key``).
 
-    Counts are combined before the shuffle. The total is a one-row frame, so the threshold needs no action here.
+    Counts are combined before the shuffle. The total is a scalar subquery, so the threshold needs no action and no join.
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("hot_key")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total), F.col("n") >= F.col("total") * F.lit(share)).select("hot_key")
+    least = counts.agg((F.sum("n") * F.lit(share)).alias("least")).scalar()
+    return counts.where(F.col("n") >= least).select("hot_key")
 
 
 def salted_join(
