@@ -80,6 +80,6 @@ def members(df: DataFrame, id: str, content: str) -> DataFrame:
     spelled = distinct.select("raw", digest(F.col("plain")).alias("text")).join(of_text, "text").select("raw", "keep_id")
     rows = df.select(F.col(id).alias("id"), digest(F.col(content)).alias("raw")).where("id is not null and raw is not null")
     # The counts of the first collapse tell which contents are hot: at most 1 / HOT_SHARE of them.
-    total = F.broadcast(distinct.agg(F.sum("copies").alias("total")))
-    hot = distinct.join(total, F.col("copies") >= F.col("total") * F.lit(HOT_SHARE)).select(F.col("raw").alias("hot_key"))
+    least = distinct.agg((F.sum("copies") * F.lit(HOT_SHARE)).alias("least")).scalar()
+    hot = distinct.where(F.col("copies") >= least).select(F.col("raw").alias("hot_key"))
     return salted_join(rows, spelled, "raw", "inner", hot=hot).where("id <> keep_id").select("keep_id", "id").distinct()
