@@ -101,8 +101,8 @@ def row_delta(snapshots: DataFrame) -> DataFrame:
 def distribution(df: DataFrame, column: str) -> DataFrame:
     """Counts per value with their share of all rows in per cent."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = F.broadcast(counts.agg(F.sum("n").alias("total")))
-    return counts.join(total, F.lit(True)).select(column, "n", F.round(F.col("n") * 100 / F.col("total"), 2).alias("percent"))
+    total = counts.agg(F.sum("n").alias("total")).scalar()
+    return counts.select(column, "n", F.round(F.col("n") * 100 / total, 2).alias("percent"))
 
 
 def sniff(raw: Column) -> Column:

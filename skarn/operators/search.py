@@ -48,13 +48,13 @@ def bm25(docs: DataFrame, id: str, text: str, query: str, n: int | None = None,
     if not terms:
         return docs.sparkSession.createDataFrame([], "doc string, score double")
     base = docs.where(F.col(text).isNotNull()).select(F.col(id).alias("doc"), tokens(F.col(text)).alias("ts"))
-    stats = base.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("ts")).alias("mean_length"))
     hit = [(lambda t, last: lambda x: x.startswith(t) if last else x == t)(t, prefix and i == len(terms) - 1) for i, t in enumerate(terms)]
     tf = [F.size(F.filter("ts", h)) for h in hit]
     rows = base.select("doc", F.size("ts").alias("length"), *[x.alias(f"tf{i}") for i, x in enumerate(tf)])
     rows = rows.where(" and ".join(f"tf{i} > 0" for i in range(len(terms))))
-    df = base.agg(*[F.count_if(x > 0).alias(f"df{i}") for i, x in enumerate(tf)])
-    scored = rows.join(F.broadcast(stats), F.lit(True)).join(F.broadcast(df), F.lit(True))  # one row each
+    counted = [F.count_if(x > 0).alias(f"df{i}") for i, x in enumerate(tf)]
+    corpus = base.agg(F.struct(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("ts")).alias("mean_length"), *counted).alias("s")).scalar()
+    scored = rows.withColumn("s", corpus).select("*", "s.*")
     parts = [
         F.ln(1 + (F.col("n_docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1)
         / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
@@ -86,8 +86,7 @@ def hybrid(text_hits: DataFrame, vector_hits: DataFrame, alpha: float = 0.5, nor
     """(id, score) from (id, fts) and (id, vec): alpha weighs the vectors; a text score is divided by the greatest, or by
     one if that is less; what only one side has counts zero on the other."""
     top = F.greatest(F.coalesce(F.max("fts"), F.lit(1.0)), F.lit(1.0)) if normalise else F.lit(1.0)
-    greatest = F.broadcast(text_hits.agg(top.alias("top")))
-    j = text_hits.join(vector_hits, "id", "full_outer").join(greatest, F.lit(True))
+    j = text_hits.join(vector_hits, "id", "full_outer").withColumn("top", text_hits.agg(top.alias("top")).scalar())
     return j.select("id", F.round((1 - alpha) * F.coalesce("fts", F.lit(0.0)) / F.col("top") + alpha * F.coalesce("vec", F.lit(0.0)), 4).alias("score"))
 
 
