@@ -35,9 +35,10 @@ def v_worst_verdict(spark: SparkSession, d: str) -> DataFrame:
 @query("""with r as (select string_split(replace(regexp_extract(text, '@[a-z]+/[a-z]+@\\d+\\.\\d+\\.\\d+'), '@', '|'), '|') p, source from documents where text is not null and regexp_matches(text, '@[a-z]+/[a-z]+@\\d+\\.\\d+\\.\\d+'))
 select 'npm' ecosystem, p[2] as name, arg_max(p[3], list_transform(string_split(p[3], '.'), lambda x: x::int)) as version, coalesce(list_sort(list(distinct source) filter (where source is not null)), [])::varchar manifests from r group by 2""")
 def v_newest_dependency(spark, d):
+    """Reads every specifier of a text; the SQL reads only the first."""
     spec = r"@([a-z]+/[a-z]+)@(\d+\.\d+\.\d+)"
-    docs = table(spark, d, "documents").where(F.col("text").rlike(spec))
-    deps = docs.select(F.lit("npm").alias("ecosystem"), F.regexp_extract("text", spec, 1).alias("name"), F.regexp_extract("text", spec, 2).alias("version"), F.col("source").alias("manifest"))
+    found = table(spark, d, "documents").where(F.col("text").rlike(spec)).select("source", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(spec), F.lit(0)))).alias("found"))
+    deps = found.select(F.lit("npm").alias("ecosystem"), F.regexp_extract("found", spec, 1).alias("name"), F.regexp_extract("found", spec, 2).alias("version"), F.col("source").alias("manifest"))
     return security.newest(deps).withColumn("manifests", F.concat(F.lit("["), F.array_join("manifests", ", "), F.lit("]")))
 
 
