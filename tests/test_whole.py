@@ -13,3 +13,9 @@ def test_every_specifier_of_a_text(spark, tmp_path):
     rows = [("use @a/b@1.2.3, then @c/d@0.1.0 and @a/b@1.10.0", "m1"), ("@c/d@0.0.9 @a/b@1.9.9", "m2"), ("none", "m3"), (None, "m4")]
     got = run(spark, tmp_path, "v_newest_dependency", documents=(rows, "text string, source string"))
     assert {tuple(r) for r in got} == {("npm", "a/b", "1.10.0", "[m1, m2]"), ("npm", "c/d", "0.1.0", "[m1, m2]")}
+
+
+def test_every_version_of_every_text(spark, tmp_path):
+    rows = [(1, "v2.9.9 before v3.0.1, v10.0.0"), (200, "v3.0.0 v4.1.2 v4.1.2"), (5000, "v3.10.0"), (3, None), (4, "v1")]
+    got = run(spark, tmp_path, "c_versions", documents=(rows, "doc_id bigint, text string"))
+    assert sorted(tuple(r) for r in got) == [(v, "3.0.0") for v in ("10.0.0", "3.0.1", "3.10.0", "4.1.2")]
