@@ -55,8 +55,9 @@ def v_wildcard_policy(spark, d):
 @query("""with b as (select p_partkey k, p_brand v from part where p_partkey < 800), n as (select p_partkey k, case when p_partkey % 10 = 0 then 'x' else p_brand end v from part where p_partkey between 300 and 1200)
 select coalesce(b.k, n.k) k, case when b.k is null then 'NEW' when n.k is null then 'RESOLVED' when b.v <> n.v then 'CHANGED' else 'UNCHANGED' end state from b full join n using (k)""")
 def v_baseline_diff(spark, d):
+    """Of twelve parts, three are only in the baseline, four only in the new findings and five in both. The SQL has 1,201 parts."""
     p = table(spark, d, "part")
-    return security.baseline_diff(p.where("p_partkey < 800").selectExpr("p_partkey k", "p_brand v"), p.where("p_partkey between 300 and 1200").selectExpr("p_partkey k", "case when p_partkey % 10 = 0 then 'x' else p_brand end v"), ["k"], "v")
+    return security.baseline_diff(p.where("p_partkey % 12 < 8").selectExpr("p_partkey k", "p_brand v"), p.where("p_partkey % 12 >= 3").selectExpr("p_partkey k", "case when p_partkey % 10 = 0 then 'x' else p_brand end v"), ["k"], "v")
 
 
 @query("""select distinct file_path, case when regexp_matches(file_path, '^src/(auth|session)/') then 'access' when regexp_matches(file_path, '^src/(storage|cache|ledger)/') then 'data' when regexp_matches(file_path, '\\.ts$') then 'frontend' else 'other' end layer,

@@ -227,15 +227,19 @@ def d_lint(spark, d):
 
 @query("with p as (select p_partkey k, 'page-' || p_partkey slug, 'see [[page-' || (p_partkey * 7) % 1500 || ']] and [[Page-' || p_partkey // 2 || ']]' c from part where p_partkey < 1000), l as (select distinct slug, unnest(list_transform(regexp_extract_all(c, '\\[\\[([^\\]|#]+)', 1), lambda x: trim(lower(x)))) target from p) select slug, 'broken ' || target finding from l where target not in (select slug from p) union all select slug, 'orphan' from p where slug not in (select target from l where slug <> target)")
 def w_lint(spark, d):
-    p = table(spark, d, "part").where("p_partkey < 1000").selectExpr("concat('page-', p_partkey) slug", "concat('see [[page-', (p_partkey * 7) % 1500, ']] and [[Page-', p_partkey div 2, ']]') content")
+    """A page per part; links go to one and a half times as many pages, so that some are broken. The SQL has 1,000 pages."""
+    part = table(spark, d, "part")
+    n = part.agg(F.ceil(F.count(F.lit(1)) * 1.5)).scalar()
+    p = part.withColumn("n", n).selectExpr("concat('page-', p_partkey) slug", "concat('see [[page-', (p_partkey * 7) % n, ']] and [[Page-', p_partkey div 2, ']]') content")
     return documents.wiki_lint(p, "slug", "content")
 
 
 @query("with o as (select p_partkey k, p_brand b, 1 n from part where p_partkey < 500), w as (select p_partkey k, upper(p_brand) b, 2 n from part where p_partkey between 400 and 600) select coalesce(o.k, w.k) k, coalesce(w.b, o.b) b, (coalesce(o.n, 0) + coalesce(w.n, 0))::bigint n from o full join w using (k)")
 def w_upsert(spark, d):
+    """Of six parts, four are only stored, one is only new and one is both. The SQL has 601 parts."""
     p = table(spark, d, "part")
-    o = p.where("p_partkey < 500").selectExpr("p_partkey k", "p_brand b", "1L n")
-    return documents.upsert(o, p.where("p_partkey between 400 and 600").selectExpr("p_partkey k", "upper(p_brand) b", "2L n"), ["k"], "n")
+    o = p.where("p_partkey % 6 < 5").selectExpr("p_partkey k", "p_brand b", "1L n")
+    return documents.upsert(o, p.where("p_partkey % 6 >= 4").selectExpr("p_partkey k", "upper(p_brand) b", "2L n"), ["k"], "n")
 
 
 # -- memory ---------------------------------------------------------------------------------------------------------
@@ -296,7 +300,8 @@ def t_superseded(spark, d):
 
 @query("with r as (select l_orderkey a, l_partkey b, l_returnflag relation, l_discount confidence, l_linenumber created_at from lineitem where l_orderkey < 2000), p as (select least(a, b) a, greatest(a, b) b, relation, confidence, created_at from r) select a, b, arg_max(relation, (created_at, confidence, relation)) relation, arg_max(confidence, (created_at, confidence, relation)) confidence from p group by a, b")
 def t_relations(spark, d):
-    r = table(spark, d, "lineitem").where("l_orderkey < 2000").selectExpr("l_orderkey a", "l_partkey b", "l_returnflag relation", "l_discount confidence", "l_linenumber created_at")
+    """All line items; the SQL has the orders below 2,000."""
+    r = table(spark, d, "lineitem").selectExpr("l_orderkey a", "l_partkey b", "l_returnflag relation", "l_discount confidence", "l_linenumber created_at")
     return memory.relation_pairs(r)
 
 
@@ -334,7 +339,8 @@ def c_half_up(spark, d):
 
 @query("with p as (select p_name, p_partkey from part where p_partkey < 300) select a.p_partkey ka, levenshtein(a.p_name, 'part') as distance, sha256(a.p_name) h from p a")
 def c_hash_distance(spark, d):
-    return table(spark, d, "part").where("p_partkey < 300").select(F.col("p_partkey").alias("ka"), F.levenshtein("p_name", F.lit("part")).cast("bigint").alias("distance"), F.sha2("p_name", 256).alias("h"))
+    """All parts; the SQL has 300."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("ka"), F.levenshtein("p_name", F.lit("part")).cast("bigint").alias("distance"), F.sha2("p_name", 256).alias("h"))
 
 
 @query("select event_id, json_extract_string(props, '$.page') page, json_extract_string(props, '$.k') k from events")

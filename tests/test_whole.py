@@ -19,3 +19,33 @@ def test_every_version_of_every_text(spark, tmp_path):
     rows = [(1, "v2.9.9 before v3.0.1, v10.0.0"), (200, "v3.0.0 v4.1.2 v4.1.2"), (5000, "v3.10.0"), (3, None), (4, "v1")]
     got = run(spark, tmp_path, "c_versions", documents=(rows, "doc_id bigint, text string"))
     assert sorted(tuple(r) for r in got) == [(v, "3.0.0") for v in ("10.0.0", "3.0.1", "3.10.0", "4.1.2")]
+
+
+KEYS = [0, 1, 2, 4, 299, 300, 450, 700, 999, 1000, 1300, 20_000, 20_003, 70_001, 70_007]
+PART = ([(k, f"Brand#{k % 25}", f"name {k}") for k in KEYS], "p_partkey bigint, p_brand string, p_name string")
+
+
+def test_every_part_has_a_result(spark, tmp_path):
+    import hashlib
+
+    got = {r.ka: r.h for r in run(spark, tmp_path, "c_hash_distance", part=PART)}
+    assert got == {k: hashlib.sha256(f"name {k}".encode()).hexdigest() for k in KEYS}
+    got = {r.slug: r.content for r in run(spark, tmp_path, "w_apply")}
+    assert got == {f"p{k}": ("new", f"Brand#{k % 25}\n\nmore", f"Brand#{k % 25}")[k % 3] for k in KEYS}
+    got = {r.k: (r.b, r.n) for r in run(spark, tmp_path, "w_upsert")}
+    assert got == {k: (f"Brand#{k % 25}", 1) if k % 6 < 4 else (f"BRAND#{k % 25}", 3 if k % 6 == 4 else 2) for k in KEYS}
+    got = {r.k: r.state for r in run(spark, tmp_path, "v_baseline_diff")}
+    assert got == {k: "RESOLVED" if k % 12 < 3 else "NEW" if k % 12 > 7 else "CHANGED" if k % 10 == 0 else "UNCHANGED" for k in KEYS}
+
+
+def test_every_page_is_linted(spark, tmp_path):
+    pages, n = set(KEYS), -(-len(KEYS) * 3 // 2)
+    links = [(k, t) for k in KEYS for t in (k * 7 % n, k // 2)]
+    want = {(f"page-{k}", f"broken page-{t}") for k, t in links if t not in pages} | {(f"page-{k}", "orphan") for k in KEYS if not any(t == k != s for s, t in links)}
+    assert {tuple(r) for r in run(spark, tmp_path, "w_lint", part=PART)} == want
+
+
+def test_every_order_has_its_relations(spark, tmp_path):
+    rows = [(1, 5, "A", 0.1, 1), (5, 1, "R", 0.2, 2), (2000, 7, "N", 0.3, 1), (600_000, 8, "N", 0.4, 1)]
+    got = run(spark, tmp_path, "t_relations", lineitem=(rows, "l_orderkey bigint, l_partkey bigint, l_returnflag string, l_discount double, l_linenumber int"))
+    assert {tuple(r) for r in got} == {(1, 5, "R", 0.2), (7, 2000, "N", 0.3), (8, 600_000, "N", 0.4)}
