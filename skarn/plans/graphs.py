@@ -170,9 +170,10 @@ def g_cycles(spark, d):
 @query("""i as (select distinct source src, target dst from edges_g where kind = 'calls' and source like 'p:%'), w as (select src a, src b, src low from i where src in ('p:0', 'p:1', 'p:2', 'p:4', 'p:5')
 union select w.a, i.dst, least(w.low, i.dst) from w join i on i.src = w.b) select a id, min(low) component from w group by 1""")
 def g_cycles_calls(spark, d):
+    """Components of all parts; the SQL has those of five parts."""
     n, e = _views(spark, d)
     c = graph.cycles(e.where("kind = 'calls' and source like 'p:%'").select(F.col("source").alias("src"), F.col("target").alias("dst")))
-    return c.where(F.col("id").isin("p:0", "p:1", "p:2", "p:4", "p:5")).select("id", "component")
+    return c.select("id", "component")
 
 
 @query("""i as (select distinct source a, target b from edges_g where kind = 'calls' and source like 'p:%' and target like 'p:%'), b2 as (select a, b from i union select b, a from i),

@@ -49,3 +49,21 @@ def test_every_order_has_its_relations(spark, tmp_path):
     rows = [(1, 5, "A", 0.1, 1), (5, 1, "R", 0.2, 2), (2000, 7, "N", 0.3, 1), (600_000, 8, "N", 0.4, 1)]
     got = run(spark, tmp_path, "t_relations", lineitem=(rows, "l_orderkey bigint, l_partkey bigint, l_returnflag string, l_discount double, l_linenumber int"))
     assert {tuple(r) for r in got} == {(1, 5, "R", 0.2), (7, 2000, "N", 0.3), (8, 600_000, "N", 0.4)}
+
+
+def test_components_of_all_parts(spark, tmp_path):
+    star = {
+        "region": ([(0, "R")], "r_regionkey bigint, r_name string"), "nation": ([(0, "N", 0)], "n_nationkey bigint, n_name string, n_regionkey bigint"),
+        "customer": ([(1, "C", 0)], "c_custkey bigint, c_name string, c_nationkey bigint"), "supplier": ([(1, "S", 0)], "s_suppkey bigint, s_name string, s_nationkey bigint"),
+        "orders": ([(1, 1)], "o_orderkey bigint, o_custkey bigint"), "lineitem": ([(1, 3, 1)], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint"),
+        "part": ([(k, "B", f"n{k}", 1) for k in range(40)], "p_partkey bigint, p_brand string, p_name string, p_size int"),
+    }
+    to, want = {k: (7 * k + 3) % 40 for k in range(40)}, {}
+    for k in to:
+        walk = [k]
+        while to[walk[-1]] not in walk:
+            walk.append(to[walk[-1]])
+        if to[walk[-1]] == k:
+            want[f"p:{k}"] = min(f"p:{x}" for x in walk)
+    got = run(spark, tmp_path, "g_cycles_calls", **star)
+    assert len(want) == 40 and len(got) == 40 and {r.id: r.component for r in got} == want
