@@ -123,6 +123,10 @@ def kind_bonus(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(m, kind), F.lit(0))
 
 
+#: Kinds of symbols that get an embedding.
+EMBEDDABLE_KINDS = ("function", "method", "class", "interface", "type_alias", "component", "module")
+
+
 def embedding_text(limit: int = 2000) -> Column:
     """Text of a symbol that an embedding is made of."""
     return F.substring(F.concat_ws("\n", F.concat_ws(" ", "kind", "name"), "qualified_name", "file_path", "signature", "docstring"), 1, limit)

@@ -128,12 +128,13 @@ def x_task_context(spark, d):
 
 @query("select distinct id, substr(concat_ws(chr(10), concat_ws(' ', kind, name), qualified_name, file_path, signature, docstring), 1, 2000) text from nodes where id is not null and length(concat_ws('', kind, name)) > 0 and kind = 'class'")
 def x_embedding_text(spark, d):
-    return table(spark, d, "nodes").where("kind = 'class' and id is not null").select("id", search.embedding_text().alias("text")).distinct()
+    """All embeddable kinds; the SQL has classes only."""
+    return table(spark, d, "nodes").where(F.col("kind").isin(*search.EMBEDDABLE_KINDS) & F.col("id").isNotNull()).select("id", search.embedding_text().alias("text")).distinct()
 
 
 @query()
 def x_embedding_hashed(spark, d):
-    return table(spark, d, "nodes").where("kind = 'class'").select("id", search.hashed_vector(search.embedding_text()).alias("vector"))
+    return table(spark, d, "nodes").where(F.col("kind").isin(*search.EMBEDDABLE_KINDS)).select("id", search.hashed_vector(search.embedding_text()).alias("vector"))
 
 
 # -- resolution -----------------------------------------------------------------------------------------------------

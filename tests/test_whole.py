@@ -67,3 +67,11 @@ def test_components_of_all_parts(spark, tmp_path):
             want[f"p:{k}"] = min(f"p:{x}" for x in walk)
     got = run(spark, tmp_path, "g_cycles_calls", **star)
     assert len(want) == 40 and len(got) == 40 and {r.id: r.component for r in got} == want
+
+
+def test_every_embeddable_kind(spark, tmp_path):
+    kinds = ["function", "method", "class", "interface", "type_alias", "component", "module", "import", "variable", None]
+    rows = [(f"i{i}", k, f"n{i}", "q", "f", "s", "d") for i, k in enumerate(kinds)]
+    got = run(spark, tmp_path, "x_embedding_text", nodes=(rows, "id string, kind string, name string, qualified_name string, file_path string, signature string, docstring string"))
+    assert {r.id: r.text for r in got} == {f"i{i}": f"{kinds[i]} n{i}\nq\nf\ns\nd" for i in range(7)}
+    assert {r.id for r in run(spark, tmp_path, "x_embedding_hashed")} == {f"i{i}" for i in range(7)}
