@@ -75,3 +75,15 @@ def test_every_embeddable_kind(spark, tmp_path):
     got = run(spark, tmp_path, "x_embedding_text", nodes=(rows, "id string, kind string, name string, qualified_name string, file_path string, signature string, docstring string"))
     assert {r.id: r.text for r in got} == {f"i{i}": f"{kinds[i]} n{i}\nq\nf\ns\nd" for i in range(7)}
     assert {r.id for r in run(spark, tmp_path, "x_embedding_hashed")} == {f"i{i}" for i in range(7)}
+
+
+def test_functions_in_and_outside_of_fences(spark, tmp_path):
+    def f(name):
+        return f"# Keeps the newest {name} pages.\ndef {name}(rows):\n    return rows\n"
+
+    texts = {
+        1: f"﻿```python\n{f('mark')}```\nprose\n```py\n{f('second')}```\n", 2: f"  ```python title='x y'\n{f('indented')}  ```\n{f('outside')}", 3: f"```\r\n{f('unclosed')}", 4: f("plain"),
+        5: f"````md\n```\n{f('nested')}```\n````\n{f('after')}", 6: f'def quoted(x):\n    """Counts what nobody owns.\n\n    ```\n    quoted(1)\n    ```\n    """\n{f("below")}', 7: None,
+    }
+    got = run(spark, tmp_path, "p1_source_pairs", documents=(list(texts.items()), "doc_id bigint, text string"))
+    assert sorted(r.qualified_name for r in got) == sorted(["mark", "second", "indented", "outside", "unclosed", "plain", "nested", "after", "quoted", "below"])
