@@ -7,7 +7,7 @@ Both states are built from deltas by one mergeable aggregate, so a state can be
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from skarn.skew import salted_join
 
@@ -20,12 +20,13 @@ def clean_name(c):
     return F.nullif(F.regexp_replace(c, f"^{_BLANK}+|{_BLANK}+$", ""), F.lit(""))
 
 
-def reference_deltas(df: DataFrame, table: str, owner: str, name: str = "qualified_name", at: str = "created_at", sign: int = 1) -> DataFrame:
-    """Deltas (ref_table, owner_id, name, refs, first_at) of added (sign 1) or withdrawn (sign -1) reference rows."""
+def reference_deltas(df: DataFrame, table: str, owner: str, name: str = "qualified_name", at: str = "created_at", sign: int = 1, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Deltas (ref_table, owner_id, name, more..., refs, first_at) of added (sign 1) or withdrawn (sign -1) reference rows; more: further columns of the key."""
     return df.select(
         F.lit(table).alias("ref_table"),
         F.col(owner).alias("owner_id"),
         clean_name(F.col(name)).alias("name"),
+        *more,
         F.lit(sign).cast("bigint").alias("refs"),
         F.col(at).alias("first_at"),
     ).where("name is not null")
@@ -36,7 +37,7 @@ def reference_state(*deltas: DataFrame) -> DataFrame:
     out = deltas[0]
     for d in deltas[1:]:
         out = out.unionByName(d)
-    return out.groupBy("ref_table", "owner_id", "name").agg(F.sum("refs").alias("refs"), F.min("first_at").alias("first_at"))
+    return out.groupBy([c for c in out.columns if c not in ("refs", "first_at")]).agg(F.sum("refs").alias("refs"), F.min("first_at").alias("first_at"))
 
 
 def existence_deltas(nodes: DataFrame, name: str = "qualified_name", at: str = "updated_at", removed: str = "removed_at") -> DataFrame:

@@ -21,9 +21,11 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.build(table(spark, d, "doc_sections")).descendants()
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
+def _orphans(spark: SparkSession, d: str, typed: bool = False) -> DataFrame:
+    """typed: the type of the reference is part of the key, as it is in the tables."""
     sources = (("mem_links", "observation_id"), ("doc_code_refs", "section_id"), ("data_code_refs", "dataset_id"))
-    refs = orphans.reference_state(*[orphans.reference_deltas(table(spark, d, t), t, owner) for t, owner in sources])
+    kinds = {t: (F.lit(None).cast("string") if t == "mem_links" else F.col("ref_type")).alias("ref_type") for t, _ in sources}
+    refs = orphans.reference_state(*[orphans.reference_deltas(table(spark, d, t), t, owner, more=(kinds[t],) if typed else ()) for t, owner in sources])
     return orphans.orphans(refs, orphans.existence_state(orphans.existence_deltas(table(spark, d, "nodes"))))
 
 
@@ -32,7 +34,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.orphan_report(_orphans(spark, d))
+    """Each row of the tables' own keys counts in its own month; the SQL leaves the type of the reference out of the key."""
+    return orphans.orphan_report(_orphans(spark, d, typed=True))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -87,3 +87,15 @@ def test_functions_in_and_outside_of_fences(spark, tmp_path):
     }
     got = run(spark, tmp_path, "p1_source_pairs", documents=(list(texts.items()), "doc_id bigint, text string"))
     assert sorted(r.qualified_name for r in got) == sorted(["mark", "second", "indented", "outside", "unclosed", "plain", "nested", "after", "quoted", "below"])
+
+
+def test_report_counts_every_type_in_its_own_month(spark, tmp_path):
+    jan, feb = 1735689600000, 1738368000000
+    typed = [("s", "gone", "uses", jan), ("s", " gone ", "documents", feb), ("s", "gone", "uses", jan), ("s", "here", "uses", feb)]
+    tables = {
+        "doc_code_refs": (typed, "section_id string, qualified_name string, ref_type string, created_at bigint"), "data_code_refs": (typed, "dataset_id string, qualified_name string, ref_type string, created_at bigint"),
+        "mem_links": ([("o", "gone", jan), ("o", "gone", feb)], "observation_id string, qualified_name string, created_at bigint"), "nodes": ([("n", "here", jan, None)], "id string, qualified_name string, updated_at bigint, removed_at bigint"),
+    }
+    got = {tuple(r) for r in run(spark, tmp_path, "p4_report", **tables)}
+    assert got == {(t, m, "missing", 1, 1) for t in ("doc_code_refs", "data_code_refs") for m in ("2025-01", "2025-02")} | {("mem_links", "2025-01", "missing", 1, 1)}
+    assert len(run(spark, tmp_path, "p4_found")) == 3
