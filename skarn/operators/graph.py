@@ -128,7 +128,7 @@ def file_imports(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return j.where("from_file <> to_file").select("from_file", "to_file").distinct()
 
 
-def levels(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
+def levels(pairs: DataFrame) -> DataFrame:
     """Longest way below each node of an acyclic relation (src, dst): (id, level), level 0 for nodes without dst.
 
     Round by round, nodes all of whose targets have a level get one more than the greatest of them; what never gets one
@@ -138,7 +138,7 @@ def levels(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
     ids = cut(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), "ids")
     done = cut(ids.join(edges.select(F.col("src").alias("id")), "id", "left_anti").withColumn("level", F.lit(0)), "level")
     last, open_edges, level = done, edges, 0
-    while level < max_rounds:
+    while True:
         level += 1
         # Edges into the last level are settled; nodes without open edges are done.
         left = cut(open_edges.join(last.select(F.col("id").alias("dst")), "dst", "left_anti"), "open")
@@ -150,9 +150,9 @@ def levels(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
     return ids.join(done, "id", "left")
 
 
-def depths(parents: DataFrame, max_rounds: int = 200) -> DataFrame:
+def depths(parents: DataFrame) -> DataFrame:
     """Longest way to a root over (child, parent) rows: (id, depth); cyclic parts have null."""
-    return levels(parents.select(F.col("child").alias("src"), F.col("parent").alias("dst")), max_rounds).withColumnRenamed("level", "depth")
+    return levels(parents.select(F.col("child").alias("src"), F.col("parent").alias("dst"))).withColumnRenamed("level", "depth")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     ends = j.select(F.explode(F.array("ca", "cb")).alias("c"))
     m = j.agg(F.count(F.lit(1)).cast("double").alias("m"), F.count_if(F.col("ca") == F.col("cb")).cast("double").alias("inside"))
     degree = ends.groupBy("c").agg(F.count(F.lit(1)).cast("double").alias("d")).agg(F.sum(F.col("d") * F.col("d")).alias("dd"))
-    return m.join(degree, F.lit(True)).select(F.round(F.col("inside") / F.col("m") - F.col("dd") / (4 * F.col("m") * F.col("m")), 6).alias("modularity"))
+    return m.withColumn("dd", degree.scalar()).select(F.round(F.col("inside") / F.col("m") - F.col("dd") / (4 * F.col("m") * F.col("m")), 6).alias("modularity"))
 
 
 def entry_points(nodes: DataFrame, edges: DataFrame, n: int, pattern: str = "(?i)(main|handler|index|init)") -> DataFrame:

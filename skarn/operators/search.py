@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 K1, B = 1.2, 0.75
 # Words that a query leaves out.
-STOP_WORDS = ["the", "and", "for", "with", "this", "that", "from", "what", "how", "where", "when", "does", "are", "was", "not", "you", "can", "all", "which", "who", "why", "will", "has", "have", "into", "its"]
+STOP_WORDS = frozenset(
+    "the and for with from this that have been will would could should does done make made use used using work works find found show call called get set add all any how what when where which who "
+    "why fix bug code file files function method class type build run test a an in of to is it by on at as or be do if no so up not but are was has had its can may also into then than just more "
+    "some such each over only new out two way see him his her she they them their our your you we me my".split()
+)
 
 
 def tokens(c: Column) -> Column:
@@ -20,7 +24,7 @@ def query_terms(text: str) -> list[str]:
     """Words of a query: identifiers are split, words below three letters and stop words left out."""
     import re
 
-    spaced = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", text)
+    spaced = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1 \2", re.sub(r"([a-z])([A-Z])", r"\1 \2", text))
     words = [w.lower() for w in re.split(r"[^A-Za-z0-9]+", spaced)]
     return list(dict.fromkeys(w for w in words if len(w) >= 3 and w not in STOP_WORDS))
 
@@ -106,16 +110,20 @@ def symbol_tiers(nodes: DataFrame, text: str) -> DataFrame:
 
 
 def path_relevance(path: Column, terms: Sequence[str]) -> Column:
-    """+10 for a term in the file's name, +5 in a folder's, +3 elsewhere in the path."""
-    low, parts = F.lower(path), F.split(F.lower(path), "/")
-    name, total = F.element_at(parts, -1), F.lit(0)
+    """+10 for a term that is the file's name without its extension, +5 for one that is a folder, +3 for one within either."""
+    parts = F.filter(F.split(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), "/"), lambda p: p != "")
+    name, total = F.regexp_replace(F.try_element_at(parts, F.lit(-1)), r"(.)\.[^.]*$", "$1"), F.lit(0)
     for t in terms:
-        total = total + F.when(name.contains(t), 10).when(F.exists(F.slice(parts, 1, F.size(parts) - 1), (lambda t: lambda p: p == t)(t)), 5).when(low.contains(t), 3).otherwise(0)
+        folder, within = (lambda t: (lambda p: p == t, lambda p: p.contains(t)))(t)
+        total = total + F.when(name == t, 10).when(F.exists(F.slice(parts, 1, F.size(parts) - 1), folder), 5).when(F.exists(parts, within), 3).otherwise(0)
     return total
 
 
 # Bonus of a symbol's kind in rankings.
-KIND_BONUS = {"function": 10, "method": 9, "class": 8, "interface": 7, "type_alias": 6, "struct": 6, "trait": 6, "enum": 5, "component": 8, "route": 9, "module": 4, "property": 3, "variable": 2, "constant": 3, "import": 1, "export": 1}
+KIND_BONUS = {
+    "function": 10, "method": 10, "route": 9, "class": 8, "component": 8, "interface": 7, "type_alias": 6, "struct": 6, "trait": 6, "enum": 5, "module": 4, "namespace": 4,
+    "property": 3, "field": 3, "constant": 3, "variable": 2, "import": 1, "export": 1,
+}
 
 
 def kind_bonus(kind: Column) -> Column:

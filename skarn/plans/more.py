@@ -97,9 +97,8 @@ def d_summary(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", T.first_sentence(F.col("text")).alias("summary"))
 
 
-@query("select 'p' || p_partkey slug, case when p_partkey % 3 = 0 then 'new' when p_partkey % 3 = 1 then p_brand || chr(10) || chr(10) || 'more' else p_brand end as content from part where p_partkey < 300")
+@query("select 'p' || p_partkey slug, case when p_partkey % 3 = 0 then 'new' when p_partkey % 3 = 1 then p_brand || chr(10) || chr(10) || 'more' else p_brand end as content from part")
 def w_apply(spark, d):
-    """All parts; the SQL has 300."""
     p = table(spark, d, "part")
     pages = p.selectExpr("concat('p', p_partkey) slug", "p_brand content")
     blocks = p.where("p_partkey % 3 <> 2").selectExpr("concat('p', p_partkey) slug", "1L seq", "if(p_partkey % 3 = 0, 'replace', 'append') action", "if(p_partkey % 3 = 0, 'new', 'more') body")

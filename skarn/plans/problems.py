@@ -34,7 +34,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    """Each row of the tables' own keys counts in its own month; the SQL leaves the type of the reference out of the key."""
+    """Each row of the tables' own keys counts in its own month."""
     return orphans.orphan_report(_orphans(spark, d, typed=True))
 
 
@@ -98,7 +98,7 @@ found as (
 )
 """
 
-_QUALITY = """
+_QUALITY = r"""
 with claims as (select dataset_id, name, arg_max(struct_pack(n := null_pct, c := "cardinality", t := inferred_type, lo := min_value, hi := max_value), updated_at) s from data_columns group by all),
 last as (select dataset_id, max(snapshot_at) snap from data_rows group by 1),
 recs as (select r.dataset_id, r.row_no, max(r.row_json) j from data_rows r join last l on r.dataset_id = l.dataset_id and r.snapshot_at = l.snap group by all),
@@ -135,7 +135,8 @@ from reach r where to_id = id
     "p3_hierarchy": _TREE + "select id, root_id, depth, array_to_string(path, ' > ') path from walk",
     "p3_descendants": _TREE + "select path[i] ancestor_id, id descendant_id, (depth - i + 1)::int distance from walk, range(1, depth + 1) t(i)",
     "p4_found": _ORPHANS + "select ref_table, owner_id, qualified_name, reason from found where reason is not null",
-    "p4_report": _ORPHANS
+    "p4_report": _ORPHANS.replace("created_at from mem_links", "created_at, null::varchar ref_type from mem_links").replace("qualified_name, created_at from d", "qualified_name, created_at, ref_type from d")
+    .replace("'^\\s+|\\s+$', '', 'g') qualified_name,", "'^\\s+|\\s+$', '', 'g') qualified_name, ref_type,").replace("select ref_table, owner_id, qualified_name, first_at,", "select ref_table, owner_id, qualified_name, ref_type, first_at,")
     + """select ref_table, strftime(make_timestamp(first_at * 1000), '%Y-%m') "month", reason, count(*) orphans, count(distinct qualified_name) names
 from found where reason is not null group by all""",
     "p7_found": _COVER + "select topic_key, p gap_from, a gap_until from m where a > p",

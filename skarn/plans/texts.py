@@ -60,8 +60,9 @@ def x_symbol_search(spark, d):
     return search.symbol_tiers(table(spark, d, "nodes"), "fetch cache")
 
 
-_PATH = """case when contains(string_split(lower(file_path), '/')[-1], 'parser') then 10 when list_contains(string_split(lower(file_path), '/')[:-2], 'parser') then 5 when contains(lower(file_path), 'parser') then 3 else 0 end
-+ case when contains(string_split(lower(file_path), '/')[-1], 'auth') then 10 when list_contains(string_split(lower(file_path), '/')[:-2], 'auth') then 5 when contains(lower(file_path), 'auth') then 3 else 0 end"""
+_ONE_PATH = """case when regexp_replace(string_split(lower(file_path), '/')[-1], '(.)[.][^.]*$', '\\1') = '{t}' then 10 when list_contains(string_split(lower(file_path), '/')[:-2], '{t}') then 5
+when len(list_filter(string_split(lower(file_path), '/'), lambda x: contains(x, '{t}'))) > 0 then 3 else 0 end"""
+_PATH = " + ".join(_ONE_PATH.format(t=t) for t in ("parser", "auth"))
 
 
 @query(f"select distinct file_path, {_PATH} score from nodes where file_path is not null")
@@ -69,7 +70,7 @@ def x_path_relevance(spark, d):
     return table(spark, d, "nodes").where("file_path is not null").select("file_path", search.path_relevance(F.col("file_path"), ["parser", "auth"]).alias("score")).distinct()
 
 
-@query("select kind, count(*) n, max(case kind when 'function' then 10 when 'method' then 9 when 'class' then 8 when 'interface' then 7 when 'type_alias' then 6 when 'variable' then 2 when 'constant' then 3 when 'import' then 1 when 'enum' then 5 when 'module' then 4 when 'struct' then 6 when 'trait' then 6 when 'property' then 3 when 'route' then 9 when 'component' then 8 when 'export' then 1 else 0 end) bonus from nodes group by 1")
+@query("select kind, count(*) n, max(case when kind in ('function', 'method') then 10 when kind = 'route' then 9 when kind in ('class', 'component') then 8 when kind = 'interface' then 7 when kind in ('type_alias', 'struct', 'trait') then 6 when kind = 'enum' then 5 when kind in ('module', 'namespace') then 4 when kind in ('property', 'field', 'constant') then 3 when kind = 'variable' then 2 when kind in ('import', 'export') then 1 else 0 end) bonus from nodes group by 1")
 def x_kind_bonus(spark, d):
     return table(spark, d, "nodes").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max(search.kind_bonus(F.col("kind"))).alias("bonus"))
 
@@ -126,9 +127,8 @@ def x_task_context(spark, d):
     return search.task_context(table(spark, d, "nodes"), "How does the fetch cache resolve stale snapshots")
 
 
-@query("select distinct id, substr(concat_ws(chr(10), concat_ws(' ', kind, name), qualified_name, file_path, signature, docstring), 1, 2000) text from nodes where id is not null and length(concat_ws('', kind, name)) > 0 and kind = 'class'")
+@query("select distinct id, substr(concat_ws(chr(10), concat_ws(' ', kind, name), qualified_name, file_path, signature, docstring), 1, 2000) text from nodes where id is not null and length(concat_ws('', kind, name)) > 0 and kind in ('function', 'method', 'class', 'interface', 'type_alias', 'component', 'module')")
 def x_embedding_text(spark, d):
-    """All embeddable kinds; the SQL has classes only."""
     return table(spark, d, "nodes").where(F.col("kind").isin(*search.EMBEDDABLE_KINDS) & F.col("id").isNotNull()).select("id", search.embedding_text().alias("text")).distinct()
 
 
@@ -226,18 +226,18 @@ def d_lint(spark, d):
     return documents.broken_parents(table(spark, d, "doc_sections"))
 
 
-@query("with p as (select p_partkey k, 'page-' || p_partkey slug, 'see [[page-' || (p_partkey * 7) % 1500 || ']] and [[Page-' || p_partkey // 2 || ']]' c from part where p_partkey < 1000), l as (select distinct slug, unnest(list_transform(regexp_extract_all(c, '\\[\\[([^\\]|#]+)', 1), lambda x: trim(lower(x)))) target from p) select slug, 'broken ' || target finding from l where target not in (select slug from p) union all select slug, 'orphan' from p where slug not in (select target from l where slug <> target)")
+@query("with p as (select p_partkey k, 'page-' || p_partkey slug, 'see [[page-' || (p_partkey * 7) % (select ceil(count(*) * 1.5)::bigint from part) || ']] and [[Page-' || p_partkey // 2 || ']]' c from part), l as (select distinct slug, unnest(list_transform(regexp_extract_all(c, '\\[\\[([^\\]|#]+)', 1), lambda x: trim(lower(x)))) target from p) select slug, 'broken ' || target finding from l where target not in (select slug from p) union all select slug, 'orphan' from p where slug not in (select target from l where slug <> target)")
 def w_lint(spark, d):
-    """A page per part; links go to one and a half times as many pages, so that some are broken. The SQL has 1,000 pages."""
+    """A page per part; links go to one and a half times as many pages, so that some are broken."""
     part = table(spark, d, "part")
     n = part.agg(F.ceil(F.count(F.lit(1)) * 1.5)).scalar()
     p = part.withColumn("n", n).selectExpr("concat('page-', p_partkey) slug", "concat('see [[page-', (p_partkey * 7) % n, ']] and [[Page-', p_partkey div 2, ']]') content")
     return documents.wiki_lint(p, "slug", "content")
 
 
-@query("with o as (select p_partkey k, p_brand b, 1 n from part where p_partkey < 500), w as (select p_partkey k, upper(p_brand) b, 2 n from part where p_partkey between 400 and 600) select coalesce(o.k, w.k) k, coalesce(w.b, o.b) b, (coalesce(o.n, 0) + coalesce(w.n, 0))::bigint n from o full join w using (k)")
+@query("with o as (select p_partkey k, p_brand b, 1 n from part where p_partkey % 6 < 5), w as (select p_partkey k, upper(p_brand) b, 2 n from part where p_partkey % 6 >= 4) select coalesce(o.k, w.k) k, coalesce(w.b, o.b) b, (coalesce(o.n, 0) + coalesce(w.n, 0))::bigint n from o full join w using (k)")
 def w_upsert(spark, d):
-    """Of six parts, four are only stored, one is only new and one is both. The SQL has 601 parts."""
+    """Of six parts, four are only stored, one is only new and one is both."""
     p = table(spark, d, "part")
     o = p.where("p_partkey % 6 < 5").selectExpr("p_partkey k", "p_brand b", "1L n")
     return documents.upsert(o, p.where("p_partkey % 6 >= 4").selectExpr("p_partkey k", "upper(p_brand) b", "2L n"), ["k"], "n")
@@ -299,9 +299,8 @@ def t_superseded(spark, d):
     return table(spark, d, "mem_observations").select("id", "superseded_by").distinct().where("superseded_by is not null").groupBy("superseded_by").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("with r as (select l_orderkey a, l_partkey b, l_returnflag relation, l_discount confidence, l_linenumber created_at from lineitem where l_orderkey < 2000), p as (select least(a, b) a, greatest(a, b) b, relation, confidence, created_at from r) select a, b, arg_max(relation, (created_at, confidence, relation)) relation, arg_max(confidence, (created_at, confidence, relation)) confidence from p group by a, b")
+@query("with r as (select l_orderkey a, l_partkey b, l_returnflag relation, l_discount confidence, l_linenumber created_at from lineitem), p as (select least(a, b) a, greatest(a, b) b, relation, confidence, created_at from r) select a, b, arg_max(relation, (created_at, confidence, relation)) relation, arg_max(confidence, (created_at, confidence, relation)) confidence from p group by a, b")
 def t_relations(spark, d):
-    """All line items; the SQL has the orders below 2,000."""
     r = table(spark, d, "lineitem").selectExpr("l_orderkey a", "l_partkey b", "l_returnflag relation", "l_discount confidence", "l_linenumber created_at")
     return memory.relation_pairs(r)
 
@@ -325,9 +324,9 @@ def c_identifiers(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.concat(F.lit("["), F.array_join(T.identifiers(F.col("text")), ", "), F.lit("]")).alias("ids"))
 
 
-@query("select a.v version_a, b.v version_b from (select distinct regexp_extract(text, 'v(\\d+\\.\\d+\\.\\d+)', 1) v from documents where doc_id < 200) a, (select '3.0.0' v) b where a.v <> '' and list_transform(string_split(a.v, '.'), lambda x: x::int) > [3, 0, 0]")
+@query("select a.v version_a, b.v version_b from (select distinct unnest(regexp_extract_all(text, 'v(\\d+\\.\\d+\\.\\d+)', 1)) v from documents where text is not null) a, (select '3.0.0' v) b where list_transform(string_split(a.v, '.'), lambda x: x::int) > [3, 0, 0]")
 def c_versions(spark, d):
-    """All versions of all texts; the SQL reads the first one of 199 texts."""
+    """All versions of all texts."""
     found = table(spark, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"v(\d+\.\d+\.\d+)"), F.lit(1)))).alias("version_a"))
     v = found.distinct().withColumn("version_b", F.lit("3.0.0"))
     return v.where(T.version_key(F.col("version_a")) > T.version_key(F.col("version_b")))
@@ -338,9 +337,8 @@ def c_half_up(spark, d):
     return table(spark, d, "part").select("p_partkey", T.half_up(F.col("p_retailprice"), 1).alias("rounded"), F.when(F.col("p_size") > 40, "large").when(F.col("p_size") > 20, "middle").otherwise("small").alias("band"))
 
 
-@query("with p as (select p_name, p_partkey from part where p_partkey < 300) select a.p_partkey ka, levenshtein(a.p_name, 'part') as distance, sha256(a.p_name) h from p a")
+@query("with p as (select p_name, p_partkey from part) select a.p_partkey ka, levenshtein(a.p_name, 'part') as distance, sha256(a.p_name) h from p a")
 def c_hash_distance(spark, d):
-    """All parts; the SQL has 300."""
     return table(spark, d, "part").select(F.col("p_partkey").alias("ka"), F.levenshtein("p_name", F.lit("part")).cast("bigint").alias("distance"), F.sha2("p_name", 256).alias("h"))
 
 
