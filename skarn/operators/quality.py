@@ -1,13 +1,15 @@
 """Column-level data quality: profiles, claims checked against rows, drift between loads.
 
-Plain Parquet columns are profiled chunk by chunk (:func:`profile_parquet`): footers give null counts and extrema where
-they are exact, dictionaries give the distinct candidates, and only chunks with insufficient statistics are scanned.
-Values kept as text in JSON have no chunk of their own, so their chunks are always insufficient and are scanned
-(:func:`profile_json`), unless the footers show that a file holds nothing to scan.
+Parquet columns are profiled chunk by chunk (:func:`profile_parquet`): footers give null counts and extrema where they
+are exact, dictionary pages give the distinct candidates, and only chunks that these leave open are decoded. Values kept
+as text in JSON have no chunk of their own, so their chunks are always insufficient and are scanned
+(:func:`profile_json`).
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
@@ -16,12 +18,13 @@ from skarn.sources import footers
 
 # Texts that mean null, in lower case.
 NULL_WORDS = ["", "null", "na", "n/a"]
-_BLANK = r"[\s\p{Z}\x{85}\x{1C}-\x{1F}\x{FEFF}]"
+# White space of Unicode.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def clean_value(c: Column) -> Column:
     """The value without outer blanks; null for the words that mean null."""
-    v = F.regexp_replace(c, f"^{_BLANK}+|{_BLANK}+$", "")
+    v = F.btrim(c, F.lit(BLANKS))
     return F.when(~F.lower(v).isin(NULL_WORDS), v)
 
 
@@ -145,70 +148,42 @@ def drift(history: DataFrame) -> DataFrame:
     return side.withColumn("what", what).where("what is not null").join(both, "dataset_id", "left_semi").select("dataset_id", "column_name", "what")
 
 
-def quality_cases(spark: SparkSession, rows_path: str, columns: DataFrame, history: DataFrame) -> DataFrame:
+def quality_cases(rows: DataFrame, columns: DataFrame, history: DataFrame) -> DataFrame:
     """All failed checks of the datasets' columns: (dataset_id, column_name, check_name)."""
     claims = current_rows(columns.select("dataset_id", "name", "null_pct", "cardinality", "inferred_type", "min_value", "max_value", "updated_at"), ["dataset_id", "name"], "updated_at")
     wanted = claims.select("dataset_id", F.col("name").alias("column_name"))
-    # Files whose footers prove that they hold no record need no scan; all others do: their values are inside JSON.
-    need = footers.chunks(spark, rows_path, ["row_json"]).where("nulls is null or nulls < n_rows").select("path").distinct()
-    files = [r.path for r in need.collect()]  # file names, not data
-    schema = spark.read.parquet(rows_path).schema
-    rows = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+    # The values are inside JSON: no footer and no dictionary tells them, so every chunk is insufficient and is scanned.
     checked = check_claims(profile_json(rows, wanted), claims)
     drifted = drift(history).select("dataset_id", "column_name", F.lit("drift").alias("check_name"))
     return checked.unionByName(drifted)
 
 
-def profile_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Profile of flat Parquet columns: (column, n_rows, nulls, distinct_values, low, high, scanned_chunks).
+def profile_parquet(spark: SparkSession, tables: dict[str, str], columns: list[str] | None = None) -> DataFrame:
+    """Profile of every column of Parquet tables (name to path):
+    (table_name, column_name, n_rows, nulls, distinct_values, low, high, low_number, high_number, odd_values,
+    footer_chunks, dictionary_chunks, decoded_chunks, read_bytes).
 
-    low and high are texts of the exact extrema. Per chunk: nulls and extrema come from the footer when it has them
-    exactly (integers, booleans, dates, times), the distinct candidates from the dictionary when every page used it;
-    chunks that lack either are decoded, and only those columns of those row groups. Nested columns are left out.
+    Per chunk: nulls come from the footer; a chunk of nulls or of one whole number is settled by it. Otherwise the
+    dictionary page gives the distinct values, and with them the extrema, if every data page refers to it. All other
+    chunks, and nested ones, are decoded, and the last four columns tell how many chunks went which way. low and high
+    are exact texts, of floating columns low_number and high_number (without NaN). odd_values: distinct texts that
+    don't have the shape of at least 90 % of them, or 0 where no shape has that share. A nested column counts whole values,
+    and its extrema are those of its elements (if it has one kind of them).
     """
-    schema = spark.read.parquet(path).schema
-    flat = [f.name for f in schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    flat = [c for c in flat if columns is None or c in columns]
-    every = footers.chunks(spark, path, flat)
-    known = every.where("exact and nulls is not null").groupBy("column").agg(
-        F.sum("n_rows").alias("n_rows"), F.sum("nulls").alias("nulls"), F.min(F.expr("try_cast(low as decimal(38,0))")).alias("low_n"), F.max(F.expr("try_cast(high as decimal(38,0))")).alias("high_n"),
-        F.min("low").alias("low_t"), F.max("high").alias("high_t"),
-    )
-    scanned = every.where("not (exact and nulls is not null)").mapInArrow(_scan, SCANNED).groupBy("column").agg(
-        F.sum("n_rows").alias("s_rows"), F.sum("nulls").alias("s_nulls"), F.min("low").alias("s_low"), F.max("high").alias("s_high"),
-        F.min("low_d").alias("s_low_d"), F.max("high_d").alias("s_high_d"), F.count(F.lit(1)).alias("scanned"),
+    rows = footers.profile(spark, list(tables.values()), columns)
+    # Equal values of chunks meet first, then values of a shape: both by hash, whatever the length of the texts was.
+    once = rows.groupBy("table_no", "column", "value", "shape", "stats").agg(F.count("value").alias("chunks"))
+    by_shape = once.groupBy("table_no", "column", "shape", "stats").agg(F.count("value").alias("n_values"))
+    told = by_shape.select("table_no", "column", "shape", "n_values", F.from_json("stats", footers.STATS).alias("s")).select("*", "s.*")
+    sums = ("n_rows", "nulls", "footer_chunks", "dictionary_chunks", "decoded_chunks", "read_bytes")
+    stats = [*[F.sum(c).alias(c) for c in sums], *[(F.min if c.startswith("low") else F.max)(c).alias(c) for c in ("low_i", "low_d", "low_t", "high_i", "high_d", "high_t")]]
+    whole = told.groupBy("table_no", "column").agg(*stats, F.sum("n_values").alias("distinct_values"), F.max(F.when(F.col("shape").isNotNull(), F.col("n_values"))).alias("top"), F.max("is_text").alias("text"))
+    name = F.try_element_at(F.array(*[F.lit(n) for n in tables]), F.col("table_no") + 1)
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return whole.select(
+        name.alias("table_name"), F.col("column").alias("column_name"), zero("n_rows"), zero("nulls"), "distinct_values",
+        F.coalesce(F.col("low_i").cast("string"), "low_t").alias("low"), F.coalesce(F.col("high_i").cast("string"), "high_t").alias("high"),
+        F.col("low_d").alias("low_number"), F.col("high_d").alias("high_number"),
+        F.when(F.col("text") & (F.col("top") >= F.col("distinct_values") * 0.9), F.col("distinct_values") - F.col("top")).otherwise(0).alias("odd_values"),
+        *map(zero, ("footer_chunks", "dictionary_chunks", "decoded_chunks", "read_bytes")),
     )
-    distinct = footers.dictionary_values(every.where("n_rows > 0")).groupBy("column", "value").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("one").alias("distinct_values"))
-    number = F.coalesce("low_n", F.lit(None).cast("decimal(38,0)"))
-    return (
-        known.join(scanned, "column", "full_outer").join(distinct, "column", "left")
-        .select(
-            "column", (F.coalesce("n_rows", F.lit(0)) + F.coalesce("s_rows", F.lit(0))).alias("n_rows"),
-            (F.coalesce("nulls", F.lit(0)) + F.coalesce("s_nulls", F.lit(0))).alias("nulls"), F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"),
-            F.coalesce(F.col("s_low"), F.col("s_low_d").cast("string"), number.cast("string"), F.col("low_t")).alias("low"),
-            F.coalesce(F.col("s_high"), F.col("s_high_d").cast("string"), F.col("high_n").cast("string"), F.col("high_t")).alias("high"),
-            F.coalesce("scanned", F.lit(0)).alias("scanned_chunks"),
-        )
-    )
-
-
-SCANNED = "column string, n_rows bigint, nulls bigint, low string, high string, low_d double, high_d double"
-
-
-def _scan(batches):
-    """Nulls and extrema of chunks by decoding them."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    for b in batches:
-        rows = []
-        at = {n: i for i, n in enumerate(b.schema.names)}
-        for uri, group, column in zip(*(b.column(at[c]).to_pylist() for c in ("path", "row_group", "column"))):
-            col = footers._open(uri).read_row_group(group, columns=[column]).column(0)
-            floating = pa.types.is_floating(col.type)
-            ends = pc.min_max(col.filter(pc.invert(pc.is_nan(col))) if floating else col)
-            low, high = ends["min"].as_py(), ends["max"].as_py()
-            text = lambda v: None if v is None or floating else str(v)
-            rows.append({"column": column, "n_rows": len(col), "nulls": col.null_count, "low": text(low), "high": text(high), "low_d": low if floating else None, "high_d": high if floating else None})
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("column", pa.string()), ("n_rows", pa.int64()), ("nulls", pa.int64()), ("low", pa.string()), ("high", pa.string()), ("low_d", pa.float64()), ("high_d", pa.float64())]))

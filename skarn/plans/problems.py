@@ -39,12 +39,13 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return quality.quality_cases(spark, f"{d}/data_rows.parquet", table(spark, d, "data_columns"), table(spark, d, "data_dataset_history"))
+    return quality.quality_cases(table(spark, d, "data_rows"), table(spark, d, "data_columns"), table(spark, d, "data_dataset_history"))
 
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Footer-first profile of the flat columns of mem_observations, the largest table."""
-    return quality.profile_parquet(spark, f"{d}/mem_observations.parquet").drop("scanned_chunks")
+    """Footer-first profile of every column of every table."""
+    table(spark, d, "region")  # ships the package to the executors
+    return quality.profile_parquet(spark, {t: f"{d}/{t}.parquet" for t in COLUMNS}).drop("footer_chunks", "dictionary_chunks", "decoded_chunks", "read_bytes")
 
 
 def _cover(spark: SparkSession, d: str) -> intervals.Coverage:
@@ -59,6 +60,47 @@ def p7_periods(spark: SparkSession, d: str) -> DataFrame:
     return _cover(spark, d).periods.withColumnRenamed("entity", "topic_key")
 
 
+#: Columns of the tables: i whole number, b truth value, d number, t text, s time, [] list.
+COLUMNS = {
+    "customer": "c_custkey:i c_name:t c_nationkey:i c_acctbal:d c_mktsegment:t",
+    "data_code_refs": "dataset_id:t qualified_name:t ref_type:t confidence:d created_at:i",
+    "data_columns": "id:t dataset_id:t name:t position:i inferred_type:t nullable:b null_count:i null_pct:d cardinality:i min_value:t max_value:t mean_value:d sample_values:t[] summary:t updated_at:i",
+    "data_dataset_history": "id:i dataset_id:t snapshot_at:i row_count:i column_count:i columns_json:t content_hash:t",
+    "data_rows": "dataset_id:t snapshot_at:i row_no:i row_json:t",
+    "doc_code_refs": "section_id:t qualified_name:t ref_type:t confidence:d created_at:i",
+    "doc_sections": "id:t file_path:t title:t level:i parent_id:t summary:t byte_start:i byte_end:i content_hash:t tags:t[] position:i updated_at:i",
+    "doc_vectors": "section_id:t embedding:d[] model:t created_at:i",
+    "documents": "doc_id:i text:t lang:t source:t n_chars:i kind:t file_path:t indexed_at:s",
+    "embeddings": "vec_id:i embedding:d[] label:i",
+    "events": "event_id:i ts:s user_id:i event_type:t value:d props:t",
+    "kg_nodes": "node_id:t name:t kind:t file_path:t signature:t embedding:d[]",
+    "lineitem": "l_orderkey:i l_partkey:i l_suppkey:i l_linenumber:i l_quantity:d l_extendedprice:d l_discount:d l_tax:d l_returnflag:t l_linestatus:t l_shipdate:s",
+    "mem_links": "observation_id:t qualified_name:t relevance:d created_at:i",
+    "mem_observations": "id:t session_id:t content:t content_raw:t content_hash:t kind:t source:t tags:t[] created_at:i valid_from:i valid_until:i superseded_by:t fact_type:t topic_key:t review_after:i",
+    "mem_vectors": "observation_id:t embedding:d[] model:t created_at:i",
+    "name_lexicon": "token:t name_part:t",
+    "nation": "n_nationkey:i n_name:t n_regionkey:i",
+    "nodes": "id:t kind:t name:t qualified_name:t file_path:t language:t start_line:i end_line:i docstring:t signature:t is_exported:b decorators:t[] complexity_cyclomatic:i maintainability_index:d nesting_depth:i updated_at:i removed_at:i",
+    "orders": "o_orderkey:i o_custkey:i o_orderstatus:t o_totalprice:d o_orderdate:s o_orderpriority:t",
+    "pack_sizes": "pack_name:t capacity_tokens:i",
+    "part": "p_partkey:i p_name:t p_brand:t p_type:t p_size:i p_retailprice:d",
+    "region": "r_regionkey:i r_name:t",
+    "supplier": "s_suppkey:i s_name:t s_nationkey:i s_acctbal:d",
+}
+
+
+def _profile_sql(name: str, column: str, kind: str) -> str:
+    nested = kind.endswith("[]")
+    values = f"(select {column} v from {name})"
+    elements = f"(select unnest({column}) v from {name})" if nested else values
+    ends = {"i": "min(v)::varchar low, max(v)::varchar high", "b": "min(v::int)::varchar low, max(v::int)::varchar high", "t": "min(v) low, max(v) high", "s": "min(v)::varchar low, max(v)::varchar high", "d": "null::varchar low, null::varchar high"}[kind[0]]
+    number = "(min(v) filter (where not isnan(v)))::double low_number, (max(v) filter (where not isnan(v)))::double high_number" if kind[0] == "d" else "null::double low_number, null::double high_number"
+    shape = "regexp_replace(regexp_replace(v, '[A-Za-z]+', 'a', 'g'), '[0-9]+', '9', 'g')"
+    odd = f"(select case when max(n) >= sum(n) * 0.9 then sum(n) - max(n) else 0 end from (select count(*) n from (select distinct v from {values} where v is not null) group by {shape}))" if kind == "t" else "0"
+    counts = f"(select count(*) n_rows, count(*) - count(v) nulls, count(distinct v) distinct_values, coalesce({odd}, 0)::bigint odd_values from {values})"
+    return f"select '{name}' table_name, '{column}' column_name, * from {counts}, (select {ends}, {number} from {elements})"
+
+
 QUERIES = {f.__name__: f for f in (p3_found, p3_hierarchy, p3_descendants, p4_found, p4_report, p5_found, p5_profile, p7_found, p7_periods)}
 
 _SECTIONS = """
@@ -123,6 +165,7 @@ d as (select coalesce(a.dataset_id, b.dataset_id) dataset_id, coalesce(a.name, b
   where a.name is null or b.name is null or a.t <> b.t or abs(a.np - b.np) > 0.05 + 1e-12 or (a.card <> b.card and greatest(a.card, b.card) >= 2 * least(a.card, b.card)))
 """
 ORACLES = {
+    "p5_profile": " union all ".join(_profile_sql(t, *c.split(":")) for t, cols in COLUMNS.items() for c in cols.split()),
     "p5_found": _QUALITY + "select dataset_id, name column_name, check_name from checks where check_name is not null union all select dataset_id, name, 'drift' from d",
     "p3_found": f"""
 with recursive {_SECTIONS},
