@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from skarn.session import parallelism
 from skarn.sources import pages
 
 #: Physical types whose footer extrema are exact: byte arrays may be cut short, floating columns may hide NaN.
@@ -48,8 +49,13 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def row_groups(found: DataFrame) -> DataFrame:
-    """(path, row_group, n_rows) of the files, spread evenly: a large file is no single task."""
-    return found.mapInArrow(_groups, "path string, row_group int, n_rows bigint").where("n_rows > 0").repartition("path", "row_group")
+    """(path, row_group, n_rows) of the files, spread evenly: a large file is no single task.
+
+    The number of tasks is given, since the few bytes of these rows say nothing of the work behind them.
+    """
+    spark = found.sparkSession
+    tasks = max(4 * parallelism(spark), 2 * spark.sparkContext.defaultParallelism)
+    return found.mapInArrow(_groups, "path string, row_group int, n_rows bigint").where("n_rows > 0").repartition(tasks, "path", "row_group")
 
 
 PROFILE = "table_no int, column string, value string, shape string, stats string"
