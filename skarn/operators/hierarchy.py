@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from skarn.session import cut
-from skarn.skew import SALTS, current_rows, hot_keys, salted_join
+from skarn.session import cut, cut_counted, drop
+from skarn.skew import current_rows, salted_join
 
 
 @dataclass
@@ -37,86 +37,57 @@ def links_of(df: DataFrame, id: str, parent: str, updated: str | None) -> DataFr
 
 
 def build(df: DataFrame, id: str = "id", parent: str = "parent_id", updated: str | None = "updated_at", with_paths: bool = True) -> Hierarchy:
-    """Extend paths and depths level by level from the roots.
+    """Extend roots, depths and paths from the roots by frontier joins whose reach doubles.
 
-    Roots are rows without a parent or whose parent is no row. Each level joins only the frontier with the links, which
-    are written once, without a shuffle of what was reached before; what no level reaches hangs on a loop. A parent with
-    a great share of all children is salted on both sides. The number of levels is the depth of the data, not a limit.
+    Roots are rows without a parent or whose parent is no row. A row that isn't reached yet knows an ancestor and the way
+    below it; each round joins these rows with the state of that ancestor. If a root reaches the ancestor, it reaches the
+    row, and else the way grows by the ancestor's own. Round t so reaches the levels up to 2**t - 1, and as levels have no
+    gaps, a round that reaches nothing is the last one: what is left hangs on loops. A parent with a great share of the
+    rows is salted. The number of rounds is the logarithm of the depth of the data, not a limit.
 
     Defined cases: null ids are no nodes; null and empty parents are none; the greatest ``updated`` row of an id counts;
     an empty table gives empty results; a node that is its own parent is a loop of one.
     """
-    spark = df.sparkSession
     links = cut(links_of(df, id, parent, updated), "links")
-    hot = F.broadcast(hot_keys(links, "parent_id").withColumn("__hot", F.lit(True)))
     known = links.select(F.col("id").alias("parent_id"), F.lit(True).alias("has"))
-    keyed = links.join(hot, links["parent_id"] == hot["hot_key"], "left").select(
-        "id", "parent_id", F.when(F.col("__hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt")
-    )
-    spread = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    parents = known.join(hot, known["parent_id"] == hot["hot_key"], "left").select("parent_id", "has", F.explode(spread).alias("salt"))
-    marked = cut(
-        keyed.join(parents, ["parent_id", "salt"], "left")
-        .select("id", "salt", F.when(F.col("has"), F.col("parent_id")).alias("parent_id"))
-        .join(hot, F.col("id") == F.col("hot_key"), "left")
-        .select("id", "parent_id", "salt", F.coalesce("__hot", F.lit(False)).alias("fans_out")),
-        "tree",
-    )
-    edges = marked.where("parent_id is not null").select(
-        F.col("id").alias("c_id"), F.col("parent_id").alias("c_parent"), F.col("salt").alias("c_salt"), F.col("fans_out").alias("c_fans")
-    )
-    path = F.array(F.col("id")) if with_paths else F.array().cast("array<string>")
-    frontier = marked.where("parent_id is null").select(
-        "id", F.lit(None).cast("string").alias("parent_id"), F.col("id").alias("root_id"), F.lit(0).alias("depth"), path.alias("path"), "fans_out"
-    )
-    frontier = cut(frontier, "level")
-    levels = [frontier]
-    while True:
-        f_salt = F.explode(F.when(F.col("fans_out"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-        front = frontier.withColumn("f_salt", f_salt)
-        longer = F.concat("path", F.array("c_id")) if with_paths else F.col("path")
-        following = front.join(edges, (front["id"] == edges["c_parent"]) & (front["f_salt"] == edges["c_salt"])).select(
-            F.col("c_id").alias("id"), F.col("c_parent").alias("parent_id"), "root_id", (F.col("depth") + 1).alias("depth"), longer.alias("path"), F.col("c_fans").alias("fans_out")
+    own = F.array(F.col("id")) if with_paths else F.array().cast("array<string>")
+    start = salted_join(links, known, "parent_id").select(
+        "id", F.when(F.col("has"), F.col("parent_id")).alias("parent_id"), F.when(F.col("has"), F.col("parent_id")).alias("up"),
+        F.when(F.col("has").isNull(), F.col("id")).alias("root_id"), F.when(F.col("has"), 1).otherwise(0).alias("depth"), own.alias("path"),
+    )
+    is_open = F.col("root_id").isNull()
+    state, n = cut_counted(start, "tree", F.count_if(is_open).alias("open"))
+    drop(links)
+    while n["open"]:
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("root_id").alias("root2"), F.col("depth").alias("depth2"), F.col("path").alias("path2"))
+        # An ancestor is one row; where very many rows hang on one, the adaptive plan splits its partition.
+        ahead = state.where(is_open).drop("root_id").join(above, "up").select(
+            "id", "parent_id", F.col("up2").alias("up"), F.col("root2").alias("root_id"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.concat("path2", "path") if with_paths else F.col("path")).alias("path")
         )
-        frontier = cut(following, "level")
-        if frontier.isEmpty():
+        before, last = n["open"], state
+        state, n = cut_counted(ahead.unionByName(state.where(~is_open)), "tree", F.count_if(is_open).alias("open"))
+        drop(last)
+        if n["open"] == before:
             break
-        levels.append(frontier)
-    reached = _union(levels).drop("fans_out")
-    unreached = marked.select("id", "parent_id").join(reached.select("id"), "id", "left_anti")
-    return Hierarchy(reached, unreached)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    """Read all written levels in one scan; a union of many frames would plan each anew."""
-    paths = [f for p in parts for f in p.inputFiles()]
-    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*paths) if paths else parts[0]
+    return Hierarchy(state.where(~is_open).select("id", "parent_id", "root_id", "depth", "path"), state.where(is_open).select("id", "parent_id"))
 
 
 def loops(links: DataFrame) -> DataFrame:
     """Nodes on a loop of parent links, given rows that no root reaches: (cycle_id, id), cycle_id the smallest id.
 
-    Every such row leads into a loop. The frontier of all rows jumps ahead by doubled distances; the nodes that are
-    still visited when the set of targets no longer shrinks are those visited again and again: the loops. The same
-    jumps carry the smallest id seen. Rounds are logarithmic in the longest way.
+    Every such row leads into a loop. All rows jump ahead by doubled distances, and rows that nothing jumps to leave. When
+    none leaves, the jumps are a permutation: what is left are the loops. The jumps carry the smallest id seen; when it no
+    longer changes anywhere, it is that of the loop. Rounds are logarithmic in the longest way.
     """
     jump = cut(links.select("id", F.col("parent_id").alias("to"), F.col("id").alias("low")), "jump")
-    n_before, stable = -1, False
+    before = -1
     while True:
-        targets = jump.select(F.col("to").alias("id")).distinct()
-        n = targets.count()
-        if n == n_before and stable:
-            break
-        n_before = n
-        # Only nodes that are still targets can be on a loop; every target of a target is one, too.
-        kept = jump.join(targets, "id", "left_semi") if n else jump
-        ahead = kept.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
-        nxt = cut(
-            salted_join(kept, ahead, "to", "inner").select("id", F.col("to2").alias("to"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved")),
-            "jump",
-        )
-        stable = nxt.where("moved").isEmpty()
-        jump = nxt.drop("moved")
-        if n == 0:
-            break
-    return jump.select(F.col("low").alias("cycle_id"), "id")
+        ahead = jump.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
+        kept = jump.join(jump.select(F.col("to").alias("id")).distinct(), "id", "left_semi")
+        step = kept.join(ahead, "to").select("id", F.col("to2").alias("to"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved"))
+        last = jump
+        jump, seen = cut_counted(step, "jump", F.count(F.lit(1)).alias("n"), F.max("moved").alias("moved"))
+        drop(last)
+        if not seen["n"] or (seen["n"] == before and not seen["moved"]):
+            return jump.select(F.col("low").alias("cycle_id"), "id")
+        before = seen["n"]

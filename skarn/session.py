@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -78,8 +78,7 @@ def shared_dir(spark: SparkSession) -> str:
 def _drop_written() -> None:
     for spark, path in _written:
         try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _remove(spark, path)
         except Exception:  # the session is gone: the folder's owner cleans up
             return
 
@@ -93,11 +92,39 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     Parquet rather than a row checkpoint, so that the copy is compressed, column-pruned on reading, and its size is
     known to the planner.
     """
+    return _cut(df, name)
+
+
+def _cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "snappy").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def cut_counted(df: DataFrame, name: str, *aggregates: Column) -> tuple[DataFrame, dict]:
+    """The same, with aggregates over the rows that the writing job itself takes, so that a loop needs no second job."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    out = _cut(df.observe(seen, *aggregates), name)
+    return out, seen.get
+
+
+def drop(df: DataFrame) -> None:
+    """Remove a table that :func:`cut` wrote and that no plan still to run reads."""
+    path = getattr(df, "written_to", None)
+    for i, (spark, p) in enumerate(_written):
+        if p == path:
+            _remove(spark, p)
+            del _written[i]
+            return
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def parallelism(spark: SparkSession) -> int:
