@@ -36,6 +36,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each usable vector with its class of equal vectors (the smallest key names it), the number of its copies and the
+    number of other classes with a cosine of at least 0.9: no copy is expanded into pairs."""
+    parts = []
+    for name, key, updated in VECTOR_TABLES:
+        members, links = vectors.linked_classes(vectors.usable(table(spark, d, name), key, updated=updated), 0.9)
+        counted = vectors.links_of(links)
+        parts.append(members.join(counted, "class_id", "left").select(F.lit(name).alias("vec_table"), F.col("vec_key").alias("key"), "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p2_knn(spark: SparkSession, d: str) -> DataFrame:
     """The 10 most similar keys of every usable vector, per vector table."""
     parts = []
@@ -97,7 +108,7 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p1_found, p1_pairs, p1_source_pairs, p2_found, p2_knn, p6_found, p6_classes, p8_ids, p8_round_trip, p9_pack, p9_waste, p10_found, p10_masked)
+    f.__name__: f for f in (p1_found, p1_pairs, p1_source_pairs, p2_found, p2_classes, p2_knn, p6_found, p6_classes, p8_ids, p8_round_trip, p9_pack, p9_waste, p10_found, p10_masked)
 }
 
 

@@ -1,7 +1,8 @@
 """Most similar vectors for every vector, by randomly rotated one-bit codes.
 
-Vectors are gathered into cells around centroids that are fitted on a bounded sample; every vector is put into its
-``reach`` nearest cells. Within a cell, the direction of a vector from the centroid is rotated at random and kept as one
+Vectors are gathered into cells around centroids that are fitted on a bounded sample. For pairs of a least cosine a vector
+is put into every cell in which the middle between it and a partner may lie (:func:`place`), however many these are; for
+neighbours, into its ``reach`` nearest cells. Within a cell, the direction of a vector from the centroid is rotated at random and kept as one
 bit per dimension with two correction scalars (distance from the centroid, inner product of code and direction). Inner
 products of a query with all codes are estimated from its 4-bit quantised coordinates by AND and popcount; the error
 bound of the estimate decides which vectors are compared exactly. Cells beyond ``block`` rows are cut into blocks, and
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from skarn.session import cut
-from skarn.skew import hashed_sample
+from skarn.skew import hashed_sample, hot_keys, salted_join
 
 #: Rows, about, on which centroids are fitted (a bounded sample; every row is indexed).
 SAMPLE = 20_000
@@ -27,6 +28,10 @@ SAMPLE = 20_000
 QUERY_BITS = 4
 #: Width of the error bound in standard deviations of the estimate.
 WIDTH = 4.0
+#: Deviations by which a vector may lie nearer to its own centroid than to that of the cell where it meets a partner.
+MARGIN = 3.0
+#: Deviations by which an estimate may lie below the k-th exact product for its vector to be compared exactly.
+NEAR_WIDTH = 1.0
 #: Rows of a cell's block at most (per side of a task).
 BLOCK = 16_000
 #: Queries that are estimated at a time: their arrays shall stay in the processor's cache.
@@ -155,15 +160,6 @@ def deviation(codes: Codes, dim: int, step: float) -> np.ndarray:
     return np.sqrt(spread**2 + (step / math.sqrt(12) / codes.inner) ** 2)
 
 
-def estimate(codes: Codes, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products of unit directions (queries x codes), and the error's standard deviation per code."""
-    d = q.shape[1]
-    level, step, low = quantise(q)
-    over = step[:, None] * plane_sums(codes.bits, level) + low[:, None] * codes.ones  # coordinates where the code has a one
-    total = level.sum(1) * step + low * d
-    return (2 * over - total[:, None]) / math.sqrt(d) / codes.inner, deviation(codes, d, float(step.mean()) if len(q) else 0.0)
-
-
 def scores(codes: Codes, r: np.ndarray, rc_q: np.ndarray, rc_c: np.ndarray, cc: float) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """Estimated inner products of vectors (queries x codes) and their standard deviation as a product of two factors.
 
@@ -199,7 +195,7 @@ class Index:
     dim: int
 
 
-def build_index(vectors: DataFrame, dim: int = 64, cell_size: int | None = 600, cells: int | None = None) -> Index:
+def build_index(vectors: DataFrame, dim: int = 64, cell_size: int | None = 800, cells: int | None = None) -> Index:
     """Number the rows, write them, and fit centroids: about n / cell_size of them, at most a fifth of the sample.
 
     Without a cell_size the number of cells is a third of the root of n: for neighbours at any distance, whose cells must
@@ -213,24 +209,35 @@ def build_index(vectors: DataFrame, dim: int = 64, cell_size: int | None = 600,
     return Index(rows, fit_centroids(x, k) if n else np.zeros((0, dim), np.float32), n, dim)
 
 
-PLACED = "cell int, vec_id bigint, unit binary, q boolean"
-
+def place(index: Index, reach: int | None = None, least: float | None = None) -> DataFrame:
+    """Each vector once for each of its cells: (cell, vec_id, unit). They are the ``reach`` nearest ones, or, for pairs
+    with a cosine of at least ``least``, all cells that the vector may share with the middle between it and a partner.
 
-def place(index: Index, reach: int) -> DataFrame:
-    """Each vector once for each of its ``reach`` nearest cells: (cell, vec_id, unit)."""
+    Two unit vectors of that cosine are at most d = 2 sin(acos(least) / 4) away from their middle m. Let c be the centroid
+    nearest to m, and o that nearest to one of them, x. Then <m, c - o> >= 0, so that <x, o - c> <= <x - m, o - c>, whose
+    deviation for a direction that knows nothing of the centroids is d |o - c| / sqrt(dim). A cell c is taken if
+    <x, o - c> is at most MARGIN deviations; both vectors of a pair then meet in the cell of their middle.
+    """
     shared, dim = index.rows.sparkSession.sparkContext.broadcast(index.centroids), index.dim
+    away = None if least is None else MARGIN * 2 * math.sin(math.acos(max(-1.0, min(1.0, least))) / 4) / math.sqrt(dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        r = min(reach, len(c))
-        for b in batches:
-            x = matrix(b.column(1), dim)
-            if not len(x):
-                continue
-            g = x @ c.T
-            near = np.argpartition(-g, r - 1, axis=1)[:, :r] if r < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
-            at = pa.array(np.repeat(np.arange(len(x)), r))
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), b.column(0).take(at), b.column(1).take(at)], ["cell", "vec_id", "unit"])
+        apart = None if away is None else away * np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))
+        for whole in batches:
+            for s in range(0, whole.num_rows, 2000):
+                b = whole.slice(s, 2000)
+                x = matrix(b.column(1), dim)
+                g = x @ c.T
+                if apart is None:
+                    r = min(reach, len(c))
+                    near = np.argpartition(-g, r - 1, axis=1)[:, :r] if r < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
+                    at, cell = np.repeat(np.arange(len(x)), r), near.ravel()
+                else:
+                    own = g.argmax(1)
+                    at, cell = np.nonzero(g >= g[np.arange(len(x)), own][:, None] - apart[own] - 1e-6)
+                at = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), b.column(0).take(at), b.column(1).take(at)], ["cell", "vec_id", "unit"])
 
     return index.rows.select("vec_id", "unit").mapInArrow(run, "cell int, vec_id bigint, unit binary")
 
@@ -288,13 +295,30 @@ def _pairs_fn(centroids, dim: int, least: float):
     return run
 
 
-def similar_pairs(index: Index, least: float, reach: int = 3, block: int = BLOCK) -> DataFrame:
+def similar_pairs(index: Index, least: float, block: int = BLOCK) -> DataFrame:
     """Pairs (id_a < id_b, cosine) with cosine of at least ``least``, however many partners a vector has."""
     shared = index.rows.sparkSession.sparkContext.broadcast(index.centroids)
-    found = tasks(place(index, reach), block).groupBy("cell", "i", "j").applyInArrow(_pairs_fn(shared, index.dim, least), "id_a bigint, id_b bigint, cosine double")
+    found = tasks(place(index, least=least), block).groupBy("cell", "i", "j").applyInArrow(_pairs_fn(shared, index.dim, least), "id_a bigint, id_b bigint, cosine double")
     return found.groupBy("id_a", "id_b").agg(F.max("cosine").alias("cosine"))
 
 
+def linked_classes(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Equal vectors as classes: members (vec_key, class_id, copies) and pairs of classes (id_a, id_b, cosine), which name
+    them by their smallest key. However many copies a vector has, it is compared once."""
+    kept = cut(vectors, "usable")
+    classes = kept.groupBy("unit").agg(F.min("vec_key").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    index = build_index(classes.select(F.col("class_id").alias("vec_key"), "unit"))
+    pairs = named(index, similar_pairs(index, least), "id_a", "id_b")
+    hot = hot_keys(kept, "unit")
+    return salted_join(kept, classes, "unit", "inner", hot=hot).select("vec_key", "class_id", "copies"), pairs
+
+
+def links_of(pairs: DataFrame) -> DataFrame:
+    """(class_id, links): number of partners."""
+    ends = pairs.select(F.explode(F.array("id_a", "id_b")).alias("class_id"))
+    return ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+
+
 def _least_top(m: np.ndarray, k: int) -> np.ndarray:
     """Per row a value that at least ``k`` columns reach: the k-th of the greatest values of groups of columns, or the
     k-th value itself in short rows; the least float where there are fewer columns than that."""
@@ -307,6 +331,26 @@ def _least_top(m: np.ndarray, k: int) -> np.ndarray:
     return np.partition(m, n - k, axis=1)[:, n - k]
 
 
+def _compared(wanted: np.ndarray, x: np.ndarray, at: np.ndarray, ds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact products of the wanted (query, row) pairs, a row with itself left out: (query's place in at, row, product)."""
+    a, b = np.divmod(np.flatnonzero(wanted), wanted.shape[1])
+    b = ds[b]
+    keep = at[a] != b
+    a, b = a[keep], b[keep]
+    return a, b, np.einsum("ij,ij->i", x[at[a]], x[b])
+
+
+def _kth(a: np.ndarray, e: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The k-th greatest value per query; the least float where a query has fewer."""
+    order = np.lexsort((-e, a))
+    a, e = a[order], e[order]
+    first = np.searchsorted(a, np.arange(n))
+    out = np.full(n, np.finfo(np.float32).min, np.float32)
+    has = np.searchsorted(a, np.arange(n), side="right") - first >= k
+    out[has] = e[first[has] + k - 1]
+    return out - 1e-6
+
+
 def _nearest_fn(centroids, dim: int, k: int):
     turn = rotation(dim)
 
@@ -315,28 +359,25 @@ def _nearest_fn(centroids, dim: int, k: int):
         cc = float(c @ c)
         res: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for qs, ds in ((left, right),) if same else ((left, right), (right, left)):
-            codes, turned = encode(r[ds]), np.ascontiguousarray(x[ds].T)
-            where = {v: i for i, v in enumerate(ds.tolist())} if same else {}
+            codes = encode(r[ds])
             for s in range(0, len(qs), ROWS):
                 at = qs[s : s + ROWS]
                 mid, (norm, dev) = scores(codes, r[at], rc[at], rc[ds], cc)
-                # One deviation each way: candidates whose upper bound reaches the k-th lower bound.
-                half = norm[:, None] * dev
-                mid -= half
-                floor = _least_top(mid, k + 1)
-                half *= 2
-                mid += half
-                # The candidates are compared exactly. They are several per cent of a cell, so that one matrix product
-                # with a mask costs less than gathering their vectors.
-                exact = x[at] @ turned
-                exact[mid < floor[:, None]] = -2
-                if same:
-                    exact[np.arange(len(at)), [where[v] for v in at.tolist()]] = -2
-                few = _least_top(exact, k)
-                flat = np.flatnonzero(exact >= np.maximum(few, np.float32(-1.5))[:, None])
-                a, b = np.divmod(flat, exact.shape[1])
-                e = exact.ravel()[flat]
-                a, b = at[a], ds[b]
+                # The best estimates are compared exactly first: the k-th of these products is a floor for all others.
+                a, b, e = _compared(mid >= _least_top(mid, k + 1)[:, None], x, at, ds)
+                floor = _kth(a, e, len(at), k)
+                # Then the vectors whose upper bound reaches the floor. Those that no query of the group wants are left out
+                # of the product; within it a mask costs less than to gather pair by pair.
+                mid += norm[:, None] * (NEAR_WIDTH * dev)
+                mid -= floor[:, None]
+                wanted = np.flatnonzero(mid.max(0) >= 0)
+                exact = x[at] @ x[ds[wanted]].T
+                exact[mid[:, wanted] < 0] = -2
+                exact[at[:, None] == ds[wanted]] = -2
+                few = np.maximum(_least_top(exact, k), np.float32(-1.5))
+                a, b = np.divmod(np.flatnonzero(exact >= few[:, None]), len(wanted))
+                e = exact[a, b]
+                a, b = at[a], ds[wanted[b]]
                 order = np.lexsort((ids[b], -e, a))
                 a, b, e = a[order], b[order], e[order]
                 first = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, int)
