@@ -137,3 +137,178 @@ def apply_blocks(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     step = lambda acc, o: F.when(o.action == "append", F.concat(F.coalesce(acc, F.lit("")), F.when(acc.isNull() | (acc == ""), F.lit("")).otherwise(F.lit("\n\n")), o.body)).otherwise(o.body)
     folded = F.aggregate(F.coalesce("ops", F.array().cast("array<struct<seq: bigint, action: string, body: string>>")), F.col("content"), step)
     return both.select("slug", folded.alias("content"))
+
+
+# -- lint of documents ----------------------------------------------------------------------------------------------
+def docs_lint(sections: DataFrame, refs: DataFrame, nodes: DataFrame, contents: DataFrame | None = None, indexed: DataFrame | None = None) -> DataFrame:
+    """(check, subject, detail): broken refs (no such symbol), orphan refs (no such section), stale sections and sections
+    that the index lacks or has in excess.
+
+    contents: (file_path, text) as the files are now; a section is stale if its file is gone or the hash of its bytes is
+    another. indexed: (id) of the sections in the text index. Only current sections count.
+    """
+    from skarn.skew import current_rows
+
+    cur = current_rows(sections.select("id", "file_path", "byte_start", "byte_end", "content_hash", "updated_at"), ["id"], "updated_at")
+    named = refs.where("qualified_name is not null and section_id is not null").select("section_id", "qualified_name").distinct()
+    broken = named.join(nodes.select("qualified_name").distinct(), "qualified_name", "left_anti").select(F.lit("broken ref").alias("check"), F.col("section_id").alias("subject"), F.col("qualified_name").alias("detail"))
+    orphan = named.join(cur.select(F.col("id").alias("section_id")), "section_id", "left_anti").select(F.lit("orphan ref").alias("check"), F.col("section_id").alias("subject"), F.col("qualified_name").alias("detail"))
+    out = broken.unionByName(orphan)
+    if contents is not None:
+        now = cur.join(contents.select("file_path", "text"), "file_path", "left")
+        part = F.substring(F.encode("text", "UTF-8"), F.col("byte_start").cast("int") + 1, (F.col("byte_end") - F.col("byte_start")).cast("int"))
+        stale = now.where(F.col("text").isNull() | ~F.sha2(part, 256).eqNullSafe(F.col("content_hash")))
+        out = out.unionByName(stale.select(F.lit("stale section").alias("check"), F.col("id").alias("subject"), F.col("file_path").alias("detail")))
+    if indexed is not None:
+        sides = cur.select("id", F.lit(1).alias("n")).unionByName(indexed.select("id", F.lit(-1).alias("n"))).groupBy("id").agg(F.sum("n").alias("n")).where("n <> 0")
+        out = out.unionByName(sides.select(F.lit("index").alias("check"), F.col("id").alias("subject"), F.when(F.col("n") > 0, "missing").otherwise("in excess").alias("detail")))
+    return out
+
+
+# -- wiki pages from blocks -----------------------------------------------------------------------------------------
+def parse_blocks(texts: DataFrame, id: str, text: str) -> DataFrame:
+    """Edit blocks in texts: (doc, seq, action, page, title, section, mode, body). A block begins with a line of JSON; one
+    without a second line or with broken JSON is none. seq is the block's place in its text."""
+    found = F.regexp_extract_all(text, F.lit(r"(?s)WIKI_DIFF_START\n(.*?)\nWIKI_DIFF_END"), F.lit(1))
+    b = texts.where(F.col(text).isNotNull()).select(F.col(id).alias("doc"), F.posexplode(found).alias("seq", "raw")).withColumn("raw", F.regexp_replace("raw", r"\A\s+|\s+\z", ""))
+    head = F.from_json(F.trim(F.substring_index("raw", "\n", 1)), "struct<action: string, page: string, title: string, section: string, mode: string>")
+    body = F.substring(F.col("raw"), F.instr("raw", F.lit("\n")) + 1, F.length("raw"))
+    rows = b.where(F.col("raw").contains("\n") & F.try_parse_json(F.trim(F.substring_index("raw", "\n", 1))).isNotNull()).select("doc", "seq", head.alias("h"), body.alias("body"))
+    return rows.select("doc", "seq", F.coalesce("h.action", F.lit("upsert")).alias("action"), F.coalesce("h.page", F.lit("")).alias("page"), "h.title", "h.section", F.coalesce("h.mode", F.lit("append")).alias("mode"), "body")
+
+
+def parse_conflicts(texts: DataFrame, id: str, text: str) -> DataFrame:
+    """Conflicts in texts, a line of JSON each: (doc, page, section, existing, incoming, source, existing_date, incoming_date)."""
+    found = F.regexp_extract_all(text, F.lit(r"(?s)WIKI_DIFF_CONFLICTS\n(.*?)\nWIKI_DIFF_CONFLICTS_END"), F.lit(1))
+    lines = texts.where(F.col(text).isNotNull()).select(F.col(id).alias("doc"), F.explode(found).alias("raw")).select("doc", F.explode(F.split("raw", "\n")).alias("line")).withColumn("line", F.trim("line"))
+    c = F.from_json("line", "struct<page: string, section: string, existing: string, incoming: string, source: string, existingDate: string, incomingDate: string>")
+    rows = lines.where(F.try_parse_json("line").isNotNull() & (F.col("line") != "")).select("doc", c.alias("c"))
+    return rows.select("doc", *[F.coalesce(f"c.{x}", F.lit("")).alias(x) for x in ("page", "section", "existing", "incoming", "source")], F.col("c.existingDate").alias("existing_date"), F.col("c.incomingDate").alias("incoming_date"))
+
+
+def _end(c):
+    return F.regexp_replace(c, r"\s+\z", "")
+
+
+def put_section(content, section, body, mode):
+    """A page with a section of level two replaced or extended; a section that isn't there comes at the end."""
+    heading = F.concat(F.lit("## "), section)
+    at = F.instr(content, heading)
+    start = at + F.length(heading)
+    rest = F.substring(content, start, F.length(content))
+    stop = F.instr(rest, F.lit("\n## "))
+    inner = F.when(stop > 0, F.substring(rest, F.lit(1), stop - 1)).otherwise(rest)
+    after = F.when(stop > 0, F.substring(rest, stop, F.length(rest))).otherwise("")
+    before = F.substring(content, F.lit(1), at - 1)
+    new = F.concat(_end(body), F.lit("\n"))
+    put = F.when(mode == "replace", F.concat(before, heading, F.lit("\n"), new, after)).otherwise(F.concat(before, heading, _end(inner), F.lit("\n"), new, after))
+    return F.when(at == 0, F.concat(_end(content), F.lit("\n\n"), heading, F.lit("\n"), new)).otherwise(put)
+
+
+def apply_page_blocks(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Pages (slug, title, content, source_count) after the blocks of :func:`parse_blocks`, in the order of (doc, seq).
+
+    create sets title and content; upsert puts a section, or a paragraph where it names none; append adds a paragraph. A
+    page that isn't there begins with its name as heading. Each block adds one to the page's sources. Blocks of one page
+    are folded in order; pages without blocks stay. Blocks without a page are left out.
+    """
+    ops = blocks.where("page <> ''").groupBy(F.col("page").alias("slug")).agg(F.array_sort(F.collect_list(F.struct("doc", "seq", "action", "title", "section", "mode", "body"))).alias("ops"))
+    both = pages.select("slug", "title", "content", "source_count").join(ops, "slug", "full_outer")
+    empty = F.concat(F.lit("# "), "slug", F.lit("\n\n"))
+
+    def step(acc, o):
+        now = F.coalesce(acc, empty)
+        created = F.concat(F.lit("# "), F.coalesce(o.title, F.col("slug")), F.lit("\n\n"), _end(o.body), F.lit("\n"))
+        added = F.concat(_end(now), F.lit("\n\n"), _end(o.body), F.lit("\n"))
+        return F.when(o.action == "create", created).when((o.action == "upsert") & o.section.isNotNull(), put_section(now, o.section, o.body, o.mode)).when(o.action.isin("upsert", "append"), added).otherwise(acc)
+
+    known = F.coalesce("ops", F.array().cast(both.schema["ops"].dataType))
+    content = F.aggregate(known, F.col("content"), step)
+    title = F.regexp_extract("content", r"(?m)^#\s+(.+)$", 1)
+    out = both.select("slug", "title", content.alias("content"), (F.coalesce("source_count", F.lit(0)) + F.size(known)).cast("bigint").alias("source_count"), (F.size(known) > 0).alias("touched"))
+    return out.select("slug", F.when(F.col("touched") | F.col("title").isNull(), F.coalesce(F.nullif(title, F.lit("")), F.col("slug"))).otherwise(F.col("title")).alias("title"), "content", "source_count")
+
+
+def resolve_conflicts(pages: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """Conflicts settled by date: (page, section, resolved, content). The incoming claim replaces the existing one, with a
+    note, if it isn't older and page and section are named; content is the page after it, null where nothing is settled."""
+    day = lambda c: F.coalesce(F.unix_timestamp(F.try_to_timestamp(F.col(c))), F.lit(0))
+    j = conflicts.join(pages.select(F.col("slug").alias("page"), "content"), "page", "left")
+    done = (day("incoming_date") >= day("existing_date")) & (F.col("section") != "") & F.col("content").isNotNull()
+    note = F.concat(F.lit("\n> ⚠ Superseded by "), "source", F.lit(" on "), F.coalesce("incoming_date", F.lit("unknown date")), F.lit("\n"))
+    at = F.instr("content", F.col("existing"))
+    put = F.when((at > 0) & (F.col("existing") != ""), F.concat(F.substring(F.col("content"), F.lit(1), at - 1), "incoming", note, F.substring(F.col("content"), at + F.length("existing"), F.length("content")))).otherwise(F.col("content"))
+    return j.select("page", "section", done.alias("resolved"), F.when(done, put).alias("content"))
+
+
+def manifest(pages: DataFrame) -> DataFrame:
+    """A line per page of the wiki's listing: (slug, line)."""
+    return pages.select("slug", F.format_string("| [%s](%s) | %s | %d | %s |", "slug", "file_path", "title", "source_count", F.date_format(F.timestamp_millis("updated_at"), "yyyy-MM-dd")).alias("line"))
+
+
+def reindex_pages(files: DataFrame) -> DataFrame:
+    """Pages from Markdown files (path, content): (slug, title, content). Listing and schema are no pages."""
+    slug = F.regexp_replace("path", r"^.*/wiki/|\.md$", "")
+    title = F.nullif(F.regexp_extract("content", r"(?m)^#\s+(.+)$", 1), F.lit(""))
+    return files.where(F.col("path").endswith(".md") & ~F.col("path").rlike(r"(?:^|/)(?:MANIFEST|SCHEMA)\.md$")).select(slug.alias("slug"), F.coalesce(title, slug).alias("title"), "content")
+
+
+def wiki_review(pages: DataFrame, slug: str = "slug", content: str = "content") -> DataFrame:
+    """(slug, finding) of pages beyond their links: a list of sources without any date is stale."""
+    sources = F.regexp_extract(content, r"(?s)## Sources\n(.*?)(?:\n## |\n*\z)", 1)
+    has = F.col(content).contains("## Sources\n")
+    return pages.where(has & ~sources.rlike(r"\d{4}-\d{2}-\d{2}")).select(F.col(slug).alias("slug"), F.lit("stale").alias("finding"))
+
+
+# What a page says where it contradicts another.
+NEGATIONS = ("instead of", "not", "replaced by", "superseded", "deprecated")
+
+
+def contradictions(pages: DataFrame, slug: str = "slug", title: str = "title", content: str = "content") -> DataFrame:
+    """Pairs of pages one of which holds every word of the other's title, that both hold the same mark of negation:
+    (a, b, signal), a < b, signal the first such mark. A title is joined by its rarest word, the others are checked."""
+    from skarn.operators.search import tokens
+    from skarn.skew import salted_join
+
+    signals = F.array_compact(F.array(*[F.when(F.lower(content).contains(s), F.lit(s)) for s in NEGATIONS]))
+    p = pages.select(F.col(slug).alias("slug"), F.array_distinct(tokens(F.concat_ws(" ", title, content))).alias("ts"), F.array_distinct(tokens(F.coalesce(title, F.lit("")))).alias("ask"), signals.alias("sig")).where(F.size("sig") > 0)
+    df = p.select(F.explode("ts").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rare = salted_join(p.select("slug", "ask", "sig", F.explode("ask").alias("term")), df, "term", "inner").groupBy("slug").agg(F.min(F.struct("df", "term")).alias("r"), F.first("ask").alias("ask"), F.first("sig").alias("sig"))
+    hits = rare.select(F.col("slug").alias("asker"), "ask", F.col("sig").alias("own"), F.col("r.term").alias("term")).join(p.select("slug", "ts", "sig", F.explode("ts").alias("term")), "term")
+    both = F.array_intersect("own", "sig")
+    pairs = hits.where((F.col("asker") != F.col("slug")) & (F.size(F.array_except("ask", "ts")) == 0) & (F.size(both) > 0))
+    return pairs.groupBy(F.least("asker", "slug").alias("a"), F.greatest("asker", "slug").alias("b")).agg(F.min(both[0]).alias("signal"))
+
+
+def context_pages(hits: DataFrame, n: int = 3, floor: float = 0.4) -> DataFrame:
+    """The best pages (doc, score) for a context: at most ``n``, of a score of at least ``floor``."""
+    return hits.where(F.col("score") >= floor).orderBy(F.desc("score"), "doc").limit(n)
+
+
+def path_links(refs: DataFrame, sections: DataFrame, names: DataFrame, floor: float = 0.5, n: int | None = None) -> DataFrame:
+    """Sections that name the symbols of a context (qualified_name): (section_id, file_path, title, confidence), each section
+    once with its greatest confidence."""
+    best = refs.join(names.select("qualified_name").distinct(), "qualified_name", "left_semi").where(F.col("confidence") >= floor).groupBy("section_id").agg(F.max("confidence").alias("confidence"))
+    from skarn.skew import current_rows
+
+    cur = current_rows(sections.select("id", "file_path", "title", "updated_at"), ["id"], "updated_at").select(F.col("id").alias("section_id"), "file_path", "title")
+    out = best.join(cur, "section_id").select("section_id", "file_path", "title", "confidence")
+    return out.orderBy(F.desc("confidence"), "section_id").limit(n) if n else out
+
+
+def refs_both_ways(refs: DataFrame, names: DataFrame) -> DataFrame:
+    """References of symbols (qualified_name), by descending confidence within one: (qualified_name, section_id, ref_type, confidence)."""
+    best = refs_by_section(refs)
+    return best.join(names.select("qualified_name").distinct(), "qualified_name", "left_semi").select("qualified_name", "section_id", "ref_type", "confidence")
+
+
+def tree(sections: DataFrame) -> DataFrame:
+    """The current sections in the order of a walk from the roots, children by position: (id, depth, place). place sorts
+    as the walk goes: the positions from the root down, padded."""
+    from skarn.operators.hierarchy import build
+    from skarn.skew import current_rows
+
+    h = build(sections)
+    pos = current_rows(sections.select("id", "position", "updated_at"), ["id"], "updated_at").select("id", F.concat(F.lpad(F.coalesce("position", F.lit(0)).cast("string"), 10, "0"), F.lit(":"), "id").alias("key"))
+    steps = h.reached.select("id", "depth", F.posexplode("path").alias("i", "step")).join(pos.withColumnRenamed("id", "step"), "step")
+    return steps.groupBy("id", "depth").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "key"))), lambda x: x.key), "/").alias("place"))

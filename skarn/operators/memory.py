@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from skarn.skew import salted_join
+
 
 def as_of(obs: DataFrame, at: int) -> DataFrame:
     """Observations valid at a time: open ends count, superseded ones don't."""
@@ -106,3 +108,52 @@ def close_stale(sessions: DataFrame, now: int, after_ms: int = 7_200_000) -> Dat
     """Open sessions (session_id, started_at, ended_at) that began too long ago get an end."""
     stale = F.col("ended_at").isNull() & (F.col("started_at") < now - after_ms)
     return sessions.withColumn("ended_at", F.when(stale, F.lit(now)).otherwise(F.col("ended_at")))
+
+
+def as_of_search(obs: DataFrame, at: int, query: str, n: int | None = None) -> DataFrame:
+    """Observations valid at a time that match a query, by BM25 over these: (doc, score)."""
+    from skarn.operators.search import bm25
+
+    return bm25(as_of(obs, at).select("id", "content").distinct(), "id", "content", query, n)
+
+
+def conflict_scan(obs: DataFrame, relations: DataFrame | None = None, words: int = 8, least: float = 0.3) -> DataFrame:
+    """Pairs of observations one of which holds what the other begins with: (a, b, similarity), a < b.
+
+    An observation of at least 20 characters asks for its first ``words`` words; one matches that holds them all (in
+    lower case, each word as often as it likes). similarity is the share of the matching text's distinct words that were
+    asked for, and has to exceed ``least``; related pairs (a, b) are left out. Equal texts count once, under their
+    smallest id. A question is joined to the texts by its rarest word only, and the others are checked on the row, so a
+    word that very many texts hold is a key only where all words of a question are that frequent.
+    """
+    from skarn.operators.search import tokens
+
+    texts = obs.where(F.length("content") >= 20).groupBy("content").agg(F.min("id").alias("id")).where("id is not null")
+    t = texts.select("id", F.array_distinct(tokens(F.col("content"))).alias("ts"), F.array_distinct(F.slice(tokens(F.col("content")), 1, words)).alias("ask")).where(F.size("ask") > 0)
+    df = t.select(F.explode("ts").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    asked = salted_join(t.select("id", "ask", F.explode("ask").alias("term")), df, "term", "inner")
+    rare = asked.groupBy("id").agg(F.min(F.struct("df", "term")).alias("r"), F.max("ask").alias("ask")).select("id", "ask", F.col("r.term").alias("term"))
+    # Only texts that can be similar enough: a question has at most ``words`` words.
+    can = t.where(F.size("ts") * least < words)
+    hits = rare.withColumnsRenamed({"id": "asker"}).join(can.select("id", "ts", F.explode("ts").alias("term")), "term")
+    share = F.size("ask") / F.size("ts")
+    pairs = hits.where((F.col("asker") != F.col("id")) & (share > least) & (F.size(F.array_except("ask", "ts")) == 0))
+    out = pairs.groupBy(F.least("asker", "id").alias("a"), F.greatest("asker", "id").alias("b")).agg(F.max(F.round(share, 4)).alias("similarity"))
+    if relations is None:
+        return out
+    return out.join(relations.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+
+
+# Kinds of symbols that texts may name.
+NAMED_KINDS = ("function", "method", "class", "interface", "type_alias", "component", "variable")
+_NAMES = r"(?<![A-Za-z0-9_])([A-Z]?[a-z]+(?:[A-Z][a-z]+)+|[a-z]+(?:_[a-z]+)+|[A-Z]+(?:_[A-Z]+)+)(?![A-Za-z0-9_])"
+
+
+def symbols_named(obs: DataFrame, nodes: DataFrame, id: str = "id", text: str = "content") -> DataFrame:
+    """Symbols that texts name: (id, name, qualified_name). Identifiers of several words are looked up by name; of several
+    symbols of one name an exported one counts, then the smallest qualified name. One row per name is joined."""
+    names = F.array_distinct(F.regexp_extract_all(text, F.lit(_NAMES), F.lit(1)))
+    asked = obs.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.explode(names).alias("name")).distinct()
+    best = F.min(F.struct((~F.coalesce("is_exported", F.lit(False))).alias("hidden"), "qualified_name"))
+    side = nodes.where(F.col("kind").isin(*NAMED_KINDS) & F.col("name").isNotNull() & F.col("qualified_name").isNotNull()).groupBy("name").agg(best.alias("m"))
+    return salted_join(asked, side, "name", "inner").select("id", "name", F.col("m.qualified_name").alias("qualified_name"))

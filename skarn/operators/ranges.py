@@ -21,6 +21,14 @@ def points_in_ranges(points: DataFrame, ranges: DataFrame, key: str, at: str, st
     return p.join(r, [key, "__bucket"]).where(F.col(at).between(F.col(start), F.col(stop))).drop("__bucket")
 
 
+def overlapping(left: DataFrame, right: DataFrame, key: str, start: str, stop: str, r_start: str, r_stop: str) -> DataFrame:
+    """Pairs of ranges of one key that share a point. Two overlapping ranges share the bucket in which the later one of
+    them starts, so each pair is met once."""
+    l, r = _bucketed(left, start, stop), _bucketed(right, r_start, r_stop)
+    j = l.join(r, [key, "__bucket"]).where((F.col(start) <= F.col(r_stop)) & (F.col(r_start) <= F.col(stop)))
+    return j.where(F.col("__bucket") == F.floor(F.greatest(F.col(start), F.col(r_start)) / BUCKET)).drop("__bucket")
+
+
 def containing(df: DataFrame, key: str, start: str, stop: str, id: str) -> DataFrame:
     """Pairs (outer_id, inner_id) of one key whose ranges nest and differ in length. The inner start is the point."""
     inner = df.select(key, F.col(id).alias("inner_id"), F.col(start).alias("__s"), F.col(stop).alias("__e"))
