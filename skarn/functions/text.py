@@ -23,12 +23,14 @@ def path_prefixes(c: Column, separator: str = "/") -> Column:
 
 
 def normalise_path(c: Column) -> Column:
-    """Forward slashes, no ./ and no doubled slashes, a/../ resolved (one pass per level for up to eight)."""
-    out = F.regexp_replace(F.regexp_replace(c, r"\\", "/"), r"/(?:\./)+|/{2,}", "/")
-    out = F.regexp_replace(out, r"^\./", "")
-    for _ in range(8):
-        out = F.regexp_replace(out, r"(^|/)(?!\.\./)[^/]+/\.\.(?:/|$)", "$1")
-    return out
+    """Forward slashes, no ./ and no doubled slashes, a/../ resolved however often; a .. that nothing precedes stays."""
+    parts = F.filter(F.split(F.replace(c, F.lit("\\"), F.lit("/")), "/"), lambda p: (p != "") & (p != "."))
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda acc, p: F.when((p == "..") & (F.size(acc) > 0) & (last(acc) != ".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))),
+    )
+    return F.concat(F.when(F.replace(c, F.lit("\\"), F.lit("/")).startswith("/"), "/").otherwise(""), F.array_join(kept, "/"))
 
 
 def split_camel(c: Column) -> Column:

@@ -255,7 +255,7 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     ends = j.select(F.explode(F.array("ca", "cb")).alias("c"))
     m = j.agg(F.count(F.lit(1)).cast("double").alias("m"), F.count_if(F.col("ca") == F.col("cb")).cast("double").alias("inside"))
     degree = ends.groupBy("c").agg(F.count(F.lit(1)).cast("double").alias("d")).agg(F.sum(F.col("d") * F.col("d")).alias("dd"))
-    return m.withColumn("dd", degree.scalar()).select(F.round(F.col("inside") / F.col("m") - F.col("dd") / (4 * F.col("m") * F.col("m")), 6).alias("modularity"))
+    return m.withColumn("dd", degree.scalar()).select(F.round(F.try_divide("inside", "m") - F.try_divide(F.col("dd"), 4 * F.col("m") * F.col("m")), 6).alias("modularity"))
 
 
 def entry_points(nodes: DataFrame, edges: DataFrame, n: int, pattern: str = "(?i)(main|handler|index|init)") -> DataFrame:

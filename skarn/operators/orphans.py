@@ -1,8 +1,10 @@
 """References to records that do not exist, kept as states that change deltas are merged into.
 
 Reference state: one row per (ref_table, owner_id, name) with a signed count and the first time of the reference.
-Existence state: one row per name with a signed count (1 exists, 0 no longer) and the first time the name was seen.
-Both states are built from deltas by one mergeable aggregate, so a state can be merged with later deltas.
+Existence state: one row per name with its latest change and the first time the name was seen. A name exists once or not
+at all, so the signed changes of its existence (+1, 0, -1) add up to what its latest change leaves, 1 or 0, and that is
+what is kept. Both states are built from deltas by one mergeable aggregate: a state that was written is merged with the
+deltas that came later (:func:`merge`), without the changes before.
 """
 
 from __future__ import annotations
@@ -57,6 +59,12 @@ def existence_state(*deltas: DataFrame) -> DataFrame:
     return out.groupBy("name").agg(F.max("last").alias("last"), F.min("seen_at").alias("seen_at"))
 
 
+def merge(refs: DataFrame, existence: DataFrame, ref_deltas: list[DataFrame], node_deltas: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Written states brought up to date with later deltas. A reference whose count falls to zero stays in the state, so that
+    deltas may come in any order; its time is that of the earliest of its rows, withdrawn ones included."""
+    return reference_state(refs, *ref_deltas), existence_state(existence, *node_deltas)
+
+
 def orphans(refs: DataFrame, existence: DataFrame) -> DataFrame:
     """Keys with positive references and no record: (ref_table, owner_id, qualified_name, reason, first_at).
 

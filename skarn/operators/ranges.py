@@ -9,15 +9,15 @@ from pyspark.sql.window import Window
 BUCKET = 64
 
 
-def _bucketed(df: DataFrame, start: str, stop: str) -> DataFrame:
-    lo, hi = F.floor(F.col(start) / BUCKET), F.floor(F.col(stop) / BUCKET)
+def _bucketed(df: DataFrame, start: str, stop: str, bucket: int = BUCKET) -> DataFrame:
+    lo, hi = F.floor(F.col(start) / bucket), F.floor(F.col(stop) / bucket)
     return df.where(F.col(start) <= F.col(stop)).withColumn("__bucket", F.explode(F.sequence(lo, hi)))
 
 
-def points_in_ranges(points: DataFrame, ranges: DataFrame, key: str, at: str, start: str, stop: str) -> DataFrame:
+def points_in_ranges(points: DataFrame, ranges: DataFrame, key: str, at: str, start: str, stop: str, bucket: int = BUCKET) -> DataFrame:
     """Points with every range of the same key that holds them; an equi-join on (key, bucket) with a range residual."""
-    p = points.where(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn("__bucket", F.floor(F.col(at) / BUCKET))
-    r = _bucketed(ranges, start, stop)
+    p = points.where(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn("__bucket", F.floor(F.col(at) / bucket))
+    r = _bucketed(ranges, start, stop, bucket)
     return p.join(r, [key, "__bucket"]).where(F.col(at).between(F.col(start), F.col(stop))).drop("__bucket")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skarn.operators import graph
+from skarn.operators import graph, ranges, review
 from skarn.session import cut, table
 
 Q: dict = {}
@@ -154,10 +154,9 @@ def g_file_imports(spark, d):
 @query(_FILES + """, w as (select f id, 1 depth from fp where t = (select min(t) from fp) union select fp.f, w.depth + 1 from w join fp on fp.t = w.id where w.depth < 5)
 select distinct id from w where id like '%/c1%' and id <> (select min(t) from fp)""")
 def g_affected_tests(spark, d):
-    n, e = _views(spark, d)
-    pairs = cut(graph.file_imports(n, e).select(F.col("from_file").alias("source"), F.col("to_file").alias("target"), F.lit("imports").alias("kind")), "files")
-    start = pairs.agg(F.min("target").alias("id"))
-    return graph.bfs(pairs, start, 5, None, "in", include_start=False).where("id like '%/c1%'").select("id")
+    n, e = g_of(spark, d)
+    start = graph.file_imports(n, e).agg(F.min("to_file").alias("id"))
+    return review.affected_tests(n, e, start, "/c1")
 
 
 @query("""i as (select distinct source src, target dst from edges_g where kind = 'imports'), w as (select src a, dst b from i union select w.a, i.dst from w join i on i.src = w.b)
@@ -271,8 +270,8 @@ def g_rename_preview(spark, d):
 select source, to_dir, calls from x where from_dir <> to_dir and calls >= 5""")
 def g_refactor_move(spark, d):
     n, e = _views(spark, d)
-    part = F.element_at(F.split("file_path", "/"), 2)
-    j = e.where("kind = 'calls'").join(n.select(F.col("id").alias("source"), part.alias("from_dir")), "source").join(n.select(F.col("id").alias("target"), part.alias("to_dir")), "target")
+    part = lambda c: F.element_at(F.split(c, "/"), 2)
+    j = review.ends(e.where("kind = 'calls'").select("source", "target"), n, "file_path").select("source", part("source_file_path").alias("from_dir"), part("target_file_path").alias("to_dir"))
     return j.where("from_dir <> to_dir").groupBy("source", "to_dir").agg(F.count(F.lit(1)).alias("calls")).where("calls >= 5")
 
 
@@ -294,8 +293,7 @@ def g_doc_coverage(spark, d):
 
 @query("x as (select source id, count(*) members, count(*) >= 10 god from edges_g where kind = 'contains' group by 1) select * from x")
 def g_god_class(spark, d):
-    e = _views(spark, d)[1]
-    return e.where("kind = 'contains'").groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("members"), (F.count(F.lit(1)) >= 10).alias("god"))
+    return review.god_classes(_views(spark, d)[1])
 
 
 @query("w as (select id, 0 depth from nodes_x where id in ('p:0', 'p:1') union all select e.source, w.depth + 1 from w join edges_g e on e.target = w.id where e.kind = 'extends'), m as (select id, max(depth) depth from w group by 1) select * from m where id in (select source from edges_g where kind = 'extends') or id in (select target from edges_g where kind = 'extends')")
@@ -312,20 +310,18 @@ def g_recursion(spark, d):
 
 @query("x as (select id, end_line - start_line + 1 loc from nodes_x where end_line > start_line) select * from x order by loc desc, id limit 40")
 def g_largest(spark, d):
-    n = _views(spark, d)[0].where("end_line > start_line")
-    return n.select("id", (F.col("end_line") - F.col("start_line") + 1).alias("loc")).orderBy(F.desc("loc"), "id").limit(40)
+    return review.largest(_views(spark, d)[0], 40)
 
 
 @query("x as (select target id, count(*) fan_in from edges_g where kind in ('calls', 'imports') group by 1) select * from x order by fan_in desc, id limit 30")
 def g_rank(spark, d):
-    e = _views(spark, d)[1]
-    return e.where("kind in ('calls', 'imports')").groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("fan_in")).orderBy(F.desc("fan_in"), "id").limit(30)
+    return review.ranked(_views(spark, d)[1], ["calls", "imports"], 30)
 
 
 @query("x as (select id from nodes_x where kind = 'interface' and id not in (select source from edges_g where kind <> 'contains')) select * from x")
 def g_unused_imports(spark, d):
     n, e = _views(spark, d)
-    return n.where("kind = 'interface'").join(e.where("kind <> 'contains'").select(F.col("source").alias("id")), "id", "left_anti").select("id")
+    return review.without_edges(n.where("kind = 'interface'"), e).select("id")
 
 
 @query("""i as (select distinct source src, target dst from edges_g where kind = 'imports'), c as (select distinct id from (select src id from i union select dst from i)),
@@ -339,29 +335,23 @@ def g_dependency_depth(spark, d):
 
 @query("x as (select id, cc, cc > 15 flagged from nodes_x) select * from x order by cc desc, id limit 40")
 def g_complexity(spark, d):
-    return _views(spark, d)[0].select("id", F.col("cc"), (F.col("cc") > 15).alias("flagged")).orderBy(F.desc("cc"), "id").limit(40)
+    return review.complexity(_views(spark, d)[0], 40)
 
 
 @query("x as (select id, cc from nodes_x where cc >= 10 or mi <= 50 or end_line - start_line + 1 >= 50) select * from x")
 def g_simplify_scan(spark, d):
-    return _views(spark, d)[0].where("cc >= 10 or mi <= 50 or end_line - start_line + 1 >= 50").select("id", "cc")
+    return review.to_simplify(_views(spark, d)[0])
 
 
 @query("""x as (select round(avg(case when cc <= 10 then 1.0 else 0 end), 4) simple_share, (select count(*) from nodes_x where id not in (select source from edges_g) and id not in (select target from edges_g)) isolated,
 (select round(avg(k), 4) from (select target, count(*) k from edges_g where kind = 'calls' group by 1)) mean_fan_in from nodes_x) select * from x""")
 def g_health(spark, d):
-    n, e = _views(spark, d)
-    share = n.agg(F.round(F.avg(F.when(F.col("cc") <= 10, 1.0).otherwise(0.0)), 4).alias("simple_share"))
-    alone = n.join(e.select(F.explode(F.array("source", "target")).alias("id")), "id", "left_anti").agg(F.count(F.lit(1)).alias("isolated"))
-    fan = e.where("kind = 'calls'").groupBy("target").agg(F.count(F.lit(1)).alias("k")).agg(F.round(F.avg("k"), 4).alias("mean_fan_in"))
-    return share.withColumn("isolated", alone.scalar()).withColumn("mean_fan_in", fan.scalar())
+    return review.health(*_views(spark, d))
 
 
 @query("x as (select n.id, cc * count(*) risk from nodes_x n join edges_g e on e.target = n.id and e.kind = 'calls' group by n.id, cc having cc * count(*) > 200) select * from x")
 def g_test_risk(spark, d):
-    n, e = _views(spark, d)
-    k = e.where("kind = 'calls'").groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("k"))
-    return n.join(k, "id").select("id", (F.col("cc") * F.col("k")).alias("risk")).where("risk > 200")
+    return review.test_risk(*_views(spark, d), 200)
 
 
 _TESTS = "t as (select distinct e.target id from edges_g e join nodes_x n on n.id = e.source where n.file_path like '%/c1%')"
@@ -369,10 +359,7 @@ _TESTS = "t as (select distinct e.target id from edges_g e join nodes_x n on n.i
 
 @query(_TESTS + " select id from nodes_x where is_exported and kind in ('function', 'method') and id not in (select id from t)")
 def g_uncovered(spark, d):
-    n, e = _views(spark, d)
-    tests = n.where("file_path like '%/c1%'").select(F.col("id").alias("source"))
-    covered = e.join(tests, "source", "left_semi").select(F.col("target").alias("id"))
-    return n.where("is_exported and kind in ('function', 'method')").join(covered, "id", "left_anti").select("id")
+    return review.uncovered(*_views(spark, d), "/c1")
 
 
 @query("""h as (select distinct 'lib/' || p_brand || '/p' || p_partkey % 50 file_path, p_partkey * 10 + 2 lo, p_partkey * 10 + 4 hi from part where p_partkey % 31 = 0)
@@ -382,8 +369,7 @@ def g_diff_context(spark, d):
     n, _ = _views(spark, d)
     p = table(spark, d, "part").where("p_partkey % 31 = 0")
     hunks = p.select(F.expr("concat('lib/', p_brand, '/p', p_partkey % 50)").alias("file_path"), (F.col("p_partkey") * 10 + 2).alias("lo"), (F.col("p_partkey") * 10 + 4).alias("hi")).distinct()
-    j = n.join(hunks, "file_path").where("start_line <= hi and end_line >= lo")
-    return j.select("id").distinct()
+    return ranges.overlapping(n, hunks, "file_path", "start_line", "end_line", "lo", "hi").select("id").distinct()
 
 
 @query("""x as (select string_split(a.file_path, '/')[1] from_dir, string_split(b.file_path, '/')[1] to_dir, count(*) as edges from edges_g e join nodes_x a on a.id = e.source join nodes_x b on b.id = e.target where e.kind <> 'contains'
@@ -396,15 +382,9 @@ def a_dsm(spark, d):
 _PKG = "pk as (select distinct array_to_string(string_split(a.file_path, '/')[1:2], '/') src, array_to_string(string_split(b.file_path, '/')[1:2], '/') dst, a.file_path f, b.file_path t from edges_g e join nodes_x a on a.id = e.source join nodes_x b on b.id = e.target where e.kind in ('imports', 'calls') and a.file_path <> b.file_path)"
 
 
-def _packages(n: DataFrame, e: DataFrame) -> DataFrame:
-    pkg = F.array_join(F.slice(F.split("file_path", "/"), 1, 2), "/")
-    j = e.where("kind in ('imports', 'calls')").join(n.select(F.col("id").alias("source"), pkg.alias("src"), F.col("file_path").alias("f")), "source")
-    return j.join(n.select(F.col("id").alias("target"), pkg.alias("dst"), F.col("file_path").alias("t")), "target").where("f <> t").select("src", "dst", "f", "t").distinct()
-
-
 @query(_PKG + " select src, dst, count(*) files, list_sort(list(distinct f))[1:5]::varchar sample from pk where src <> dst group by all")
 def a_package_deps(spark, d):
-    p = _packages(*_views(spark, d)).where("src <> dst")
+    p = review.package_files(*_views(spark, d)).where("src <> dst")
     # The five smallest sample files by a window with a pushed limit: no list of all files is ever made.
     from pyspark.sql.window import Window
 
@@ -417,7 +397,7 @@ def a_package_deps(spark, d):
 @query(_PKG + """, c as (select p package, count(distinct q) filter (where not o) ca, count(distinct q) filter (where o) ce from (select src p, dst q, true o from pk where src <> dst union all select dst, src, false from pk where src <> dst) group by 1)
 select package, ca, ce, round(coalesce(ce / nullif(ca + ce, 0), 0), 4) instability from c""")
 def a_coupling(spark, d):
-    return graph.coupling(_packages(*_views(spark, d)).select("src", "dst"))
+    return graph.coupling(review.package_files(*_views(spark, d)).select("src", "dst"))
 
 
 @query("""r as (select id seed from nodes_x where kind = 'route'), w as (select seed, seed id, 0 depth from r union select w.seed, e.target, w.depth + 1 from w join edges_g e on e.source = w.id where e.kind in ('calls', 'references') and w.depth < 4),

@@ -8,6 +8,7 @@ from skarn.functions import text as T
 from skarn.operators import compress, documents, graph, memory, quantized, security
 from skarn.plans.graphs import G, _views, g_of, seeds
 from skarn.plans.problems import _TREE
+from skarn.plans.texts import _query_vector
 from skarn.session import table
 from skarn.sources import formats, sinks
 
@@ -29,7 +30,7 @@ def query(sql: str | None = None):
 def x_quantised(spark: SparkSession, d: str) -> DataFrame:
     """The 25 nearest of one vector among codes of three bits per dimension."""
     e = table(spark, d, "embeddings")
-    return quantized.search(quantized.encode(e, "vec_id", "embedding", 64, 3), e.where("vec_id = 0").select("embedding").first()[0], 25, 3)
+    return quantized.search(quantized.encode(e, "vec_id", "embedding", 64, 3), _query_vector(spark, d), 25, 3)
 
 
 @query("select count(*) vectors, count(*) * 24 bytes from embeddings")
@@ -43,6 +44,8 @@ def x_lsh(spark, d):
     from pyspark.ml.functions import array_to_vector
 
     e = table(spark, d, "embeddings")
+    if e.isEmpty():  # nothing to fit on
+        return spark.createDataFrame([], "vec_id bigint, distance double")
     model, df = quantized.lsh_model(e.select("vec_id", "embedding"), "embedding", bucket=8.0)
     q = df.where("vec_id = 0").select(array_to_vector(F.col("embedding").cast("array<double>"))).first()[0]
     return model.approxNearestNeighbors(df, q, 25).select("vec_id", F.round("distCol", 4).alias("distance"))

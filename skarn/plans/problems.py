@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skarn.operators import hierarchy, intervals, orphans, quality
-from skarn.session import table
+from skarn.session import cut, table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +33,26 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).drop("first_at")
 
 
+#: Time at which the first states of p4_incremental are written, and the references that are withdrawn after it.
+CUT_OFF, WITHDRAWN = 1735689600000, "dataset_id like '%1%'"
+
+
+def p4_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """States of all changes before a time are written, then merged with the later ones; some references are withdrawn."""
+    at = F.lit(CUT_OFF)
+    early, late = [], []
+    for t, owner in (("mem_links", "observation_id"), ("doc_code_refs", "section_id"), ("data_code_refs", "dataset_id")):
+        r = table(spark, d, t)
+        early.append(orphans.reference_deltas(r.where((F.col("created_at") < at) | F.col("created_at").isNull()), t, owner))
+        late.append(orphans.reference_deltas(r.where(F.col("created_at") >= at), t, owner))
+        if t == "data_code_refs":
+            late.append(orphans.reference_deltas(r.where(WITHDRAWN), t, owner, sign=-1))
+    n = table(spark, d, "nodes")
+    before = cut(orphans.reference_state(*early), "references"), cut(orphans.existence_state(orphans.existence_deltas(n.where(F.col("updated_at") < at))), "existence")
+    now = orphans.merge(*before, late, [orphans.existence_deltas(n.where((F.col("updated_at") >= at) | F.col("updated_at").isNull()))])
+    return orphans.orphans(*now).drop("first_at")
+
+
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     """Each row of the tables' own keys counts in its own month."""
     return orphans.orphan_report(_orphans(spark, d, typed=True))
@@ -101,7 +121,7 @@ def _profile_sql(name: str, column: str, kind: str) -> str:
     return f"select '{name}' table_name, '{column}' column_name, * from {counts}, (select {ends}, {number} from {elements})"
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_hierarchy, p3_descendants, p4_found, p4_report, p5_found, p5_profile, p7_found, p7_periods)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_hierarchy, p3_descendants, p4_found, p4_incremental, p4_report, p5_found, p5_profile, p7_found, p7_periods)}
 
 _SECTIONS = """
 cur as (select id, nullif(arg_max(coalesce(parent_id, ''), updated_at), '') parent_id from doc_sections where id is not null group by id),
@@ -178,6 +198,7 @@ from reach r where to_id = id
     "p3_hierarchy": _TREE + "select id, root_id, depth, array_to_string(path, ' > ') path from walk",
     "p3_descendants": _TREE + "select path[i] ancestor_id, id descendant_id, (depth - i + 1)::int distance from walk, range(1, depth + 1) t(i)",
     "p4_found": _ORPHANS + "select ref_table, owner_id, qualified_name, reason from found where reason is not null",
+    "p4_incremental": _ORPHANS + "select ref_table, owner_id, qualified_name, reason from found where reason is not null and not (ref_table = 'data_code_refs' and owner_id like '%1%')",
     "p4_report": _ORPHANS.replace("created_at from mem_links", "created_at, null::varchar ref_type from mem_links").replace("qualified_name, created_at from d", "qualified_name, created_at, ref_type from d")
     .replace("'^\\s+|\\s+$', '', 'g') qualified_name,", "'^\\s+|\\s+$', '', 'g') qualified_name, ref_type,").replace("select ref_table, owner_id, qualified_name, first_at,", "select ref_table, owner_id, qualified_name, ref_type, first_at,")
     + """select ref_table, strftime(make_timestamp(first_at * 1000), '%Y-%m') "month", reason, count(*) orphans, count(distinct qualified_name) names

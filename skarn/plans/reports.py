@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skarn.operators import catalog, documents, memory, review, search, security
+from skarn.operators import catalog, documents, memory, resolve, review, security
 from skarn.plans.graphs import G, _views, g_of, seeds
 from skarn.plans.problems import _TREE
 from skarn.session import table
+from skarn.sources import extract, formats
 
 Q: dict = {}
 ORACLES: dict[str, str] = {}
@@ -310,6 +311,69 @@ def v_category_coverage(spark, d):
     return security.category_coverage(p.selectExpr("p_brand rule", "concat('A', p_size % 7, ':', p_size) category").distinct(), f)
 
 
+# -- references to edges --------------------------------------------------------------------------------------------
+def _references(spark, d):
+    """References as a parser leaves them, made of the tables: calls by documents, imports of modules and of names in
+    them, and supertypes."""
+    n = table(spark, d, "nodes").where("id is not null")
+    calls = table(spark, d, "doc_code_refs").where("section_id is not null").selectExpr("section_id source", "trim(qualified_name) ref_name", "'call' ref_kind", "cast(null as string) file_path", "1 line")
+    imports = n.where("kind = 'import' and file_path is not null").selectExpr("id source", "replace(name, 'import:', '') ref_name", "'import' ref_kind", "file_path", "start_line line")
+    named = n.where("kind = 'method' and qualified_name is not null and file_path is not null").selectExpr("id source", "if(length(id) % 2 = 0, qualified_name, concat(qualified_name, '.*')) ref_name", "'import' ref_kind", "file_path", "start_line line")
+    types = n.where("kind = 'method' and name is not null").selectExpr("id source", "split(name, '[.]')[0] ref_name", "if(length(id) % 2 = 0, 'extends', 'implements') ref_kind", "file_path", "start_line line")
+    return calls.unionByName(imports).unionByName(named).unionByName(types).distinct()
+
+
+_REFS = """refs as (select section_id source, trim(qualified_name, ' ') ref_name, 'calls' sort, null::varchar file_path, 1 line from doc_code_refs where section_id is not null
+union select id, replace(name, 'import:', ''), 'imports', file_path, start_line from nodes where id is not null and kind = 'import' and file_path is not null
+union select id, case when length(id) % 2 = 0 then qualified_name else qualified_name || '.*' end, 'imports', file_path, start_line from nodes where id is not null and kind = 'method' and qualified_name is not null and file_path is not null
+union select id, string_split(name, '.')[1], case when length(id) % 2 = 0 then 'extends' else 'implements' end, file_path, start_line from nodes where id is not null and kind = 'method' and name is not null),
+sx as (select unnest(['', '.ts', '.tsx', '.js', '.jsx', '/index.ts', '/index.tsx', '/index.js', '.py', '/__init__.py']) x, unnest(range(10)) r),
+im as (select distinct file_path f, ref_name s from refs where sort = 'imports' and ref_name is not null), fl as (select file_path f, min(id) id from nodes where id is not null group by 1),
+rel as (select im.f, s, arg_min(fl.id, r) id from im, sx join fl on fl.f = regexp_replace(im.f, '/[^/]*$', '') || '/' || substr(s, 3) || x where starts_with(s, './') group by all),
+px as (select p k, min(id) id from (select id, unnest(list_transform(range(1, len(string_split(qualified_name, '.')) + 1), lambda i: array_to_string(string_split(qualified_name, '.')[1:i], '.'))) p from nodes where kind in ('class', 'interface', 'trait', 'module', 'namespace') and qualified_name is not null and id is not null) group by 1),
+wi as (select name, p, min(id) id from (select id, name, unnest(list_transform(range(1, len(string_split(qualified_name, '.')) + 1), lambda i: array_to_string(string_split(qualified_name, '.')[1:i], '.'))) p from nodes where qualified_name is not null and name is not null and id is not null) group by all),
+qn as (select qualified_name q, min(id) id from nodes where id is not null and qualified_name is not null group by 1),
+ic as (select f, s, id, 'import-path' st, 1 r from rel union all select f, s, px.id, 'wildcard', 2 from im join px on k = regexp_replace(s, '\\.?\\*$', '') where s like '%*' and s not like '.%'
+ union all select f, s, qn.id, 'qualified', 3 from im join qn on q = s where s not like '%*' and s not like '.%' union all select f, s, wi.id, 'name in namespace', 4 from im join wi on wi.name = string_split(s, '.')[-1] and p = regexp_replace(s, '\\.[^.]*$', '') where s not like '%*' and s not like '.%' and contains(s, '.')
+ union all select f, s, px.id, 'prefix', 6 from im join px on k = s where s not like '%*' and s not like '.%'),
+ib as (select f, s, arg_min(id, (r, id)) id, arg_min(st, (r, id)) st from ic group by all),
+ty as (select ref_name, arg_min(id, (kind not in ('class', 'interface', 'trait', 'protocol', 'struct'), id)) id from (select distinct ref_name from refs where sort in ('extends', 'implements')) join nodes on name = ref_name where id is not null group by 1),
+w as (select distinct ref_name from refs where sort = 'calls' and ref_name is not null),
+cc as (select ref_name, id, 'qualified' st, 1 r from w join nodes on qualified_name = ref_name where id is not null union all select ref_name, id, 'suffix', 2 from w join nodes on name = regexp_split_to_array(ref_name, '\\.|::')[-1] where regexp_matches(ref_name, '\\.|::') and id is not null
+ union all select ref_name, id, 'exact', 3 from w join nodes on name = ref_name where id is not null union all select ref_name, id, 'lower', 4 from w join nodes on lower(name) = lower(ref_name) where id is not null),
+cb as (select ref_name, arg_min(id, (r, id)) id, arg_min(st, (r, id)) st from cc group by 1),
+j as (select refs.*, coalesce(ib.id, ty.id, qn.id, cb.id) target, coalesce(ib.st, case when coalesce(ty.id, qn.id) is not null then 'type-name' end, cb.st) strategy from refs left join ib on sort = 'imports' and ib.f = refs.file_path and ib.s = refs.ref_name
+ left join ty on sort in ('extends', 'implements') and ty.ref_name = refs.ref_name left join qn on sort in ('extends', 'implements') and qn.q = refs.ref_name left join cb on sort = 'calls' and cb.ref_name = refs.ref_name where refs.ref_name is not null)
+"""
+
+
+@query("with " + _REFS + "select source, target, sort kind, line, strategy from j where target is not null")
+def r_edges(spark, d):
+    return resolve.emit_edges(_references(spark, d), table(spark, d, "nodes"))[0]
+
+
+@query("with " + _REFS + """select source, ref_name, sort kind, line, case sort when 'imports' then 'import-path' when 'calls' then case when regexp_matches(ref_name, '\\.|::') then 'qualified, suffix, exact, lower' else 'qualified, exact, lower' end else 'type-name' end attempted from j where target is null""")
+def r_failures(spark, d):
+    f = resolve.emit_edges(_references(spark, d), table(spark, d, "nodes"))[1]
+    return f.select("source", "ref_name", "kind", "line", F.array_join("attempted", ", ").alias("attempted"))
+
+
+def _source_files(spark, d):
+    return formats.code_fences(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def s15_nodes(spark, d):
+    """Symbols of the source text in the fences of all documents, a file each."""
+    return extract.source_graph(_source_files(spark, d))[0]
+
+
+@query()
+def s15_edges(spark, d):
+    """Containment, calls, imports and supertypes of these files, resolved among their symbols."""
+    return extract.resolved_graph(_source_files(spark, d))[1]
+
+
 # -- documents and wiki ---------------------------------------------------------------------------------------------
 _CUR = "select id, arg_max(struct_pack(f := file_path, t := title, a := byte_start, z := byte_end, h := content_hash, p := position), updated_at) s from doc_sections where id is not null group by 1"
 

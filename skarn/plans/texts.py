@@ -79,7 +79,9 @@ _VEC = "select vec_id id, round(list_cosine_similarity(embedding::double[], (sel
 
 
 def _query_vector(spark, d):
-    return table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+    """The vector that asks; without it a zero vector, which is like none."""
+    row = table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()
+    return row[0] if row else [0.0] * 64
 
 
 @query(f"with s as ({_VEC}) select * from s where score >= 0.05")
@@ -141,8 +143,8 @@ def x_embedding_hashed(spark, d):
 _NAMES = "w as (select distinct trim(qualified_name) ref_name from doc_code_refs where qualified_name is not null)"
 _RESOLVE = f"""with {_NAMES},
 c as (select ref_name, id node_id, 'qualified' strategy, 0.95 score, 1 r from w join nodes on qualified_name = ref_name where id is not null
-union all select ref_name, id, 'suffix', 0.9, 2 from w join nodes on name = regexp_split_to_array(ref_name, '\\.|::')[-1] where regexp_matches(ref_name, '\\.|::') and id is not null
-union all select ref_name, id, 'exact', 0.85, 3 from w join nodes on name = ref_name where id is not null union all select ref_name, id, 'lower', 0.5, 4 from w join nodes on lower(name) = lower(ref_name) where id is not null)
+union all select ref_name, id, 'suffix', 0.85, 2 from w join nodes on name = regexp_split_to_array(ref_name, '\\.|::')[-1] where regexp_matches(ref_name, '\\.|::') and id is not null
+union all select ref_name, id, 'exact', 0.9, 3 from w join nodes on name = ref_name where id is not null union all select ref_name, id, 'lower', 0.5, 4 from w join nodes on lower(name) = lower(ref_name) where id is not null)
 """
 
 
@@ -165,7 +167,7 @@ def r_types(spark, d):
 
 
 @query("""with i as (select distinct file_path from_file, replace(name, 'import:', '') spec from nodes where kind = 'import' and file_path is not null), c as (select from_file, spec, regexp_replace(from_file, '/[^/]*$', '') || '/' || substr(spec, 3) base from i where starts_with(spec, './')),
-f as (select distinct file_path from nodes), s as (select unnest(['', '.ts', '.tsx', '.js', '.py', '/index.ts', '/index.js', '/__init__.py']) x, unnest(range(8)) r)
+f as (select distinct file_path from nodes), s as (select unnest(['', '.ts', '.tsx', '.js', '.jsx', '/index.ts', '/index.tsx', '/index.js', '.py', '/__init__.py']) x, unnest(range(10)) r)
 select from_file, spec, arg_min(base || x, r) to_file from c, s where base || x in (select file_path from f) group by all""")
 def r_imports(spark, d):
     n = table(spark, d, "nodes")

@@ -68,8 +68,8 @@ def sections(docs: DataFrame, id: str, text: str, kind: str) -> DataFrame:
 
 # Patterns of declarations per language; the first group is the name.
 DECLARATIONS = {
-    "typescript": [("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+(\w+)"), ("constant", r"^\s*(?:export\s+)?const\s+(\w+)\s*[:=]"), ("import", r"^\s*import\s+.*?from\s+['\"]([^'\"]+)")],
-    "javascript": [("class", r"^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+(\w+)"), ("import", r"^\s*import\s+.*?from\s+['\"]([^'\"]+)")],
+    "typescript": [("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+(\w+)"), ("constant", r"^\s*(?:export\s+)?const\s+(\w+)\s*[:=]"), ("method", r"^\s+(?:(?:public|private|protected|static|readonly|async|get|set|override|abstract)\s+)*(?!(?:if|for|while|switch|catch|return|function|with|do|else)\b)([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\([^;]*\)\s*(?::\s*[^{;=]+)?\{\s*$"), ("import", r"^\s*import\s+.*?from\s+['\"]([^'\"]+)")],
+    "javascript": [("class", r"^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+(\w+)"), ("method", r"^\s+(?:(?:public|private|protected|static|readonly|async|get|set|override|abstract)\s+)*(?!(?:if|for|while|switch|catch|return|function|with|do|else)\b)([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\([^;]*\)\s*(?::\s*[^{;=]+)?\{\s*$"), ("import", r"^\s*import\s+.*?from\s+['\"]([^'\"]+)")],
     "python": [("class", r"^\s*class\s+(\w+)"), ("function", r"^\s*(?:async\s+)?def\s+(\w+)"), ("import", r"^\s*(?:from\s+([\w.]+)\s+import|import\s+[\w.]+)")],
     "go": [("struct", r"^type\s+(\w+)\s+struct"), ("interface", r"^type\s+(\w+)\s+interface"), ("function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)"), ("import", r"^\s*(?:import\s+)?(?:\w+\s+)?\"([\w./-]+)\"\s*$")],
     "rust": [("struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)"), ("trait", r"^\s*(?:pub\s+)?trait\s+(\w+)"), ("enum", r"^\s*(?:pub\s+)?enum\s+(\w+)"), ("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+(\w+)"), ("import", r"^\s*use\s+([\w:]+)")],
@@ -91,6 +91,38 @@ def declared_symbols(files: DataFrame) -> DataFrame:
     return lines.select("path", (F.col("line") + 1).alias("line"), each).select("path", "s.kind", "s.name", "line")
 
 
+# Languages by the names that fences give them.
+FENCES = {"py": "python", "python": "python", "ts": "typescript", "tsx": "typescript", "typescript": "typescript", "js": "javascript", "jsx": "javascript", "javascript": "javascript", "go": "go", "golang": "go", "rs": "rust", "rust": "rust", "java": "java", "rb": "ruby", "ruby": "ruby"}
+
+
+def code_fences(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """Fenced blocks of a known language as files: (path, language, content), the path being ``id/number``.
+
+    A fence may be indented and may have more after its language; the end of the text closes the last one. Null and empty
+    texts have none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = re.compile(r"[ \t]*(`{3,}|~{3,})[ \t]*([\w+#-]*)(.*)$")
+        for b in batches:
+            rows = []
+            for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                fence, language, held, n = "", None, [], 0
+                for line in [*(t or "").removeprefix("\ufeff").split("\n"), None]:
+                    m = mark.match(line) if line is not None else None
+                    if fence and (line is None or (m and m[1].startswith(fence) and not m[2] and not m[3].strip())):
+                        if language:
+                            rows.append({"path": f"{key}/{n}", "language": language, "content": "\n".join(held)})
+                        fence, held, n = "", [], n + 1
+                    elif fence:
+                        held.append(line)
+                    elif m:
+                        fence, language = m[1], FENCES.get(m[2].lower())
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("language", pa.string()), ("content", pa.string())]))
+
+    return docs.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text")).mapInArrow(run, "path string, language string, content string")
+
+
 # How frameworks declare routes; groups are method and path.
 ROUTES = [
     ("express", r"\b(?:app|router)\.(get|post|put|patch|delete|all)\(\s*['\"`]([^'\"`]+)"),
