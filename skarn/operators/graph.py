@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from skarn.session import cut
+from skarn.session import cut, cut_counted, drop
 from skarn.skew import salted_join
 
 
@@ -39,8 +39,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, kinds:
     while max_depth is None or depth < max_depth:
         depth += 1
         ahead = frontier.select("id").join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        frontier = cut(ahead.join(reached.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "level")
-        if frontier.isEmpty():
+        frontier, seen = cut_counted(ahead.join(reached.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "level")
+        if not seen["n"]:
             break
         reached = reached.unionByName(frontier)
     return reached if include_start else reached.where("depth > 0")
@@ -53,8 +53,8 @@ def multi_bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, kinds: Sequenc
     reached = frontier
     for depth in range(1, max_depth + 1):
         ahead = frontier.select("seed", "id").join(steps, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")).distinct()
-        frontier = cut(ahead.join(reached.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)), "level")
-        if frontier.isEmpty():
+        frontier, seen = cut_counted(ahead.join(reached.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)), "level")
+        if not seen["n"]:
             break
         reached = reached.unionByName(frontier)
     return reached
@@ -143,8 +143,8 @@ def levels(pairs: DataFrame) -> DataFrame:
         # Edges into the last level are settled; nodes without open edges are done.
         left = cut(open_edges.join(last.select(F.col("id").alias("dst")), "dst", "left_anti"), "open")
         ready = open_edges.join(last.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct().join(left.select(F.col("src").alias("id")), "id", "left_anti")
-        last = cut(ready.withColumn("level", F.lit(level)), "level")
-        if last.isEmpty():
+        last, seen = cut_counted(ready.withColumn("level", F.lit(level)), "level")
+        if not seen["n"]:
             break
         done, open_edges = done.unionByName(last), left
     return ids.join(done, "id", "left")
@@ -170,51 +170,71 @@ def components(pairs: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = cut(large.join(small_low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.*").where("u <> v").distinct(), "cc")
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        last = e
+        e, seen = cut_counted(large.join(small_low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.*").where("u <> v").distinct(), "cc", F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        drop(last)
+        state = (seen["n"], seen["sum"])
         if state == before:
             break
         before = state
     return ids.join(e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("low")), "id", "left").select("id", F.coalesce("low", "id").alias("component"))
 
 
+def smallest_reaching(edges: DataFrame) -> DataFrame:
+    """The smallest id that reaches each node of (src, dst), itself included: (id, c).
+
+    A round takes what arrives over the edges and, since whatever reaches a node's colour reaches the node, the colour of
+    its colour: the way that is covered about doubles, so rounds are few on long cycles, too.
+    """
+    colour = cut(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().withColumn("c", F.col("id")), "colour")
+    while True:
+        arriving = edges.join(colour, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("low"))
+        above = colour.select(F.col("id").alias("c"), F.col("c").alias("up"))
+        both = salted_join(colour, above, "c", "inner").join(arriving, "id", "left").select("id", F.least("up", F.coalesce("low", "up")).alias("c"), F.col("c").alias("was"))
+        last = colour
+        colour, seen = cut_counted(both.select("id", "c", (F.col("c") < F.col("was")).alias("moved")), "colour", F.max("moved").alias("moved"))
+        drop(last)
+        if not seen["moved"]:
+            return colour.select("id", "c")
+
+
+#: Layers without a way in or out that are trimmed in one job.
+LAYERS = 2
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges between nodes that have ways in and out, layer by layer until none goes."""
+    before = None
+    while True:
+        e = edges
+        for _ in range(LAYERS):
+            ends = F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("back")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("back")))).alias("e")
+            keep = e.select(ends).select("e.*").groupBy("id").agg(F.max("out").alias("out"), F.max("back").alias("back")).where("out + back = 2").select("id")
+            e = e.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        edges, seen = cut_counted(e, "scc")
+        if seen["n"] in (0, before):  # a job that trims nothing is the last one
+            return edges
+        before = seen["n"]
+
+
 def cycles(pairs: DataFrame) -> DataFrame:
     """Strongly connected components of more than one node, or with a self-loop: (component, id).
 
-    Nodes without a way in or out are trimmed first. Then, in rounds, each node takes the smallest id that reaches it
-    (forward colours); a colour's own node and what reaches it within the colour form one component, which leaves.
+    Nodes without a way in or out are trimmed first. Then, in rounds, each node takes the smallest id that reaches it (its
+    colour). Within a colour, the nodes that reach the colour's own node are those from which it is the smallest node
+    reached, since it is the smallest of them all: they form one component, which leaves.
     """
     own = pairs.where("src = dst").select(F.col("src").alias("id")).distinct().withColumn("component", F.col("id"))
     e = cut(pairs.where("src <> dst").select("src", "dst").distinct(), "scc")
     found = []
     while True:
-        n = e.count()
-        while n:
-            keep = e.select(F.col("src").alias("id")).intersect(e.select(F.col("dst").alias("id")))
-            e = cut(e.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi"), "scc")
-            m = e.count()
-            if m == n:
-                break
-            n = m
-        if not n:
+        e = _trimmed(e)
+        if e.isEmpty():
             break
-        colour = cut(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().withColumn("c", F.col("id")), "colour")
-        while True:
-            arriving = e.join(colour, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("low"))
-            nxt = cut(colour.join(arriving, "id", "left").select("id", F.least("c", F.coalesce("low", "c")).alias("c"), (F.coalesce("low", "c") < F.col("c")).alias("moved")), "colour")
-            colour = nxt.select("id", "c")
-            if nxt.where("moved").isEmpty():
-                break
+        colour = smallest_reaching(e)
         inner = e.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd")
-        inner = cut(inner.select("src", "dst", "cs"), "scc")
-        member = cut(colour.where("id = c").select("id", F.col("c").alias("component")), "scc")
-        last = member
-        while True:
-            back = inner.join(last.select(F.col("id").alias("dst"), "component"), "dst").where("cs = component").select(F.col("src").alias("id"), "component").distinct()
-            last = cut(back.join(member.select("id"), "id", "left_anti"), "scc")
-            if last.isEmpty():
-                break
-            member = member.unionByName(last)
+        back = smallest_reaching(cut(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "scc"))
+        member = cut(colour.join(back.withColumnRenamed("c", "low"), "id", "left").where(F.coalesce("low", "id") == F.col("c")).select("id", F.col("c").alias("component")), "scc")
         found.append(member)
         gone = member.select("id")
         e = cut(e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), "scc")

@@ -86,7 +86,7 @@ def loops(links: DataFrame) -> DataFrame:
         kept = jump.join(jump.select(F.col("to").alias("id")).distinct(), "id", "left_semi")
         step = kept.join(ahead, "to").select("id", F.col("to2").alias("to"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved"))
         last = jump
-        jump, seen = cut_counted(step, "jump", F.count(F.lit(1)).alias("n"), F.max("moved").alias("moved"))
+        jump, seen = cut_counted(step, "jump", F.max("moved").alias("moved"))
         drop(last)
         if not seen["n"] or (seen["n"] == before and not seen["moved"]):
             return jump.select(F.col("low").alias("cycle_id"), "id")

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -106,9 +106,10 @@ def _cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def cut_counted(df: DataFrame, name: str, *aggregates: Column) -> tuple[DataFrame, dict]:
-    """The same, with aggregates over the rows that the writing job itself takes, so that a loop needs no second job."""
+    """The same, with the number of rows (n) and further aggregates over them, which the writing job itself takes, so that a
+    loop needs no second job."""
     seen = Observation(f"{name}-{uuid.uuid4().hex}")
-    out = _cut(df.observe(seen, *aggregates), name)
+    out = _cut(df.observe(seen, F.count(F.lit(1)).alias("n"), *aggregates), name)
     return out, seen.get
 
 
