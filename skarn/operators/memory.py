@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from skarn.skew import salted_join
+from skarn.skew import carried, salted_join
 
 
 def as_of(obs: DataFrame, at: int) -> DataFrame:
@@ -89,14 +89,15 @@ def duration_ms(text: str, default: str = "90d") -> int:
     return int(m[1]) * {"h": 3_600_000, "d": 86_400_000, "w": 604_800_000, "m": 2_592_000_000}[m[2]]
 
 
-def successive(obs: DataFrame, kind: str = "decision") -> DataFrame:
+def successive(obs: DataFrame, kind: str | None = "decision") -> DataFrame:
     """Candidates for conflicts: each observation of a kind with the one before it in its topic: (topic_key, earlier, later).
 
-    Neighbours in time only, so a topic of any size adds one pair per observation.
+    Neighbours in time only, so a topic of any size adds one pair per observation; no kind takes all observations. A topic
+    with a great share of them is cut into ranges of time.
     """
-    w = Window.partitionBy("topic_key").orderBy("created_at", "id")
-    own = obs.where((F.col("kind") == kind) & F.col("topic_key").isNotNull()).select("topic_key", "id", "created_at").distinct()
-    return own.withColumn("earlier", F.lag("id").over(w)).where("earlier is not null").select("topic_key", "earlier", F.col("id").alias("later"))
+    wanted = obs.where(F.col("topic_key").isNotNull() & F.col("id").isNotNull())
+    own = (wanted if kind is None else wanted.where(F.col("kind") == kind)).select("topic_key", "id", "created_at").distinct()
+    return carried(own, "topic_key", ["created_at", "id"], "id", "earlier", inclusive=False).where("earlier is not null").select("topic_key", "earlier", F.col("id").alias("later"))
 
 
 def without_private(c):

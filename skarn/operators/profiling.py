@@ -27,9 +27,13 @@ def profile(df: DataFrame, columns: list[str] | None = None, samples: bool = Fal
         F.min(num).alias("min_number"), F.max(num).alias("max_number"), F.min("value").alias("min_text"), F.max("value").alias("max_text"),
         (F.sum(num * F.col("n")) / F.sum(F.when(num.isNotNull(), F.col("n")))).alias("mean_value"), *[count_of(k).alias(f"n_{k}") for k in kinds],
     ]
-    if samples:
-        aggs.append(F.slice(F.array_sort(F.collect_set(F.substring("value", 1, SAMPLE_CHARS))), 1, SAMPLES).alias("sample_values"))
     stats = values.groupBy("position", "column_name").agg(*aggs)
+    if samples:
+        # The few least values by a window whose limit is pushed below the sort: no list of all values is ever made.
+        short = values.where("value is not null").select("position", F.substring("value", 1, SAMPLE_CHARS).alias("s")).distinct()
+        few = short.withColumn("k", F.row_number().over(Window.partitionBy("position").orderBy("s"))).where(F.col("k") <= SAMPLES)
+        listed = few.groupBy("position").agg(F.array_sort(F.collect_list("s")).alias("sample_values"))
+        stats = stats.join(listed, "position", "left").withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
     kind = column_type(F.col("rows"), **{k: F.col(f"n_{k}") for k in kinds})
     return stats.select(
         "position", "column_name", kind.alias("inferred_type"), F.col("rows").alias("row_count"), "null_count", (F.col("null_count") / F.col("rows")).alias("null_pct"), "cardinality",

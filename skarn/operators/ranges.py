@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
+
+from skarn.skew import carried
 
 #: Lines per bucket; a range is listed in every level-one bucket it touches, a point in one.
 BUCKET = 64
@@ -54,11 +55,11 @@ def longest_prefix(values: DataFrame, prefixes: DataFrame, value: str, prefix: s
 def as_of_join(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, columns: list[str]) -> DataFrame:
     """For each left row the latest right row of the key at or before its time (nulls where there is none).
 
-    Both sides are put into one ordered stream per key and carried forward, so there is no product of the two.
+    Both sides are put into one ordered stream per key and carried forward, so there is no product of the two; a key with
+    very many rows is cut into ranges of time.
     """
-    carried = F.struct(*[F.col(c) for c in columns])
-    l = left.select(*left.columns, F.col(at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(right.select(carried.alias("x")).schema["x"].dataType).alias("__r"))
-    r = right.select(*[F.col(c) if c == key else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], F.col(right_at).alias("__t"), F.lit(0).alias("__side"), carried.alias("__r"))
-    w = Window.partitionBy(key).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    out = l.unionByName(r).withColumn("__last", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
+    held = F.struct(*[F.col(c) for c in columns])
+    l = left.select(*left.columns, F.col(at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(right.select(held.alias("x")).schema["x"].dataType).alias("__r"))
+    r = right.select(*[F.col(c) if c == key else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], F.col(right_at).alias("__t"), F.lit(0).alias("__side"), held.alias("__r"))
+    out = carried(l.unionByName(r), key, ["__t", "__side"], "__r", "__last", inclusive=True).where("__side = 1")
     return out.select(*left.columns, *[F.col(f"__last.{c}").alias(c) for c in columns])

@@ -108,14 +108,14 @@ def w_apply(spark, d):
     return documents.apply_blocks(pages, blocks)
 
 
-@query("with o as (select distinct topic_key, id, created_at from mem_observations where kind = 'decision' and topic_key is not null), p as (select topic_key, lag(id) over (partition by topic_key order by created_at, id) earlier, id later from o) select * from p where earlier is not null")
+@query("with o as (select distinct topic_key, id, created_at from mem_observations where topic_key is not null and id is not null), p as (select topic_key, lag(id) over (partition by topic_key order by created_at, id) earlier, id later from o) select * from p where earlier is not null")
 def t_conflicts(spark, d):
-    return memory.successive(table(spark, d, "mem_observations"))
+    return memory.successive(table(spark, d, "mem_observations"), None)
 
 
-@query("select id, regexp_replace(content, '(?is)<private>.*?</private>', '[private]', 'g') shown, length(content)::bigint n from (select distinct id, content from mem_observations where content is not null and kind = 'pattern')")
+@query("select id, regexp_replace(content, '(?is)<private>.*?</private>', '[private]', 'g') shown, length(content)::bigint n from (select distinct id, content from mem_observations where content is not null)")
 def t_private(spark, d):
-    o = table(spark, d, "mem_observations").where("content is not null and kind = 'pattern'").select("id", "content").distinct()
+    o = table(spark, d, "mem_observations").where("content is not null").select("id", "content").distinct()
     return o.select("id", memory.without_private(F.col("content")).alias("shown"), F.length("content").cast("bigint").alias("n"))
 
 

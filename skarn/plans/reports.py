@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skarn.operators import catalog, documents, memory, resolve, review, security
+from skarn.operators import catalog, documents, logs, memory, resolve, review, security
 from skarn.plans.graphs import G, _views, g_of, seeds
 from skarn.plans.problems import _TREE
 from skarn.session import table
@@ -374,6 +374,41 @@ def s15_edges(spark, d):
     return extract.resolved_graph(_source_files(spark, d))[1]
 
 
+# -- logs -----------------------------------------------------------------------------------------------------------
+@query("select case when p_brand in ('graph', 'docs') then p_brand when p_size % 3 = 0 then 'graph' when p_size % 3 = 1 then 'docs' else 'exec' end as source, count(*) commands, sum(p_size * 63)::bigint saved from part group by 1")
+def a_savings_by_source(spark, d):
+    r = table(spark, d, "part").selectExpr("case p_size % 3 when 0 then 'graph' when 1 then 'docs' else 'elsewhere' end source", "p_size * 100 original", "p_size * 37 compressed")
+    return logs.savings_by_source(r)
+
+
+@query("""select p_partkey "at", p_name command, floor((p_size * 100 - p_retailprice) * 100 / (p_size * 100) + 0.5)::bigint saved_percent from part order by "at" desc, command limit 10""")
+def a_latest_savings(spark, d):
+    return logs.latest_savings(table(spark, d, "part").selectExpr("p_partkey at", "p_name command", "p_size * 100 original", "p_retailprice compressed"))
+
+
+@query("""with c as (select user_id session_id, event_type dataset_id, epoch_ms(ts) as "at", event_id as "offset" from events), m as (select *, lag("at", 5) over w back, ("offset" > lag("offset") over w)::int r from c window w as (partition by session_id, dataset_id order by "at", "offset")),
+n as (select *, min(r) over (partition by session_id, dataset_id order by "at", "offset" rows between 4 preceding and current row) k from m) select session_id, dataset_id, "at" from n where k = 1 and "at" - back <= 86400000""")
+def f_repeated_paging(spark, d):
+    c = table(spark, d, "events").selectExpr("user_id session_id", "event_type dataset_id", "unix_millis(cast(ts as timestamp)) at", "event_id offset")
+    return logs.repeated_paging(c, 5, 86_400_000)
+
+
+@query("select doc_id, case when length(text) > 400 then left(text, 400) || chr(10) || '… (truncated)' else text end shown from documents where text is not null")
+def f_response_budget(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", logs.within_budget(F.col("text"), 100).alias("shown"))
+
+
+@query("with r as (select event_id, sum(strlen(props) + 1) over (order by event_id desc rows unbounded preceding) used from events) select event_id from r where used <= 20000")
+def z_rotation(spark, d):
+    return logs.rotated(table(spark, d, "events").select("event_id", "props"), 20_000, "event_id", "props").select("event_id")
+
+
+@query("select session_id, count(*) n from mem_observations where session_id is not null group by 1 having count(*) >= 12")
+def z_threshold(spark, d):
+    c = table(spark, d, "mem_observations").where("session_id is not null").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    return logs.over_threshold(c, 12)
+
+
 # -- documents and wiki ---------------------------------------------------------------------------------------------
 _CUR = "select id, arg_max(struct_pack(f := file_path, t := title, a := byte_start, z := byte_end, h := content_hash, p := position), updated_at) s from doc_sections where id is not null group by 1"
 

@@ -160,10 +160,10 @@ def r_unresolved(spark, d):
     return refs.join(resolve.resolve_names(refs, table(spark, d, "nodes")), "ref_name", "left_anti")
 
 
-@query("with n as (select distinct name from nodes where kind = 'method' and name is not null), w as (select distinct string_split(name, '.')[1] ref_name from n) select ref_name, arg_min(id, (kind not in ('class', 'interface', 'trait', 'protocol', 'struct'), id)) node_id from w join nodes on name = ref_name group by 1")
+@query("with n as (select distinct name from nodes where name is not null), w as (select distinct string_split(name, '.')[1] ref_name from n) select ref_name, arg_min(id, (kind not in ('class', 'interface', 'trait', 'protocol', 'struct'), id)) node_id from w join nodes on name = ref_name group by 1")
 def r_types(spark, d):
     n = table(spark, d, "nodes")
-    return resolve.resolve_types(n.where("kind = 'method' and name is not null").select(F.element_at(F.split("name", r"\."), 1).alias("ref_name")), n)
+    return resolve.resolve_types(n.where("name is not null").select(F.element_at(F.split("name", r"\."), 1).alias("ref_name")), n)
 
 
 @query("""with i as (select distinct file_path from_file, replace(name, 'import:', '') spec from nodes where kind = 'import' and file_path is not null), c as (select from_file, spec, regexp_replace(from_file, '/[^/]*$', '') || '/' || substr(spec, 3) base from i where starts_with(spec, './')),
@@ -181,10 +181,10 @@ def r_namespaces(spark, d):
     return resolve.namespace_prefixes(table(spark, d, "nodes"))
 
 
-@query("with w as (select distinct name ref_name from nodes where kind = 'function' and name is not null) select ref_name, round(1 / count(distinct id), 6) confidence from w join nodes on name = ref_name group by 1")
+@query("with w as (select distinct name ref_name from nodes where name is not null) select ref_name, round(1 / count(distinct id), 6) confidence from w join nodes on name = ref_name group by 1")
 def r_ambiguity(spark, d):
     n = table(spark, d, "nodes")
-    return resolve.ambiguity(n.where("kind = 'function' and name is not null").select(F.col("name").alias("ref_name")), n)
+    return resolve.ambiguity(n.where("name is not null").select(F.col("name").alias("ref_name")), n)
 
 
 # -- documents and wiki ---------------------------------------------------------------------------------------------

@@ -99,7 +99,7 @@ def _cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "snappy").parquet(path)
-    _written.append((spark, path))
+    removed_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -113,6 +113,10 @@ def cut_counted(df: DataFrame, name: str, *aggregates: Column) -> tuple[DataFram
     return out, seen.get
 
 
+def removed_at_exit(spark: SparkSession, path: str) -> None:
+    _written.append((spark, path))
+
+
 def drop(df: DataFrame) -> None:
     """Remove a table that :func:`cut` wrote and that no plan still to run reads."""
     path = getattr(df, "written_to", None)

@@ -53,8 +53,9 @@ def hashed_sample(df: DataFrame, keys: list[str], rows: int, total: int) -> Data
 def current_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row with the greatest ``order`` per key; null keys are left out, repeated rows count once.
 
-    One hash aggregate with partial results (no sort, no window), so a key with very many states is no hot task. Equal
-    ``order`` values are settled by the greatest remaining columns, which makes the result independent of row order.
+    One aggregate with partial results (no window), so a key with very many states is no hot task; rows with texts are
+    sorted for it on both sides of the shuffle. Equal ``order`` values are settled by the greatest remaining columns,
+    which makes the result independent of row order.
     """
     rest = [c for c in df.columns if c not in keys and c != order]
     top = F.max(F.struct(F.col(order), *[F.col(c) for c in rest])).alias("__top")
@@ -62,3 +63,39 @@ def current_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     for k in keys:
         cond = cond & F.col(k).isNotNull()
     return df.where(cond).groupBy(*keys).agg(top).select(*keys, "__top.*")
+
+
+def carried(df: DataFrame, key: str, order: list[str], value: str, out: str, inclusive: bool) -> DataFrame:
+    """Adds ``out``: the last value that isn't null before each row (or up to it) among the rows of its key in an order.
+
+    Rows are cut into ranges of (key, order), so that a key with a great share of all rows lies in many of them. Within a
+    range a window carries values on; over the borders, the last value of each earlier range of the key does. An order
+    with ties needs further columns to be repeatable.
+    """
+    from pyspark.sql.window import Window
+
+    from skarn.session import cut, parallelism
+
+    ranged = cut(df.repartitionByRange(parallelism(df.sparkSession), key, *order).withColumn("__slice", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy(key, "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    inner = ranged.withColumn("__in", F.last(value, ignorenulls=True).over(w))
+    ends = ranged.where(F.col(value).isNotNull()).groupBy(key, "__slice").agg(F.max_by(value, F.struct(*order)).alias("__end"))
+    spans = ranged.select(key, "__slice").distinct().join(ends, [key, "__slice"], "left")
+    before = spans.withColumn("__before", F.last("__end", ignorenulls=True).over(Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)))
+    # One row for each border that a key lies on: as many as there are ranges.
+    borders = F.broadcast(before.where("__before is not null").select(key, "__slice", "__before"))
+    return inner.join(borders, [key, "__slice"], "left").withColumn(out, F.coalesce("__in", "__before")).drop("__slice", "__in", "__before")
+
+
+def running_sum(df: DataFrame, key: str, order: list[str], value: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of a key's values up to each row in an order, over ranges like :func:`carried`."""
+    from pyspark.sql.window import Window
+
+    from skarn.session import cut, parallelism
+
+    ranged = cut(df.repartitionByRange(parallelism(df.sparkSession), key, *order).withColumn("__slice", F.spark_partition_id()), "ranges")
+    inner = ranged.withColumn("__in", F.sum(value).over(Window.partitionBy(key, "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    sums = ranged.groupBy(key, "__slice").agg(F.sum(value).alias("__sum"))
+    before = sums.withColumn("__before", F.sum("__sum").over(Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)))
+    borders = F.broadcast(before.where("__before is not null").select(key, "__slice", "__before"))
+    return inner.join(borders, [key, "__slice"], "left").withColumn(out, F.coalesce(F.col("__in") + F.coalesce("__before", F.lit(0)), "__before")).drop("__slice", "__in", "__before")

@@ -72,7 +72,31 @@ def save_label(df: DataFrame, path: str, label: str, by: str = "label") -> None:
 
 def labels(spark, path: str, by: str = "label") -> list[str]:
     """Labels that are saved, from the names of the partitions."""
-    return sorted(r[0] for r in spark.read.parquet(path).select(by).distinct().collect())
+    from urllib.parse import unquote
+
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [s.getPath().getName() for s in listed if s.isDirectory()]
+    return sorted(unquote(n.split("=", 1)[1]) for n in names if n.startswith(f"{by}="))
+
+
+def remove_label(spark, path: str, label: str, by: str = "label") -> None:
+    """Removes a snapshot or branch; others, and a label that isn't there, stay as they are."""
+    from urllib.parse import unquote
+
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for s in system.listStatus(folder):
+        if s.isDirectory() and unquote(s.getPath().getName()) == f"{by}={label}":
+            system.delete(s.getPath(), True)
+
+
+def keep_labels(spark, path: str, alive: list[str], by: str = "label") -> list[str]:
+    """Garbage collection: removes all labels but those that are alive; the removed ones."""
+    gone = [x for x in labels(spark, path, by) if x not in set(alive)]
+    for x in gone:
+        remove_label(spark, path, x, by)
+    return gone
 
 
 def vex(findings: DataFrame) -> DataFrame:

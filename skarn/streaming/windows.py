@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from skarn.session import shared_dir
+from skarn.session import removed_at_exit, shared_dir
 
 
 def tumbling(events: DataFrame, at: str = "ts", width: str = "1 day", late: str = "2 days", keys: tuple[str, ...] = ("event_type",), value: str = "value") -> DataFrame:
@@ -110,6 +110,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all available input, then end; the result is read back as a table."""
     spark = stream.sparkSession
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    removed_at_exit(spark, at)
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).outputMode("append").start()
         q.awaitTermination()

@@ -123,3 +123,25 @@ def test_levels_have_no_bound(spark):
     chain = frame(spark, [(i, i + 1) for i in range(12)] + [(100, 101), (101, 100)], "src int, dst int")
     got = {r.id: r.level for r in graph.levels(chain).collect()}
     assert got == {**{i: 12 - i for i in range(13)}, 100: None, 101: None}
+
+
+def test_values_carried_over_ranges(spark):
+    from skarn import skew
+
+    rows = [("hot", i, i if i % 5 == 0 else None, i % 3) for i in range(300)] + [("a", 1, None, 1), ("b", 1, 7, 2), ("b", 2, None, 3)]
+    df = frame(spark, rows, "k string, t int, v int, w int")
+    got = {(r.k, r.t): (r.last, r.before) for r in skew.carried(skew.carried(df, "k", ["t"], "v", "last", True), "k", ["t"], "v", "before", False).collect()}
+    assert got == {**{("hot", i): (i - i % 5, (i - 1) - (i - 1) % 5 if i else None) for i in range(300)}, ("a", 1): (None, None), ("b", 1): (7, None), ("b", 2): (7, 7)}
+    total = {(r.k, r.t): r.s for r in skew.running_sum(df, "k", ["t"], "w", "s").collect()}
+    assert all(total["hot", i] == sum(j % 3 for j in range(i + 1)) for i in range(300)) and total["b", 2] == 5
+    assert skew.carried(df.limit(0), "k", ["t"], "v", "last", True).count() == 0
+
+
+def test_labels_are_partitions(spark, tmp_path):
+    from skarn.sources import sinks
+
+    for label in ("main", "feature/a b", "old"):
+        sinks.save_label(frame(spark, [("1",)], "id string"), f"{tmp_path}/t", label)
+    assert sinks.labels(spark, f"{tmp_path}/t") == ["feature/a b", "main", "old"]
+    sinks.remove_label(spark, f"{tmp_path}/t", "none")
+    assert sinks.keep_labels(spark, f"{tmp_path}/t", ["main", "feature/a b"]) == ["old"] and sinks.labels(spark, f"{tmp_path}/t") == ["feature/a b", "main"]
