@@ -50,9 +50,14 @@ def survivors(df: DataFrame, id: str, content: str) -> DataFrame:
     return raw.select(digest(F.col("content")).alias("raw"), letters(F.col("content")).alias("plain"), fields(F.col("content")).alias("listed"), "low", "high", "copies")
 
 
-def classes(df: DataFrame, id: str, content: str) -> DataFrame:
-    """One row per set of equal records: (keep_id, copies, spellings). ``copies`` counts rows."""
-    return _by_text(survivors(df, id, content)).groupBy("canonical").agg(
+def classes(df: DataFrame, id: str, content: str, distinct_ids: bool = False) -> DataFrame:
+    """One row per set of equal records: (keep_id, copies, spellings). ``copies`` counts rows, or distinct ids of each
+    content: these are counted beside the content's digest, so that a text is never shuffled with its ids."""
+    distinct = survivors(df, id, content)
+    if distinct_ids:
+        once = df.select(F.col(id).alias("id"), digest(F.col(content)).alias("raw")).where("id is not null and raw is not null").distinct()
+        distinct = distinct.drop("copies").join(once.groupBy("raw").agg(F.count(F.lit(1)).alias("copies")), "raw")
+    return _by_text(distinct).groupBy("canonical").agg(
         F.min("low").alias("keep_id"), F.sum("copies").alias("copies"), F.sum("spellings").alias("spellings")
     ).select("keep_id", "copies", "spellings")
 
@@ -77,7 +82,8 @@ def members(df: DataFrame, id: str, content: str) -> DataFrame:
     keep = texts.groupBy("canonical").agg(F.min("low").alias("keep_id"), F.max("high").alias("last")).where("keep_id < last").drop("last")
     # The canonical text leads from the kept record to spellings, the spelling's digest to the rows.
     of_text = texts.select("canonical", digest(F.col("plain")).alias("text")).join(keep, "canonical").select("text", "keep_id")
-    spelled = distinct.select("raw", digest(F.col("plain")).alias("text")).join(of_text, "text").select("raw", "keep_id")
+    # Very many spellings may have one text (all those without a letter or digit have): it is spread, too.
+    spelled = salted_join(distinct.select("raw", digest(F.col("plain")).alias("text")), of_text, "text", "inner").select("raw", "keep_id")
     rows = df.select(F.col(id).alias("id"), digest(F.col(content)).alias("raw")).where("id is not null and raw is not null")
     # The counts of the first collapse tell which contents are hot: at most 1 / HOT_SHARE of them.
     least = distinct.agg((F.sum("copies") * F.lit(HOT_SHARE)).alias("least")).scalar()

@@ -64,8 +64,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     """Each set of equal records with its number of copies; repeated rows of an id count once."""
-    once = table(spark, d, "mem_observations").select("id", "content").distinct()
-    return duplicates.classes(once, "id", "content")
+    return duplicates.classes(table(spark, d, "mem_observations"), "id", "content", distinct_ids=True)
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
