@@ -39,6 +39,17 @@ def rename_preview(nodes: DataFrame, edges: DataFrame, symbol: DataFrame) -> Dat
     return into.unionByName(out).distinct().join(nodes.select(F.col("id").alias("other"), "file_path", "start_line"), "other").select("id", "direction", "kind", "file_path", "start_line", "other")
 
 
+def node_context(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """What surrounds symbols (id): (id, role, other, kind, file_path), roles caller, callee, parent and child. The edges are
+    read once for all roles; each pair of a role counts once."""
+    e = edges.where(F.col("kind").isin("calls", "contains"))
+    calls = F.col("kind") == "calls"
+    side = lambda own, other, one, two: F.struct(F.col(own).alias("id"), F.when(calls, one).otherwise(two).alias("role"), F.col(other).alias("other"))
+    both = e.select(F.explode(F.array(side("target", "source", "caller", "parent"), side("source", "target", "callee", "child"))).alias("r")).select("r.*")
+    own = both.join(ids.select("id").distinct(), "id", "left_semi").distinct()
+    return own.join(nodes.select(F.col("id").alias("other"), "kind", "file_path"), "other").select("id", "role", "other", "kind", "file_path")
+
+
 def named_symbol(nodes: DataFrame, name: str) -> DataFrame:
     """The symbol (id) of that name, else the one whose qualified name ends with it; of several the smallest id."""
     tier = F.when(F.col("name") == name, 1).when(F.col("qualified_name").endswith(name), 2)

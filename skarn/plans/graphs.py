@@ -113,10 +113,11 @@ def g_call_graph(spark, d):
     return graph.induced(e.where("kind = 'calls'"), graph.bfs(e, seeds(spark, "p:9"), 3, ["calls"])).distinct()
 
 
-@query("w as (select 'c:1' id, 0 depth union select case when e.source = w.id then e.target else e.source end, w.depth + 1 from w join edges_g e on (e.source = w.id or e.target = w.id) where w.depth < 3 and e.kind in ('imports', 'contains')) select (min(depth) + 1)::bigint nodes_on_path from w where id = 'c:40'")
+@query("""s as (select source a, target b from edges_g where kind in ('imports', 'contains') union select target, source from edges_g where kind in ('imports', 'contains')), w as (select 'c:1' id, 0 d union select s.b, w.d + 1 from w join s on s.a = w.id where w.d < 3), l as (select id, min(d) d from w group by 1),
+p as (select x.id, min(y.id) parent from l x join s on s.b = x.id join l y on y.id = s.a and y.d = x.d - 1 group by 1), k as (select id, d from l where id = 'c:40' union all select p.parent, k.d - 1 from k join p on p.id = k.id where k.d > 0) select d::int step, id from k""")
 def g_shortest_path(spark, d):
     n, e = _views(spark, d)
-    return graph.shortest_path(e, "c:1", "c:40", 3, kinds=["imports", "contains"]).agg(F.nullif(F.count(F.lit(1)), F.lit(0)).alias("nodes_on_path"))
+    return graph.shortest_path(e, "c:1", "c:40", 3, kinds=["imports", "contains"])
 
 
 @query("x as (select distinct target, source caller from edges_g where kind = 'calls' and target in ('p:1', 'p:2', 'p:3')) select * from x")
@@ -408,11 +409,11 @@ def v_reachability(spark, d):
     return r.where("id like 's:%'").groupBy("id").agg(F.count(F.lit(1)).alias("reached_by"), F.min("depth").alias("hops"))
 
 
-@query("x as (select distinct e.source from edges_g e where e.kind = 'calls' and e.target in ('p:3', 'p:4')) select kind, count(*) n from nodes_x where id in (select source from x) group by 1")
+@query("""q as (select id from nodes_x where id in ('p:3', 'p:4', 'n:2')), r as (select target id, 'caller' as role, source other from edges_g where kind = 'calls' union select source, 'callee', target from edges_g where kind = 'calls' union select source, 'child', target from edges_g where kind = 'contains'
+union select target, 'parent', source from edges_g where kind = 'contains') select r.id, role, other, n.kind, n.file_path from r join q using (id) join nodes_x n on n.id = other""")
 def g_node_context(spark, d):
     n, e = _views(spark, d)
-    c = graph.callers(e, seeds(spark, "p:3", "p:4")).select(F.col("caller").alias("id")).distinct()
-    return n.join(c, "id", "left_semi").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return review.node_context(n, e, seeds(spark, "p:3", "p:4", "n:2"))
 
 
 QUERIES = Q

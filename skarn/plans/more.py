@@ -70,9 +70,13 @@ def s19_sections(spark, d):
     return formats.sections(table(spark, d, "documents"), "doc_id", "text", "rst")
 
 
-@query("select event_id, case when props like '%page%' then 'git' else 'generic' end fam from (select event_id, case when event_type = 'view' then '{\"page\"' else 'x' end props from events)")
+#: Commands of every family, and what is none.
+COMMANDS = {"git log -3": "git", " gh pr list": "github", "kubectl get pods": "docker", "pnpm add x": "package", "npm test": "test", "cargo test --all": "test", "cargo build": "package", "go test ./...": "test", "ruff check .": "lint", "aws s3 ls": "aws", "grep -rn x": "files", "gitk": "generic", "echo git": "generic"}
+
+
+@query("select event_id, ['" + "', '".join(COMMANDS.values()) + f"'][event_id % {len(COMMANDS)} + 1] fam from events")
 def c_router(spark, d):
-    e = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "view", "git status").otherwise("echo x").alias("command"))
+    e = table(spark, d, "events").select("event_id", F.get(F.array(*[F.lit(c) for c in COMMANDS]), (F.col("event_id") % len(COMMANDS)).cast("int")).alias("command"))
     return e.select("event_id", compress.family(F.col("command")).alias("fam"))
 
 
@@ -143,10 +147,10 @@ def v_orphan_dependencies(spark, d):
     return security.orphan_dependencies(table(spark, d, "part").selectExpr("p_partkey id"), l, table(spark, d, "supplier").where("s_suppkey < 40").selectExpr("s_suppkey manifest"))
 
 
-@query("with recursive " + G + """w as (select 'p:6' id, 0 depth union select e.target, w.depth + 1 from w join edges_g e on e.source = w.id where e.kind = 'references' and w.depth < 1) select count(distinct id) visited from w""")
+@query("with recursive " + G + """c as (select distinct target id from edges_g where kind = 'contains' and source = 'r:1' and target <> 'r:1'), w as (select 'r:1' id, '' place union all select c.id, c.id || '/' from c union all select e.target, c.id || '/' || e.target || '/' from c join (select distinct source, target from edges_g where kind = 'contains') e on e.source = c.id) select (row_number() over (order by place) - 1)::int as position, id from w""")
 def g_dfs(spark, d):
     n, e = g_of(spark, d)
-    return graph.dfs_order(e, "p:6", 1, 1000, ["references"]).agg(F.count(F.lit(1)).alias("visited"))
+    return graph.dfs_order(e, "r:1", 2, 1000, ["contains"])
 
 
 @query("with recursive " + G + """c as (select distinct source, target from edges_g where kind = 'calls'), x as (select target id, 'caller' side, source other from c where target in ('p:2', 'p:3') union all select source, 'callee', target from c where source in ('p:2', 'p:3')),
@@ -168,11 +172,10 @@ def g_read_lines(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", T.line_range(F.col("text"), 2, 4).alias("part"))
 
 
-@query("select p_brand cve, case when p_size > 30 then 'exploitable' when p_size > 10 then 'not_affected' else 'in_triage' end state, count(*) n from part group by all")
+@query("""select p_brand cve, '{"id":"' || p_brand || '","analysis":{"state":"' || case when p_size > 30 then 'exploitable"' when p_size > 10 then 'not_affected","justification":"code_not_reachable"' else 'in_triage"' end || '},"affects":[{"ref":"' || p_name || '"}]}' as statement from part""")
 def k_vex(spark, d):
     f = table(spark, d, "part").selectExpr("p_brand cve", "p_name purl", "case when p_size > 30 then 'affected' when p_size > 10 then 'not_affected' else 'under_investigation' end verdict")
-    s = sinks.vex(f)
-    return s.groupBy("cve", F.get_json_object("statement", "$.analysis.state").alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    return sinks.vex(f)
 
 
 @query("select n.id source, c.id target, 'calls' kind, 'inferred' confidence from (select distinct id, name from nodes where kind = 'function' and language = 'typescript') n join (select distinct id, name from nodes where kind = 'function' and language = 'java') c on n.name = c.name and n.id <> c.id")
@@ -181,10 +184,9 @@ def r_bridge(spark, d):
     return formats.bridge(n.where("language = 'typescript'").select("id", "name").distinct(), n.where("language = 'java'").select("id", "name").distinct(), ["name"])
 
 
-@query("select search_id, n from (select 1 search_id, count(*) n from (select distinct id from nodes where name ilike '%cache%' and kind in ('function', 'method')))")
+@query("select distinct id, name from nodes where name ilike '%cache%' and kind in ('function', 'method')")
 def x_like_search(spark, d):
-    n = table(spark, d, "nodes").where(F.col("name").ilike("%cache%") & F.col("kind").isin("function", "method")).select("id").distinct()
-    return n.agg(F.count(F.lit(1)).alias("n")).select(F.lit(1).alias("search_id"), "n")
+    return table(spark, d, "nodes").where(F.col("name").ilike("%cache%") & F.col("kind").isin("function", "method")).select("id", "name").distinct()
 
 
 QUERIES = Q

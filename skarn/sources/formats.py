@@ -190,3 +190,25 @@ def transcripts(lines: DataFrame) -> DataFrame:
     schema = "struct<sessionId string, message struct<content array<struct<type string, name string>>>>"
     c = lines.select(F.from_json("value", schema).alias("r")).select("r.sessionId", F.explode("r.message.content").alias("c"))
     return c.where("c.type = 'tool_use'").groupBy("sessionId", F.col("c.name").alias("tool")).agg(F.count(F.lit(1)).alias("uses"))
+
+
+# Operations of an interface description.
+METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
+
+
+def openapi_sections(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """Sections of interface descriptions in JSON: (doc_id, level, title, path, method, summary). The title is the first
+    level, each path a second one and each operation of it a third. What is no such description has none."""
+    operation = "struct<summary: string, operationId: string, description: string>"
+    schema = f"struct<openapi: string, swagger: string, info: struct<title: string, description: string>, paths: map<string, struct<{', '.join(f'{m}: {operation}' for m in METHODS)}>>>"
+    d = docs.where(F.col(text).isNotNull() & F.try_parse_json(text).isNotNull()).select(F.col(id).cast("string").alias("doc_id"), F.from_json(text, schema).alias("j"))
+    d = d.where("j.openapi is not null or j.swagger is not null")
+    none = F.lit(None).cast("string")
+    top = d.select("doc_id", F.lit(1).alias("level"), F.coalesce("j.info.title", F.lit("API")).alias("title"), none.alias("path"), none.alias("method"), F.col("j.info.description").alias("summary"))
+    p = d.select("doc_id", F.explode("j.paths").alias("path", "ops"))
+    second = p.select("doc_id", F.lit(2).alias("level"), F.col("path").alias("title"), "path", none.alias("method"), none.alias("summary"))
+    each = F.explode(F.array_compact(F.array(*[F.when(F.col(f"ops.{m}").isNotNull(), F.struct(F.lit(m).alias("method"), F.col(f"ops.{m}").alias("o"))) for m in METHODS]))).alias("x")
+    third = p.select("doc_id", "path", each).select(
+        "doc_id", F.lit(3).alias("level"), F.concat(F.upper("x.method"), F.lit(" "), "path").alias("title"), "path", F.col("x.method").alias("method"), F.coalesce("x.o.summary", "x.o.operationId", "x.o.description").alias("summary")
+    )
+    return top.unionByName(second).unionByName(third)

@@ -191,12 +191,24 @@ def lcov(lines: DataFrame) -> DataFrame:
 
 
 def unified_diff(lines: DataFrame) -> DataFrame:
-    """Hunks of (path, line_no, line) rows: (file, new_start, new_lines)."""
+    """Hunks of (path, line_no, line) rows: (file, old_start, old_lines, new_start, new_lines). A hunk without new lines only
+    deletes, one without old lines only adds; of a deleted file the old name counts."""
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    file = F.last(F.nullif(F.regexp_extract("line", r"^\+\+\+ (?:b/)?(.*?)\s*$", 1), F.lit("")), ignorenulls=True).over(w)
-    at = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
-    h = lines.withColumn("file", file).where(F.col("line").rlike(at))
-    return h.select("file", F.regexp_extract("line", at, 1).cast("int").alias("new_start"), F.coalesce(F.nullif(F.regexp_extract("line", at, 2), F.lit("")).cast("int"), F.lit(1)).alias("new_lines"))
+    named = lambda sign, side: F.last(F.nullif(F.regexp_extract("line", rf"^{sign * 3} (?:{side}/)?(.*?)\s*$", 1), F.lit("")), ignorenulls=True).over(w)
+    at = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+    h = lines.select("*", named("-", "a").alias("old_file"), named("\\+", "b").alias("new_file")).where(F.col("line").rlike(at))
+    part = lambda i: F.regexp_extract("line", at, i)
+    length = lambda i: F.coalesce(F.nullif(part(i), F.lit("")).cast("int"), F.lit(1))
+    file = F.when(F.col("new_file") == "/dev/null", F.col("old_file")).otherwise(F.col("new_file"))
+    return h.select(file.alias("file"), part(1).cast("int").alias("old_start"), length(2).alias("old_lines"), part(3).cast("int").alias("new_start"), length(4).alias("new_lines"))
+
+
+def istanbul(files: DataFrame) -> DataFrame:
+    """Covered and total statements per file of (path, content) coverage reports in JSON; broken reports have none."""
+    e = files.select(F.explode(F.from_json("content", "map<string, struct<s: map<string, bigint>>>")).alias("file", "r")).where("r.s is not null")
+    hits = F.map_values("r.s")
+    g = e.select("file", F.size(F.filter(hits, lambda h: h > 0)).cast("bigint").alias("covered"), F.size(hits).cast("bigint").alias("total"))
+    return g.groupBy("file").agg(F.sum("covered").alias("covered"), F.sum("total").alias("total"))
 
 
 def git_log(lines: DataFrame, separator: str = "|||") -> DataFrame:
@@ -209,7 +221,32 @@ def npm_lock(files: DataFrame) -> DataFrame:
     """(parent, child) pairs of a lock file (path, content) whose packages map paths to dependencies."""
     p = "struct<packages: map<string, struct<version string, dependencies: map<string, string>>>>"
     e = files.select(F.explode(F.from_json("content", p).packages).alias("at", "p")).select(F.regexp_extract("at", r"([^/]+|@[^/]+/[^/]+)$", 1).alias("parent"), F.explode("p.dependencies").alias("child", "range"))
-    return e.select("parent", "child").distinct()
+    return e.select("parent", "child").distinct().unionByName(_npm_tree(files)).distinct()
+
+
+def _npm_tree(files: DataFrame) -> DataFrame:
+    """(parent, child) pairs of the older form, in which packages hold their own dependencies to any depth."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import json
+
+        for b in batches:
+            pairs = []
+            for text in b.column(0).to_pylist():
+                try:
+                    stack = [json.loads(text or "")]
+                except ValueError:
+                    continue
+                while stack:
+                    at = stack.pop()
+                    for name, p in (at.get("dependencies") or {}).items() if isinstance(at, dict) else ():
+                        if isinstance(p, dict):
+                            wanted = p.get("requires") if isinstance(p.get("requires"), dict) else {}
+                            pairs += [(name, c) for c in {*wanted, *(p.get("dependencies") or {})}]
+                            stack.append(p)
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], pa.string()), pa.array([c for _, c in pairs], pa.string())], ["parent", "child"])
+
+    return files.select("content").mapInArrow(run, "parent string, child string")
 
 
 def dependencies(files: DataFrame) -> DataFrame:

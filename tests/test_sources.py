@@ -37,8 +37,12 @@ def test_source_tree_and_python_symbols(spark, tmp_path):
 def test_developer_files(spark, tmp_path):
     lines = readers.numbered(spark, write(tmp_path / "l.info", "SF:a.ts\nDA:1,2\nDA:2,0\nend_of_record\nSF:b.ts\nDA:1,1\n"))
     assert {tuple(r) for r in readers.lcov(lines).collect()} == {("a.ts", 1, 2), ("b.ts", 1, 1)}
-    d = readers.numbered(spark, write(tmp_path / "d.diff", "--- a/x.py\n+++ b/x.py\n@@ -1,2 +3,4 @@\n+q\n@@ -9 +12 @@\n"))
-    assert {tuple(r) for r in readers.unified_diff(d).collect()} == {("x.py", 3, 4), ("x.py", 12, 1)}
+    d = readers.numbered(spark, write(tmp_path / "d.diff", "--- a/x.py\n+++ b/x.py\n@@ -1,2 +3,4 @@\n+q\n@@ -9 +12 @@\n--- a/gone.py\n+++ /dev/null\n@@ -1,5 +0,0 @@\n-x\n"))
+    assert {tuple(r) for r in readers.unified_diff(d).collect()} == {("x.py", 1, 2, 3, 4), ("x.py", 9, 1, 12, 1), ("gone.py", 1, 5, 0, 0)}
+    cov = spark.createDataFrame([("c", '{"a.ts": {"s": {"0": 2, "1": 0}}, "b.ts": {"s": {}}, "c.ts": {"f": {}}}'), ("d", "broken"), ("e", None)], "path string, content string")
+    assert {tuple(r) for r in readers.istanbul(cov).collect()} == {("a.ts", 1, 2), ("b.ts", 0, 0)}
+    lock = spark.createDataFrame([("l", '{"dependencies": {"a": {"version": "1", "requires": {"b": "^1"}, "dependencies": {"c": {"requires": {"d": "1"}}}}, "b": {}}}'), ("m", '{"packages": {"": {"dependencies": {"x": "1"}}, "node_modules/x": {"dependencies": {"y": "1"}}}}'), ("n", "{"), ("o", None)], "path string, content string")
+    assert {tuple(r) for r in readers.npm_lock(lock).collect()} >= {("a", "b"), ("a", "c"), ("c", "d"), ("x", "y")}
     g = spark.createDataFrame([("h|||a|||e|||d|||fix: x",), ("short",)], "line string")
     assert readers.git_log(g).first().subject == "fix: x"
     m = spark.createDataFrame([("package.json", '{"dependencies": {"express": "^4.18.2"}, "devDependencies": {"jest": "^29"}}'), ("requirements.txt", "requests==2.31.0\n# c\nflask>=3\n"), ("go.mod", "require github.com/google/uuid v1.4.0\n"), ("Cargo.toml", '[dependencies]\nserde = "1.0"\ntokio = { version = "1", features = [] }\n')], "path string, content string")
@@ -78,3 +82,11 @@ def test_search_and_resolution(spark):
     refs = spark.createDataFrame([("m.Foo",), ("x.bar",), ("BAR",), ("nothing",), (None,)], "ref_name string")
     got = {r.ref_name: (r.node_id, r.strategy) for r in resolve.resolve_names(refs, nodes).collect()}
     assert got == {"m.Foo": ("1", "qualified"), "x.bar": ("3", "suffix"), "BAR": ("3", "lower")}
+
+
+def test_interface_descriptions(spark):
+    from skarn.sources import formats
+
+    docs = [(1, '{"openapi": "3.0", "info": {"title": "Shop"}, "paths": {"/a": {"get": {"summary": "List"}, "post": {"operationId": "make"}, "parameters": []}, "/b": {}}}'), (2, '{"paths": {"/x": {}}}'), (3, "no json"), (4, None), (5, '{"swagger": "2.0"}')]
+    got = {tuple(r) for r in formats.openapi_sections(spark.createDataFrame(docs, "id int, t string"), "id", "t").collect()}
+    assert got == {("1", 1, "Shop", None, None, None), ("1", 2, "/a", "/a", None, None), ("1", 2, "/b", "/b", None, None), ("1", 3, "GET /a", "/a", "get", "List"), ("1", 3, "POST /a", "/a", "post", "make"), ("5", 1, "API", None, None, None)}
