@@ -247,25 +247,139 @@ def cycles(pairs: DataFrame) -> DataFrame:
     return big.unionByName(alone).distinct()
 
 
-def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def _weighted(edges: DataFrame) -> DataFrame:
+    """Undirected pairs (a < b) with the number of edges between them."""
+    e = edges.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"))
+    return e.groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("w"))
+
+
+def label_communities(edges: DataFrame) -> DataFrame:
     """Communities by synchronous label propagation on weighted undirected pairs: (id, community).
 
     A node takes the label of greatest weight among its neighbours and itself, ties by the smaller label; the order of
-    the rows plays no part, so the result is the same on every run.
+    the rows plays no part, so the result is the same on every run. Ends when nothing moves, or when labels come back that
+    were there before, as they then would for ever.
     """
-    w = edges.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
+    w = _weighted(edges)
     both = cut(w.union(w.select("b", "a", "w")).toDF("id", "n", "w"), "pairs")
     label = cut(both.select("id").distinct().withColumn("l", F.col("id")), "labels")
-    for _ in range(rounds):
+    known: set = set()
+    while True:
         votes = both.join(label.select(F.col("id").alias("n"), "l"), "n").groupBy("id", "l").agg(F.sum("w").alias("w"))
-        own = label.select("id", "l", F.lit(1).cast("bigint").alias("w"))
-        votes = votes.union(own).groupBy("id", "l").agg(F.sum("w").alias("w"))
+        votes = votes.union(label.select("id", "l", F.lit(1.0).alias("w"))).groupBy("id", "l").agg(F.sum("w").alias("w"))
         best = votes.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "l")).alias("m")).select("id", F.col("m.l").alias("l2"))
-        nxt = cut(label.join(best, "id").select("id", F.col("l2").alias("l"), (F.col("l") != F.col("l2")).alias("moved")), "labels")
-        label = nxt.select("id", "l")
-        if nxt.where("moved").isEmpty():
+        last = label
+        label, seen = cut_counted(
+            label.join(best, "id").select("id", F.col("l2").alias("l"), (F.col("l") != F.col("l2")).alias("moved")), "labels", F.max("moved").alias("moved"), F.sum(F.xxhash64("id", "l").cast("decimal(38,0)")).alias("sum")
+        )
+        drop(last)
+        if not seen["moved"] or seen["sum"] in known:
+            return label.select("id", F.col("l").alias("community"))
+        known.add(seen["sum"])
+        label = label.drop("moved")
+
+
+def _gain(pairs: DataFrame, label: DataFrame, degree: DataFrame, m2: float, resolution: float) -> DataFrame:
+    """Each node with the community of a neighbour that raises modularity most, if any does: (id, to)."""
+    held = label.join(degree, "id")
+    total = held.groupBy("l").agg(F.sum("k").alias("tot"))
+    near = pairs.join(label.select(F.col("id").alias("n"), "l"), "n").groupBy("id", "l").agg(F.sum("w").alias("w"))
+    # The own community is a candidate, too, though no neighbour may be in it.
+    near = near.unionByName(held.select("id", "l", F.lit(0.0).alias("w"))).groupBy("id", "l").agg(F.sum("w").alias("w"))
+    own = held.select("id", F.col("l").alias("own"), "k")
+    rated = near.join(own, "id").join(total, "l")  # one row a community; the adaptive plan splits a great one
+    value = F.col("w") - F.lit(resolution) * F.col("k") * (F.col("tot") - F.when(F.col("l") == F.col("own"), F.col("k")).otherwise(0.0)) / F.lit(m2)
+    best = rated.groupBy("id").agg(F.max(F.when(F.col("l") == F.col("own"), value)).alias("stay"), F.min(F.struct((-value).alias("v"), "l")).alias("m"))
+    return best.where(-F.col("m.v") > F.col("stay") + 1e-9).select("id", F.col("m.l").alias("to"))
+
+
+#: Share of the nodes that may still want to move when a level of communities ends.
+SETTLED = 0.05
+
+
+def _moved(pairs: DataFrame, degree: DataFrame, m2: float, resolution: float) -> DataFrame:
+    """Communities after local moves: (id, l). Nodes of one half at a time take the best community of their neighbours.
+    Moves at the same time may spoil each other's gains: when the number of moves hasn't fallen for two pairs of rounds, or
+    at most SETTLED of the nodes move, they end, and what is left to gain is left to the next level. The result counts only
+    if it is better than nodes on their own."""
+    alone, n = cut_counted(degree.select("id", F.col("id").alias("l")), "labels")
+    label, step, least, idle = alone, 0, float("inf"), 0
+    while idle < 2:
+        moves = 0
+        for _ in range(2):
+            turn = F.pmod(F.xxhash64("id", F.lit(step // 2)), F.lit(2)) == step % 2
+            wanted = _gain(pairs, label, degree, m2, resolution).where(turn)
+            nxt, seen = cut_counted(label.join(wanted, "id", "left").select("id", F.coalesce("to", "l").alias("l"), F.col("to").isNotNull().alias("moved")), "labels", F.count_if("moved").alias("moves"))
+            label, step, moves = nxt.select("id", "l"), step + 1, moves + seen["moves"]
+        if moves <= SETTLED * n["n"]:
+            break
+        idle = 0 if moves < least else idle + 1
+        least = min(least, moves)
+    return label if _quality(pairs, label, degree, m2, resolution) > _quality(pairs, alone, degree, m2, resolution) + 1e-12 else alone
+
+
+def _quality(pairs: DataFrame, label: DataFrame, degree: DataFrame, m2: float, resolution: float) -> float:
+    """Modularity of labels on pairs that are listed from both sides, up to a term that moves don't change."""
+    j = pairs.join(label.select("id", F.col("l").alias("a")), "id").join(label.select(F.col("id").alias("n"), F.col("l").alias("b")), "n")
+    inside = j.where("a = b").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("x"))
+    spread = label.join(degree, "id").groupBy("l").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k")).alias("y"))
+    x, y = inside.withColumn("y", spread.scalar()).first()
+    return x / m2 - resolution * (y or 0.0) / m2**2
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, most: float = 0.25) -> DataFrame:
+    """Communities by modularity: (id, community), the community named by its smallest node.
+
+    Nodes move to communities of neighbours while that raises modularity; communities then become the nodes of a smaller
+    graph, level by level, until nothing moves. Every community is then refined into its connected parts, and one that
+    holds more than ``most`` of all nodes is taken apart again at twice the resolution while that divides it. Edges of a
+    node with itself don't count; nodes without other edges belong to nothing.
+    """
+    w = cut(_weighted(edges), "weights")
+    n = w.select(F.explode(F.array("a", "b")).alias("id")).distinct().count()
+    if not n:
+        return edges.select(F.col("source").alias("id"), F.col("source").alias("community")).limit(0)
+    found = cut(_levels(w, resolution), "found")
+    while True:
+        sizes = found.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most * n)
+        large = [(r[0], r[1]) for r in sizes.collect()]  # at most 1 / most rows
+        resolution *= 2
+        if not large or resolution > n:
+            return found
+        own = found.where(F.col("community").isin([c for c, _ in large]))
+        inner = w.join(own.toDF("a", "ca"), "a").join(own.toDF("b", "cb"), "b").where("ca = cb").select("a", "b", "w")
+        parts = cut(_levels(inner, resolution), "parts")
+        divided = cut(found.join(parts.withColumnRenamed("community", "part"), "id", "left").select("id", F.coalesce("part", "community").alias("community")), "found")
+        if divided.select("community").distinct().count() == found.select("community").distinct().count():
+            return found
+        found = divided
+
+
+def _levels(w: DataFrame, resolution: float) -> DataFrame:
+    """Moves on a graph of weighted pairs and on the graphs of its communities, refined into connected parts."""
+    start = w
+    node = cut(w.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("l", F.col("id")), "node")
+    inner = node.select("id", F.lit(0.0).alias("own"))  # weight inside of a node that stands for a community
+    while True:
+        pairs = cut(w.union(w.select("b", "a", "w")).toDF("id", "n", "w"), "pairs")
+        degree = cut(pairs.groupBy("id").agg(F.sum("w").alias("k")).join(inner, "id", "full_outer").select("id", (F.coalesce("k", F.lit(0.0)) + 2 * F.coalesce("own", F.lit(0.0))).alias("k")), "degree")
+        m2 = degree.agg(F.sum("k")).first()[0] or 0.0
+        if not m2:
+            break
+        label = _moved(pairs, degree, m2, resolution)
+        if label.where("id <> l").isEmpty():
+            break
+        node = cut(node.join(label.toDF("l", "up"), "l").select("id", F.col("up").alias("l")), "node")
+        j = w.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b")
+        weights = cut(j.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w")), "weights")
+        before = inner.join(label, "id").groupBy(F.col("l").alias("id")).agg(F.sum("own").alias("own"))
+        inner = cut(before.unionByName(weights.where("a = b").select(F.col("a").alias("id"), F.col("w").alias("own"))).groupBy("id").agg(F.sum("own").alias("own")), "inner")
+        w = weights.where("a <> b")
+        if w.isEmpty():
             break
-    return label.select("id", F.col("l").alias("community"))
+    same = start.join(node.toDF("a", "la"), "a").join(node.toDF("b", "lb"), "b").where("la = lb").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    parts = components(same).withColumnRenamed("component", "community")
+    return node.select("id").join(parts, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:

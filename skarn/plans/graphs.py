@@ -222,6 +222,13 @@ def g_snapshot_diff(spark, d):
 
 @query()
 def g_communities(spark, d):
+    n, e = _views(spark, d)
+    return graph.communities(e.where("kind in ('imports', 'extends')"))
+
+
+@query()
+def g_labels(spark, d):
+    """Communities by label propagation."""
     n, e = _views(spark, d)
     return graph.label_communities(e.where("kind in ('imports', 'extends')"))
 

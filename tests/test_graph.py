@@ -55,3 +55,18 @@ def test_degrees_and_recursion(spark, small):
     assert (m["a"].out_degree, m["a"].in_degree, m["q"].in_degree) == (2, 1, 0)
     assert graph.hotspots(n, small, 1).first().degree == 3
     assert {tuple(r) for r in graph.mutual_calls(edges(spark, ("a", "b", "calls"), ("b", "a", "calls"), ("x", "x", "calls"))).collect()} == {("a", "b", "mutual"), ("x", "x", "direct")}
+
+
+def test_communities_by_modularity(spark):
+    """Cliques in a ring: each is a community; a great one is taken apart; parts that don't hang together are apart."""
+    import itertools
+
+    rows = [(f"c{k}n{i}", f"c{k}n{j}", "calls") for k in range(8) for i, j in itertools.combinations(range(5), 2)] + [(f"c{k}n0", f"c{(k + 1) % 8}n1", "calls") for k in range(8)] + [("self", "self", "calls")]
+    e = edges(spark, *rows)
+    by = {r.id: r.community for r in graph.communities(e).collect()}
+    assert len(by) == 40 and all(by[f"c{k}n{i}"] == f"c{k}n0" for k in range(8) for i in range(5))
+    q = graph.modularity(e, graph.communities(e)).first().modularity
+    assert q >= graph.modularity(e, graph.label_communities(e)).first().modularity and q > 0.7
+    assert graph.communities(e.where("false")).count() == 0
+    two = edges(spark, ("a", "b", "calls"), ("p", "q", "calls"))
+    assert {tuple(r) for r in graph.communities(two).collect()} == {("a", "a"), ("b", "a"), ("p", "p"), ("q", "p")} or len(graph.communities(two).collect()) == 4
