@@ -429,7 +429,10 @@ def p_row_delta(spark, d):
     return profiling.row_delta(table(spark, d, "data_dataset_history"))
 
 
-@query()
+@query("""with h as (select distinct dataset_id, snapshot_at, columns_json from data_dataset_history where json_valid(columns_json) and json_type(columns_json) = 'ARRAY'), two as (select *, row_number() over (partition by dataset_id order by snapshot_at desc) k, count(*) over (partition by dataset_id) loads from h),
+c as (select dataset_id, k, json_extract_string(c, '$.name') as name, json_extract_string(c, '$.type') t, json_extract_string(c, '$.cardinality')::double card, json_extract_string(c, '$.nullPct')::double np from (select dataset_id, k, unnest(json_extract(columns_json, '$[*]')) c from two where k <= 2 and loads >= 2)),
+j as (select coalesce(a.dataset_id, b.dataset_id) dataset_id, coalesce(a.name, b.name) column_name, case when a.name is null then 'removed' when b.name is null then 'added' when a.t is distinct from b.t then 'type' when abs(a.np - b.np) > 0.05 + 1e-12 then 'null_pct'
+ when a.card <> b.card and greatest(a.card, b.card) >= 2 * least(a.card, b.card) then 'cardinality' end what from (select * from c where k = 1) a full join (select * from c where k = 2) b on a.dataset_id = b.dataset_id and a.name = b.name) select * from j where what is not null""")
 def p_drift(spark, d):
     return quality.drift(table(spark, d, "data_dataset_history"))
 

@@ -124,7 +124,10 @@ def x_hybrid_weighted(spark, d):
     return search.hybrid(b, v, alpha=0.7)
 
 
-@query()
+@query(f"""with w as (select distinct id, kind, lower(name) as name, list_distinct({_WORDS}) ws, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(docstring, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) ds from nodes where kind not in ('import', 'export')),
+q as (select *, ['fetch', 'cache', 'resolve', 'stale', 'snapshots'] ts from w), r as (select id, case when list_contains(ts, name) then 1 when len(list_intersect(ws, ts)) > 0 then 2 when len(list_intersect(ds, ts)) > 0 then 3 end tier, coalesce(len(list_intersect(ws, ts)), 0)::int words, len(list_intersect(ds, ts))::int told,
+case when kind in ('function', 'method') then 10 when kind = 'route' then 9 when kind in ('class', 'component') then 8 when kind = 'interface' then 7 when kind in ('type_alias', 'struct', 'trait') then 6 when kind = 'enum' then 5 when kind in ('module', 'namespace') then 4 when kind in ('property', 'field', 'constant') then 3 when kind = 'variable' then 2 else 0 end bonus from q)
+select distinct * from r where tier is not null order by tier, words desc, told desc, bonus desc, id limit 20""")
 def x_task_context(spark, d):
     return search.task_context(table(spark, d, "nodes"), "How does the fetch cache resolve stale snapshots")
 
@@ -212,7 +215,10 @@ def d_candidates(spark, d):
     return documents.candidate_references(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+@query("""with t as (select doc_id doc, list_transform(regexp_extract_all(text, '`([^`\\n]+)`', 1), lambda x: regexp_replace(x, '\\(.*\\)$', '')) a,
+regexp_extract_all(text, '\\b((?:[a-z]+[a-z0-9]*(?:[A-Z][a-z0-9]*)+)|(?:[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+)|(?:[a-z][a-z0-9]*(?:_[a-z0-9]+)+)|(?:[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+))\\b', 1) b from documents where text is not null),
+c as (select distinct doc, n from (select doc, unnest(list_concat(a, b)) n from t) where length(n) >= 3), m as (select distinct unnest([name, string_split(name, '.')[-1]]) n, qualified_name from nodes where name is not null and qualified_name is not null)
+select distinct doc, qualified_name, 0.8::double confidence from c join m using (n)""")
 def d_resolve(spark, d):
     c = documents.candidate_references(table(spark, d, "documents"), "doc_id", "text")
     return documents.resolve_references(c, table(spark, d, "nodes"))
@@ -291,7 +297,9 @@ def t_topic_key(spark, d):
     return table(spark, d, "mem_observations").where("content is not null and kind is not null").select("id", memory.topic_key(F.col("kind"), F.col("content")).alias("topic")).distinct()
 
 
-@query()
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10)))))::int line_no from documents where text is not null),
+h as (select *, nullif(regexp_extract(line, '^#{1,6}\\s+(.*?)\\s*$', 1), '') head from l), m as (select *, case when head is not null then case lower(head) when 'limits' then 'constraint' when 'usage' then 'pattern' when 'storage' then 'decision' else '' end end k from h),
+c as (select *, last_value(k ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding) kind from m), b as (select doc_id, line_no, kind, trim(regexp_extract(line, '^\\s*[-*]\\s+(.*)$', 1), ' ') bullet from c where kind <> '') select doc_id, line_no, kind, bullet from b where length(bullet) >= 5""")
 def t_capture(spark, d):
     return memory.capture(documents.lines_of(table(spark, d, "documents"), "doc_id", "text"), {"limits": "constraint", "usage": "pattern", "storage": "decision"})
 
@@ -316,7 +324,9 @@ def c_token_estimate(spark, d):
 _BARE = "regexp_replace(regexp_replace(text, '/\\*[\\s\\S]*?\\*/|//[^\\n]*|#[^\\n]*', ' ', 'g'), '\"(?:\\\\.|[^\"\\\\\\n])*\"|''(?:\\\\.|[^''\\\\\\n])*''|`[^`]*`', '''''', 'g')"
 
 
-@query()
+@query(f"""with b as (select doc_id, text, {_BARE} bare from documents where kind = 'source_file' and text is not null), x as (select doc_id, list_filter(string_split(regexp_replace(text, '[^{{}}]', '', 'g'), ''), lambda c: c <> '') l, bare from b),
+d as (select doc_id, (1 + len(regexp_extract_all(bare, '\\b(?:if|for|while|case|catch|elif|except|when)\\b|&&|\\|\\||\\?(?:[^.?:]|$)')))::int cc, l from x), s as (select doc_id, unnest(l) c, unnest(range(len(l))) i from d),
+r as (select doc_id, max(k) m from (select doc_id, sum(case c when '{{' then 1 else -1 end) over (partition by doc_id order by i) k from s) group by 1) select d.doc_id, cc, greatest(coalesce(r.m, 0), 0)::int nesting from d left join r using (doc_id)""")
 def c_complexity(spark, d):
     return table(spark, d, "documents").where("kind = 'source_file' and text is not null").select("doc_id", T.cyclomatic(F.col("text")).alias("cc"), T.nesting_depth(F.col("text")).alias("nesting"))
 
