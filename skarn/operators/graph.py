@@ -46,6 +46,14 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, kinds:
     return reached if include_start else reached.where("depth > 0")
 
 
+def traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, edge_kinds: Sequence[str] | None = None, node_kinds: Sequence[str] | None = None, direction: str = "out", limit: int | None = None, include_start: bool = True) -> DataFrame:
+    """:func:`bfs` whose result, not its way, is narrowed to kinds of nodes; (id, kind, depth), the nearest ``limit`` by id."""
+    found = bfs(edges, seeds, max_depth, edge_kinds, direction, include_start).join(nodes.select("id", "kind"), "id")
+    found = found.where(F.col("kind").isin(list(node_kinds))) if node_kinds else found
+    found = found.select("id", "kind", "depth")
+    return found.orderBy("depth", "id").limit(limit) if limit else found
+
+
 def multi_bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, kinds: Sequence[str] | None = None, direction: str = "out") -> DataFrame:
     """Breadth-first search from each seed apart: (seed, id, depth)."""
     steps = cut(directed(of_kinds(edges, kinds), direction), "steps")

@@ -94,6 +94,21 @@ def hybrid(text_hits: DataFrame, vector_hits: DataFrame, alpha: float = 0.5, nor
     return j.select("id", F.round((1 - alpha) * F.coalesce("fts", F.lit(0.0)) / F.col("top") + alpha * F.coalesce("vec", F.lit(0.0)), 4).alias("score"))
 
 
+def memory_hybrid(text_hits: DataFrame, vector_hits: DataFrame, alpha: float = 0.5, floor: float | None = None, relations: DataFrame | None = None) -> DataFrame:
+    """(id, score) like :func:`hybrid`, but where only one side has hits, its own scores stand. floor: least vector score.
+    relations (a, b, relation) are attached to their ends as (id, score, relations), in order."""
+    vec = vector_hits if floor is None else vector_hits.where(F.col("vec") >= floor)
+    some = lambda df: F.coalesce(df.agg(F.count(F.lit(1)).alias("n")).scalar(), F.lit(0)) > 0
+    both = hybrid(text_hits, vec, alpha).withColumnRenamed("score", "mixed")
+    raw = text_hits.select("id", F.col("fts").alias("own")).unionByName(vec.select("id", F.col("vec").alias("own"))).groupBy("id").agg(F.max("own").alias("own"))
+    out = both.join(raw, "id").withColumn("two", some(text_hits) & some(vec)).select("id", F.when(F.col("two"), F.col("mixed")).otherwise(F.round("own", 4)).alias("score"))
+    if relations is None:
+        return out
+    ends = relations.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other"), "relation"), F.struct(F.col("b").alias("id"), F.col("a").alias("other"), "relation"))).alias("r")).select("r.*")
+    listed = ends.join(out.select("id"), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set(F.concat_ws(" ", "relation", "other"))).alias("relations"))
+    return out.join(listed, "id", "left").withColumn("relations", F.coalesce("relations", F.array().cast("array<string>")))
+
+
 def symbol_tiers(nodes: DataFrame, text: str) -> DataFrame:
     """Symbols by exact name, else by words of the name with the last as a prefix, else by part of the name; the best
     tier with a hit counts: (id, tier). One pass: each row gets its own best tier, the least over all is kept."""

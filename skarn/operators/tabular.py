@@ -169,6 +169,18 @@ def gini(df: DataFrame, value: str) -> DataFrame:
     return sums.select(F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") < 2, None).when(F.col("total") == 0, 0.0).otherwise(g).alias("gini"))
 
 
+def extremes(df: DataFrame, id: str, value: str, n: int = 5) -> DataFrame:
+    """The ``n`` greatest and least values with their ids: (side, rank, id, value); nulls are neither."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(id).alias("id"), F.col(value).alias("value"))
+    out = None
+    for side, order in (("top", F.desc("value")), ("bottom", F.asc("value"))):
+        few = rows.orderBy(order, "id").limit(n)  # a top-k per partition and a merge
+        ranked = few.agg(F.array_sort(F.collect_list(F.struct((-F.col("value") if side == "top" else F.col("value")).alias("key"), "id", "value"))).alias("s"))
+        part = ranked.select(F.lit(side).alias("side"), F.posexplode("s").alias("rank", "x")).select("side", (F.col("rank") + 1).alias("rank"), "x.id", "x.value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def correlations(df: DataFrame, columns: Sequence[str], threshold: float = 0.3) -> DataFrame:
     """Pearson correlation of all pairs of columns in one pass: (column_a, column_b, r, n, strength), |r| at least threshold."""
     check_columns(df, list(columns))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skarn.operators import catalog, documents, logs, memory, resolve, review, security
+from skarn.operators import catalog, documents, graph, logs, memory, resolve, review, search, security, tabular
 from skarn.plans.graphs import G, _views, g_of, seeds
 from skarn.plans.problems import _TREE
 from skarn.session import table
@@ -203,6 +203,38 @@ def g_line_diff(spark, d):
     return o.select("id", F.regexp_replace(review.diff_column(F.col("content"), F.replace("content", F.lit("e"), F.lit(""))), r"\n\+ .*\z", "").alias("diff"))
 
 
+@query("""w as (select 'c:5' id, 0 depth union select e.target, w.depth + 1 from w join edges_g e on e.source = w.id where e.kind in ('calls', 'references', 'extends') and w.depth < 3), m as (select id, min(depth) depth from w group by 1)
+select m.id, n.kind, depth from m join nodes_x n using (id) where n.kind in ('interface', 'route') order by depth, id limit 30""", graph=True)
+def g_traverse(spark, d):
+    n, e = _views(spark, d)
+    return graph.traverse(n, e, seeds(spark, "c:5"), 3, ["calls", "references", "extends"], ["interface", "route"], limit=30)
+
+
+@query("""select * from (select 'top' side, (row_number() over (order by p_retailprice desc, p_partkey))::int as rank, p_partkey id, p_retailprice as value from part union all select 'bottom', (row_number() over (order by p_retailprice, p_partkey))::int, p_partkey, p_retailprice from part) where rank <= 5""")
+def a_extremes(spark, d):
+    return tabular.extremes(table(spark, d, "part"), "p_partkey", "p_retailprice")
+
+
+_HITS = "t as (select p_partkey id, p_size / 10.0 fts from part where p_partkey % 3 = 0), v as (select p_partkey id, p_size / 100.0 vec from part where p_partkey % 2 = 0 and p_size / 100.0 >= 0.3), l as (select distinct l_partkey a, l_suppkey b, l_returnflag relation from lineitem where l_partkey < 300)"
+
+
+@query(f"""with {_HITS}, j as (select coalesce(t.id, v.id) id, round(0.5 * coalesce(fts, 0) / greatest((select max(fts) from t), 1.0) + 0.5 * coalesce(vec, 0), 4)::double score from t full join v on t.id = v.id),
+e as (select a id, relation || ' ' || b r from l union select b, relation || ' ' || a from l), g as (select id, string_agg(r, ', ' order by r) relations from e group by 1) select j.id, score, coalesce(relations, '') relations from j left join g using (id)""")
+def x_memory_hybrid(spark, d):
+    p, l = table(spark, d, "part"), table(spark, d, "lineitem")
+    t = p.where("p_partkey % 3 = 0").selectExpr("p_partkey id", "p_size / 10D fts")
+    v = p.where("p_partkey % 2 = 0").selectExpr("p_partkey id", "p_size / 100D vec")
+    r = l.where("l_partkey < 300").selectExpr("l_partkey a", "l_suppkey b", "l_returnflag relation").distinct()
+    return search.memory_hybrid(t, v, 0.5, 0.3, r).withColumn("relations", F.array_join("relations", ", "))
+
+
+@query(f"with {_HITS} select id, round(fts, 4)::double score from t")
+def x_memory_text_only(spark, d):
+    """Nothing reaches the floor: the scores of the text side stand."""
+    p = table(spark, d, "part")
+    return search.memory_hybrid(p.where("p_partkey % 3 = 0").selectExpr("p_partkey id", "p_size / 10D fts"), p.selectExpr("p_partkey id", "p_size / 100D vec"), 0.5, 5.0)
+
+
 # -- memory ---------------------------------------------------------------------------------------------------------
 _TS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''))"
 _FIRST = "list_distinct(list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')[1:8])"

@@ -7,7 +7,9 @@ readers that need an absent library say so instead of failing late.
 from __future__ import annotations
 
 import importlib.util
+import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -121,6 +123,36 @@ def language(path: F.Column) -> F.Column:
     return F.coalesce(F.try_element_at(m, F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))), F.lit("unknown"))
 
 
+def discover(spark: SparkSession, path: str, include: tuple[str, ...] = ("**/*",), exclude: tuple[str, ...] = (), marker: str | None = None) -> DataFrame:
+    """Files below a folder by globs over their paths in it: (path, relative, size, modified). Nothing is read.
+
+    marker: name of a file whose presence leaves out its folder with all below. Hidden files are left out by the reader.
+    """
+    from skarn.functions.text import glob_regex, path_prefixes
+
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    root = re.sub("^file:/*", "/", path.rstrip("/"))
+    every = every.withColumn("relative", F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{re.escape(root)}/", ""))
+    any_of = lambda globs: reduce(lambda a, b: a | b, [F.col("relative").rlike(glob_regex(g)) for g in globs], F.lit(False))
+    found = every.where(any_of(include) & ~any_of(exclude))
+    if marker is not None:
+        folder = F.regexp_replace("relative", "/?[^/]*$", "")
+        # Empty files aren't read, but they are listed: these are the names of the marker files only.
+        marks = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", marker).load(path).inputFiles()
+        gone = spark.createDataFrame([(re.sub("^file:/*", "/", m).removeprefix(f"{root}/").rpartition("/")[0],) for m in marks], "folder string")
+        below = found.select("path", F.explode(F.concat(F.array(F.lit("")), path_prefixes(folder))).alias("folder")).join(gone, "folder", "left_semi").select("path")
+        found = found.join(below, "path", "left_anti")
+    return found.select("path", "relative", "size", "modified")
+
+
+def nested_repositories(spark: SparkSession, path: str) -> DataFrame:
+    """Folders below a root that are repositories of their own: (folder), by their HEAD file."""
+    heads = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "HEAD").load(path).select("path")
+    root = re.sub("^file:/*", "/", path.rstrip("/"))
+    inside = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{re.escape(root)}/", "")
+    return heads.select(inside.alias("p")).where(F.col("p").rlike(r".+/\.git/HEAD$")).select(F.regexp_replace("p", r"/\.git/HEAD$", "").alias("folder"))
+
+
 def source_tree(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Files below a folder: path, language, content, content_hash; symbolic links aren't followed by the reader."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)

@@ -65,6 +65,27 @@ def delete_by_file(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> tupl
     return nodes.join(files.select("file_path"), "file_path", "left_anti"), kept.select(*edges.columns)
 
 
+def replace_table(df: DataFrame, path: str) -> None:
+    """Replaces a table, which ``df`` may read: the new one is written beside it and takes its place by renaming, so that a
+    failed write leaves the old one as it was."""
+    import uuid
+
+    spark = df.sparkSession
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    system = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    base = f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}"
+    df.write.parquet(f"{base}.new")
+    had = system.exists(at(path))
+    if had and not system.rename(at(path), at(f"{base}.old")):
+        raise OSError(f"can't move {path}")
+    if not system.rename(at(f"{base}.new"), at(path)):
+        if had:
+            system.rename(at(f"{base}.old"), at(path))
+        raise OSError(f"can't move the new table to {path}")
+    if had:
+        system.delete(at(f"{base}.old"), True)
+
+
 def save_label(df: DataFrame, path: str, label: str, by: str = "label") -> None:
     """One snapshot or branch as a partition of a table; saving a label again replaces that label only."""
     df.withColumn(by, F.lit(label)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

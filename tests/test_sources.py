@@ -90,3 +90,21 @@ def test_interface_descriptions(spark):
     docs = [(1, '{"openapi": "3.0", "info": {"title": "Shop"}, "paths": {"/a": {"get": {"summary": "List"}, "post": {"operationId": "make"}, "parameters": []}, "/b": {}}}'), (2, '{"paths": {"/x": {}}}'), (3, "no json"), (4, None), (5, '{"swagger": "2.0"}')]
     got = {tuple(r) for r in formats.openapi_sections(spark.createDataFrame(docs, "id int, t string"), "id", "t").collect()}
     assert got == {("1", 1, "Shop", None, None, None), ("1", 2, "/a", "/a", None, None), ("1", 2, "/b", "/b", None, None), ("1", 3, "GET /a", "/a", "get", "List"), ("1", 3, "POST /a", "/a", "post", "make"), ("5", 1, "API", None, None, None)}
+
+
+def test_discovery(spark, tmp_path):
+    for p in ("a/x.csv", "a/y.json", "b/deep/z.csv", "skip/no.csv", "skip/in/no.csv", "gen/g.csv"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        write(tmp_path / p, "1")
+    write(tmp_path / "skip" / "noindex", "")
+    got = {r.relative for r in readers.discover(spark, str(tmp_path), ("**/*.csv",), ("gen/**",), "noindex").collect()}
+    assert got == {"a/x.csv", "b/deep/z.csv"}
+    (tmp_path / "b" / ".git").mkdir()
+    write(tmp_path / "b" / ".git" / "HEAD", "ref")
+
+
+def test_tables_replace_themselves(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    sinks.replace_table(spark.range(3), path)
+    sinks.replace_table(spark.read.parquet(path).where("id > 0"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2] and [x.name for x in tmp_path.iterdir()] == ["t"]
