@@ -1,8 +1,8 @@
 """Most similar vectors for every vector, by randomly rotated one-bit codes.
 
 Vectors are gathered into cells around centroids that are fitted on a bounded sample. For pairs of a least cosine a vector
-is put into every cell in which the middle between it and a partner may lie (:func:`place`), however many these are; for
-neighbours, into its ``reach`` nearest cells. Within a cell, the direction of a vector from the centroid is rotated at random and kept as one
+is put into every cell in which the middle between it and a partner may lie (:func:`pair_margin`), for neighbours into all
+cells about as near as its nearest one. Within a cell, the direction of a vector from the centroid is rotated at random and kept as one
 bit per dimension with two correction scalars (distance from the centroid, inner product of code and direction). Inner
 products of a query with all codes are estimated from its 4-bit quantised coordinates by AND and popcount; the error
 bound of the estimate decides which vectors are compared exactly. Cells beyond ``block`` rows are cut into blocks, and
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from skarn.session import cut
-from skarn.skew import hashed_sample, hot_keys, salted_join
+from skarn.skew import hashed_sample, salted_join
 
 #: Rows, about, on which centroids are fitted (a bounded sample; every row is indexed).
 SAMPLE = 20_000
@@ -30,6 +30,8 @@ QUERY_BITS = 4
 WIDTH = 4.0
 #: Deviations by which a vector may lie nearer to its own centroid than to that of the cell where it meets a partner.
 MARGIN = 3.0
+#: The same for neighbours, as a share of the distance of the two centroids: the greater it is, the greater the recall.
+NEAR_MARGIN = 0.09
 #: Deviations by which an estimate may lie below the k-th exact product for its vector to be compared exactly.
 NEAR_WIDTH = 1.0
 #: Rows of a cell's block at most (per side of a task).
@@ -198,44 +200,44 @@ class Index:
 def build_index(vectors: DataFrame, dim: int = 64, cell_size: int | None = 800, cells: int | None = None) -> Index:
     """Number the rows, write them, and fit centroids: about n / cell_size of them, at most a fifth of the sample.
 
-    Without a cell_size the number of cells is a third of the root of n: for neighbours at any distance, whose cells must
+    Without a cell_size the number of cells is a quarter of the root of n: for neighbours at any distance, whose cells must
     not become so many that the nearest few hold too little of a vector's surroundings.
     """
     rows = cut(vectors.withColumn("vec_id", F.monotonically_increasing_id()), "vectors")
     n = rows.count()
     picked = hashed_sample(rows, ["vec_key"], SAMPLE, n).select("vec_key", "unit").toArrow().sort_by("vec_key").select(["unit"]) if n else None
     x = matrix(picked.column(0), dim).astype(np.float32) if n else np.zeros((0, dim), np.float32)
-    k = min(cells or (_cells(n, cell_size) if cell_size else math.ceil(math.sqrt(n) / 3)), max(1, len(x) // 5))
+    k = min(cells or (_cells(n, cell_size) if cell_size else math.ceil(math.sqrt(n) / 4)), max(1, len(x) // 5))
     return Index(rows, fit_centroids(x, k) if n else np.zeros((0, dim), np.float32), n, dim)
 
 
-def place(index: Index, reach: int | None = None, least: float | None = None) -> DataFrame:
-    """Each vector once for each of its cells: (cell, vec_id, unit). They are the ``reach`` nearest ones, or, for pairs
-    with a cosine of at least ``least``, all cells that the vector may share with the middle between it and a partner.
+def pair_margin(least: float, dim: int) -> float:
+    """How much nearer, as a share of the distance of two centroids, a vector may lie to its own one when it shares the
+    other one's cell with the middle between it and a partner of a cosine of at least ``least``.
 
     Two unit vectors of that cosine are at most d = 2 sin(acos(least) / 4) away from their middle m. Let c be the centroid
     nearest to m, and o that nearest to one of them, x. Then <m, c - o> >= 0, so that <x, o - c> <= <x - m, o - c>, whose
-    deviation for a direction that knows nothing of the centroids is d |o - c| / sqrt(dim). A cell c is taken if
-    <x, o - c> is at most MARGIN deviations; both vectors of a pair then meet in the cell of their middle.
+    deviation for a direction that knows nothing of the centroids is d |o - c| / sqrt(dim). MARGIN deviations are allowed.
     """
+    return MARGIN * 2 * math.sin(math.acos(max(-1.0, min(1.0, least))) / 4) / math.sqrt(dim)
+
+
+def place(index: Index, margin: float) -> DataFrame:
+    """Each vector once for each of its cells: (cell, vec_id, unit). They are that of its nearest centroid o and those of
+    all centroids c with <x, o - c> at most ``margin`` |o - c|, however many these are: a vector well within a cell has one,
+    one between many cells has many."""
     shared, dim = index.rows.sparkSession.sparkContext.broadcast(index.centroids), index.dim
-    away = None if least is None else MARGIN * 2 * math.sin(math.acos(max(-1.0, min(1.0, least))) / 4) / math.sqrt(dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        apart = None if away is None else away * np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))
+        apart = margin * np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))
         for whole in batches:
             for s in range(0, whole.num_rows, 2000):
                 b = whole.slice(s, 2000)
                 x = matrix(b.column(1), dim)
                 g = x @ c.T
-                if apart is None:
-                    r = min(reach, len(c))
-                    near = np.argpartition(-g, r - 1, axis=1)[:, :r] if r < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
-                    at, cell = np.repeat(np.arange(len(x)), r), near.ravel()
-                else:
-                    own = g.argmax(1)
-                    at, cell = np.nonzero(g >= g[np.arange(len(x)), own][:, None] - apart[own] - 1e-6)
+                own = g.argmax(1)
+                at, cell = np.nonzero(g >= g[np.arange(len(x)), own][:, None] - apart[own] - 1e-6)
                 at = pa.array(at)
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), b.column(0).take(at), b.column(1).take(at)], ["cell", "vec_id", "unit"])
 
@@ -298,19 +300,21 @@ def _pairs_fn(centroids, dim: int, least: float):
 def similar_pairs(index: Index, least: float, block: int = BLOCK) -> DataFrame:
     """Pairs (id_a < id_b, cosine) with cosine of at least ``least``, however many partners a vector has."""
     shared = index.rows.sparkSession.sparkContext.broadcast(index.centroids)
-    found = tasks(place(index, least=least), block).groupBy("cell", "i", "j").applyInArrow(_pairs_fn(shared, index.dim, least), "id_a bigint, id_b bigint, cosine double")
+    found = tasks(place(index, pair_margin(least, index.dim)), block).groupBy("cell", "i", "j").applyInArrow(_pairs_fn(shared, index.dim, least), "id_a bigint, id_b bigint, cosine double")
     return found.groupBy("id_a", "id_b").agg(F.max("cosine").alias("cosine"))
 
 
 def linked_classes(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """Equal vectors as classes: members (vec_key, class_id, copies) and pairs of classes (id_a, id_b, cosine), which name
     them by their smallest key. However many copies a vector has, it is compared once."""
-    kept = cut(vectors, "usable")
-    classes = kept.groupBy("unit").agg(F.min("vec_key").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    index = build_index(classes.select(F.col("class_id").alias("vec_key"), "unit"))
+    kept = cut(vectors.withColumn("digest", F.unhex(F.sha2("unit", 256))), "usable")
+    # Only the kept vector of each class is moved whole; keys find their class by the digest.
+    whole = kept.groupBy("digest").agg(F.min("vec_key").alias("class_id"), F.any_value("unit").alias("unit"))
+    index = build_index(whole.select(F.col("class_id").alias("vec_key"), "unit"))
     pairs = named(index, similar_pairs(index, least), "id_a", "id_b")
-    hot = hot_keys(kept, "unit")
-    return salted_join(kept, classes, "unit", "inner", hot=hot).select("vec_key", "class_id", "copies"), pairs
+    keys = kept.select("vec_key", "digest")
+    classes = keys.groupBy("digest").agg(F.min("vec_key").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    return salted_join(keys, classes, "digest", "inner").select("vec_key", "class_id", "copies"), pairs
 
 
 def links_of(pairs: DataFrame) -> DataFrame:
@@ -359,7 +363,7 @@ def _nearest_fn(centroids, dim: int, k: int):
         cc = float(c @ c)
         res: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for qs, ds in ((left, right),) if same else ((left, right), (right, left)):
-            codes = encode(r[ds])
+            codes, turned, every = encode(r[ds]), np.ascontiguousarray(x[ds].T), np.arange(len(ds))
             for s in range(0, len(qs), ROWS):
                 at = qs[s : s + ROWS]
                 mid, (norm, dev) = scores(codes, r[at], rc[at], rc[ds], cc)
@@ -367,13 +371,17 @@ def _nearest_fn(centroids, dim: int, k: int):
                 a, b, e = _compared(mid >= _least_top(mid, k + 1)[:, None], x, at, ds)
                 floor = _kth(a, e, len(at), k)
                 # Then the vectors whose upper bound reaches the floor. Those that no query of the group wants are left out
-                # of the product; within it a mask costs less than to gather pair by pair.
+                # of the product if they are many; within it a mask costs less than to gather pair by pair.
                 mid += norm[:, None] * (NEAR_WIDTH * dev)
                 mid -= floor[:, None]
                 wanted = np.flatnonzero(mid.max(0) >= 0)
-                exact = x[at] @ x[ds[wanted]].T
-                exact[mid[:, wanted] < 0] = -2
-                exact[at[:, None] == ds[wanted]] = -2
+                if len(wanted) > 0.75 * len(ds):
+                    wanted, exact = every, x[at] @ turned
+                else:
+                    mid, exact = mid[:, wanted], x[at] @ x[ds[wanted]].T
+                exact[mid < 0] = -2
+                if same:
+                    exact[at[:, None] == ds[wanted]] = -2
                 few = np.maximum(_least_top(exact, k), np.float32(-1.5))
                 a, b = np.divmod(np.flatnonzero(exact >= few[:, None]), len(wanted))
                 e = exact[a, b]
@@ -390,11 +398,11 @@ def _nearest_fn(centroids, dim: int, k: int):
     return run
 
 
-def nearest(index: Index, k: int = 10, reach: int = 5, block: int = BLOCK) -> DataFrame:
+def nearest(index: Index, k: int = 10, margin: float = NEAR_MARGIN, block: int = BLOCK) -> DataFrame:
     """The ``k`` most similar other vectors of each vector: (vec_id, rank, other, cosine)."""
     shared = index.rows.sparkSession.sparkContext.broadcast(index.centroids)
-    found = tasks(place(index, reach), block).groupBy("cell", "i", "j").applyInArrow(_nearest_fn(shared, index.dim, k), "vec_id bigint, other bigint, cosine double")
-    # At most reach * (blocks of its cells) lists of k per vector meet here.
+    found = tasks(place(index, margin), block).groupBy("cell", "i", "j").applyInArrow(_nearest_fn(shared, index.dim, k), "vec_id bigint, other bigint, cosine double")
+    # One list of k for each of its cells' blocks meets here per vector.
     lists = found.groupBy("vec_id").agg(F.collect_set(F.struct((-F.col("cosine")).alias("far"), "other")).alias("s"))
     return lists.select("vec_id", F.posexplode(F.slice(F.array_sort("s"), 1, k)).alias("rank", "o")).select(
         "vec_id", (F.col("rank") + 1).alias("rank"), F.col("o.other").alias("other"), (-F.col("o.far")).alias("cosine")
