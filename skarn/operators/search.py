@@ -156,10 +156,17 @@ def embedding_text(limit: int = 2000) -> Column:
 
 
 def hashed_vector(text: Column, dim: int = 64) -> Column:
-    """Stand-in for an embedding: signed feature hashing of the words, as an array of ``dim`` numbers."""
+    """Stand-in for an embedding: signed feature hashing of the words, as an array of ``dim`` numbers. The words are hashed in
+    the JVM; their signs are added up by slot in Arrow batches, in time linear in their number. Null for a null text."""
     ts = tokens(text)
-    slots = F.transform(ts, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dim)).alias("i"), F.when(F.pmod(F.hash(t), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(slots, F.lit(0.0), lambda acc, e: acc + F.when(e.i == i, e.s).otherwise(0.0)))
+
+    @F.pandas_udf("array<double>")
+    def fold(slots, signs):
+        import numpy as np
+
+        return slots.combine(signs, lambda i, s: None if i is None else np.bincount(i, weights=s, minlength=dim) if len(i) else np.zeros(dim))
+
+    return fold(F.transform(ts, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int")), F.transform(ts, lambda t: F.when(F.pmod(F.hash(t), F.lit(2)) == 0, 1.0).otherwise(-1.0)))
 
 
 def task_context(nodes: DataFrame, text: str, n: int = 20) -> DataFrame:

@@ -145,3 +145,23 @@ def test_labels_are_partitions(spark, tmp_path):
     assert sinks.labels(spark, f"{tmp_path}/t") == ["feature/a b", "main", "old"]
     sinks.remove_label(spark, f"{tmp_path}/t", "none")
     assert sinks.keep_labels(spark, f"{tmp_path}/t", ["main", "feature/a b"]) == ["old"] and sinks.labels(spark, f"{tmp_path}/t") == ["feature/a b", "main"]
+
+
+def test_hashed_vectors_add_up(spark):
+    from skarn.operators import search
+
+    df = frame(spark, [(1, "alpha beta alpha"), (2, ""), (3, None), (4, "alpha")], "id int, t string")
+    got = {r.id: r.v for r in df.select("id", search.hashed_vector(graph.F.col("t"), 16).alias("v")).collect()}
+    assert got[3] is None and got[2] == [0.0] * 16 and sorted(map(abs, got[4]))[-2:] == [0.0, 1.0]
+    assert sum(map(abs, got[1])) in (3.0, 1.0) and sum(abs(x) == 2 for x in got[1]) <= 1 and len(got[1]) == 16
+
+
+def test_memory_search_of_one_side(spark):
+    from skarn.operators import search
+
+    t, v = frame(spark, [(1, 4.0), (2, 2.0)], "id int, fts double"), frame(spark, [(2, 0.8), (3, 0.2)], "id int, vec double")
+    assert rows(search.memory_hybrid(t, v)) == {(1, 0.5), (2, 0.65), (3, 0.1)}
+    assert rows(search.memory_hybrid(t, v.limit(0))) == {(1, 4.0), (2, 2.0)} and rows(search.memory_hybrid(t.limit(0), v, floor=0.5)) == {(2, 0.8)}
+    r = frame(spark, [(2, 9, "supports"), (9, 2, "refutes")], "a int, b int, relation string")
+    assert {(x.id, tuple(x.relations)) for x in search.memory_hybrid(t, v, relations=r).collect()} == {(1, ()), (2, ("refutes 9", "supports 9")), (3, ())}
+    assert search.memory_hybrid(t.limit(0), v.limit(0)).count() == 0
