@@ -92,7 +92,37 @@ def _package(lines: list[str]) -> list[str]:
     return [x for x in lines if keep.search(x)]
 
 
-FILTERS: dict[str, Callable[[list[str]], list[str]]] = {"git": _git, "test": _tests, "lint": _lint, "package": _package}
+def _docker(lines: list[str]) -> list[str]:
+    noise = re.compile(r"^\s*(?:[0-9a-f]{12}: |#\d+ (?:sha256:|extracting|\d+\.\d+ )|(?:Pulling|Waiting|Downloading|Extracting|Verifying Checksum|Download complete|Pull complete|Digest|Preparing|Pushed|Layer already exists)\b|--->|Removing intermediate container)")
+    return [re.sub(r"\s{3,}", "  ", x).rstrip() for x in lines if not noise.match(x)]
+
+
+def _aws(lines: list[str]) -> list[str]:
+    """Without brackets of their own and metadata; what is left in one line per value."""
+    noise = re.compile(r"^\s*[\[\]{}],?\s*$|\"(?:ResponseMetadata|RequestId|HTTPHeaders|HTTPStatusCode|RetryAttempts|ETag|NextToken|OwnerId|Arn)\"\s*:", re.I)
+    return [x.strip().rstrip(",") for x in lines if not noise.search(x)]
+
+
+def _files(lines: list[str]) -> list[str]:
+    """Listings of paths as counts per folder where there are many; other output as it is."""
+    paths = [x.strip() for x in lines if re.fullmatch(r"\s*\.?/?[\w.@+-]+(?:/[\w.@+-]+)+/?\s*", x)]
+    if len(paths) < 20 or len(paths) < 0.8 * sum(bool(x.strip()) for x in lines):
+        return lines
+    folders: dict[str, int] = {}
+    for p in paths:
+        folder = p.rstrip("/").rpartition("/")[0]
+        folders[folder] = folders.get(folder, 0) + 1
+    return [f"{folder}/ ({n})" for folder, n in sorted(folders.items())]
+
+
+def _github(lines: list[str]) -> list[str]:
+    noise = re.compile(r"^\s*$|^(?:Showing \d+ of|View this|https://|--\s*$|\s*[─━-]{4,})")
+    return [re.sub(r"\t+|\s{3,}", "  ", x).rstrip() for x in lines if not noise.match(x)]
+
+
+FILTERS: dict[str, Callable[[list[str]], list[str]]] = {
+    "git": _git, "test": _tests, "lint": _lint, "package": _package, "docker": _docker, "aws": _aws, "files": _files, "github": _github,
+}
 
 
 def generic(lines: list[str], limit: int = 100) -> list[str]:

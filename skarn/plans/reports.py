@@ -8,7 +8,7 @@ from skarn.operators import catalog, documents, graph, logs, memory, resolve, re
 from skarn.plans.graphs import G, _views, g_of, seeds
 from skarn.plans.problems import _TREE
 from skarn.session import table
-from skarn.sources import extract, formats
+from skarn.sources import extract, formats, rules
 
 Q: dict = {}
 ORACLES: dict[str, str] = {}
@@ -343,6 +343,22 @@ def v_category_coverage(spark, d):
     return security.category_coverage(p.selectExpr("p_brand rule", "concat('A', p_size % 7, ':', p_size) category").distinct(), f)
 
 
+#: Lines of code, their language and the rules that find them.
+SNIPPETS = [
+    ("python", "x = eval(text)", ["dangerous-eval"]), ("javascript", "db.query('select * from t where a = ' + a)", ["sql-injection-concat"]), ("python", "  # eval(x) in a comment", []), ("go", "eval(x)", []), ("typescript", "el.innerHTML = name", ["inner-html"]),
+    ("python", "subprocess.run(cmd, shell=True); os.system(cmd)", ["dangerous-exec-python"]), ("java", 'MessageDigest.getInstance("MD5")', ["weak-crypto-hash"]), ("python", "data = yaml.load(f)", ["unsafe-yaml"]), ("python", "data = yaml.load(f, Loader=SafeLoader)", []),
+    ("rust", "unsafe { go() }", ["unsafe-block"]), ("javascript", "fetch(req.query.url); res.redirect(req.query.next)", ["open-redirect", "request-forgery"]), ("ruby", "evaluate(x)", []), ("typescript", "const password = 'correcthorse'; token = Math.random()", ["hardcoded-secret", "insecure-random"]),
+]
+
+
+@query(" union all ".join(f"select p_partkey path, {1 + p_line}::int line, '{r}' as rule from part where p_partkey % {len(SNIPPETS)} = {i}" for i, (_, _, found) in enumerate(SNIPPETS) for r in found for p_line in (0, 2)))
+def v_source_rules(spark, d):
+    """Files of three lines, the first and the last of which are one of the snippets."""
+    pick = lambda j: F.get(F.array(*[F.lit(x[j]) for x in SNIPPETS]), (F.col("p_partkey") % len(SNIPPETS)).cast("int"))
+    files = table(spark, d, "part").select(F.col("p_partkey").alias("path"), pick(0).alias("language"), F.concat(pick(1), F.lit("\nok()\n"), pick(1)).alias("content"))
+    return rules.findings(files).select("path", "line", "rule")
+
+
 # -- references to edges --------------------------------------------------------------------------------------------
 def _references(spark, d):
     """References as a parser leaves them, made of the tables: calls by documents, imports of modules and of names in

@@ -165,3 +165,31 @@ def test_memory_search_of_one_side(spark):
     r = frame(spark, [(2, 9, "supports"), (9, 2, "refutes")], "a int, b int, relation string")
     assert {(x.id, tuple(x.relations)) for x in search.memory_hybrid(t, v, relations=r).collect()} == {(1, ()), (2, ("refutes 9", "supports 9")), (3, ())}
     assert search.memory_hybrid(t.limit(0), v.limit(0)).count() == 0
+
+
+def test_rules_from_files_and_symbols_around(spark, tmp_path):
+    from skarn.sources import extract, rules
+
+    (tmp_path / "r.json").write_text('{"rules": [{"id": "todo", "pattern": "TODO", "severity": "low", "language": "python"}, {"id": "any", "pattern": "never"}]}')
+    own = rules.load_rules(str(tmp_path / "r.json"))
+    assert [(r.id, r.severity, r.languages) for r in own] == [("todo", "low", ("python",)), ("any", "medium", ())]
+    (tmp_path / "bad.json").write_text('[{"id": "x", "pattern": "y", "severity": "awful"}]')
+    with pytest.raises(ValueError):
+        rules.load_rules(str(tmp_path / "bad.json"))
+    pytest.importorskip("yaml")
+    (tmp_path / "r.yaml").write_text("- id: todo\n  pattern: TODO\n  languages: [python]\n")
+    assert rules.load_rules(str(tmp_path / "r.yaml"))[0].languages == ("python",)
+    files = frame(spark, [("a.py", "python", "def f():\n    x = 1  # TODO\n    return eval(x)\nTODO = never"), ("b.go", "go", "TODO"), ("c.py", "python", None), ("d", None, "never")], "path string, language string, content string")
+    assert rows(rules.findings(files, own).select("path", "line", "rule")) == {("a.py", 2, "todo"), ("a.py", 4, "todo"), ("a.py", 4, "any"), ("d", 1, "any")}
+    assert rules.findings(files, own, "high").count() == 0
+    around = rules.enclosing(rules.findings(files, [*own, *rules.LIBRARY]), extract.source_graph(files)[0])
+    assert rows(around.select("line", "rule", "symbol").where("path = 'a.py'")) == {(2, "todo", "a.py::f#1"), (3, "dangerous-eval", "a.py::f#1"), (4, "todo", None), (4, "any", None)}
+
+
+def test_filters_of_commands():
+    from skarn.operators import compress
+
+    assert compress.output("docker", "0123456789ab: Pulling fs layer\nStep 1/2 : FROM x\n ---> 123\nSuccessfully built") == "Step 1/2 : FROM x\nSuccessfully built"
+    assert compress.output("aws", '{\n  "Name": "x",\n  "RequestId": "1"\n}') == '"Name": "x"'
+    assert compress.output("files", "\n".join(f"src/a/f{i}.ts" for i in range(30)) + "\nlib/b/c.py") == "lib/b/ (1)\nsrc/a/ (30)"
+    assert compress.output("github", "#1  fix\topen\n\nhttps://x\nShowing 1 of 9") == "#1  fix  open"
