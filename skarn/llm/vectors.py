@@ -307,12 +307,12 @@ def similar_pairs(index: Index, least: float, block: int = BLOCK) -> DataFrame:
 def linked_classes(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """Equal vectors as classes: members (vec_key, class_id, copies) and pairs of classes (id_a, id_b, cosine), which name
     them by their smallest key. However many copies a vector has, it is compared once."""
-    kept = cut(vectors.withColumn("digest", F.unhex(F.sha2("unit", 256))), "usable")
-    # Only the kept vector of each class is moved whole; keys find their class by the digest.
-    whole = kept.groupBy("digest").agg(F.min("vec_key").alias("class_id"), F.any_value("unit").alias("unit"))
+    kept = cut(vectors, "usable")
+    # Only the kept vector of each class is moved whole; keys find their class by the digest of the vector.
+    whole = kept.groupBy("unit").agg(F.min("vec_key").alias("class_id"))
     index = build_index(whole.select(F.col("class_id").alias("vec_key"), "unit"))
     pairs = named(index, similar_pairs(index, least), "id_a", "id_b")
-    keys = kept.select("vec_key", "digest")
+    keys = kept.select("vec_key", F.unhex(F.sha2("unit", 256)).alias("digest"))
     classes = keys.groupBy("digest").agg(F.min("vec_key").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     return salted_join(keys, classes, "digest", "inner").select("vec_key", "class_id", "copies"), pairs
 
