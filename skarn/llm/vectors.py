@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from skarn.session import cut
+from skarn.session import cut, drop
 from skarn.skew import hashed_sample, salted_join
 
 #: Rows, about, on which centroids are fitted (a bounded sample; every row is indexed).
@@ -312,7 +312,8 @@ def linked_classes(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFra
     whole = kept.groupBy("unit").agg(F.min("vec_key").alias("class_id"))
     index = build_index(whole.select(F.col("class_id").alias("vec_key"), "unit"))
     pairs = named(index, similar_pairs(index, least), "id_a", "id_b")
-    keys = kept.select("vec_key", F.unhex(F.sha2("unit", 256)).alias("digest"))
+    keys = cut(kept.select("vec_key", F.unhex(F.sha2("unit", 256)).alias("digest")), "keys")
+    drop(kept)  # the index has its own copy of what is compared
     classes = keys.groupBy("digest").agg(F.min("vec_key").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     return salted_join(keys, classes, "digest", "inner").select("vec_key", "class_id", "copies"), pairs
 
