@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from skarn.session import cut, cut_counted, drop
-from skarn.skew import salted_join
+from skarn.skew import numbered, salted_join
 
 
 def of_kinds(edges: DataFrame, kinds: Sequence[str] | None) -> DataFrame:
@@ -474,27 +474,33 @@ def coupling(pairs: DataFrame) -> DataFrame:
     return g.withColumn("instability", F.round(F.coalesce(F.try_divide("ce", F.col("ca") + F.col("ce")), F.lit(0.0)), 4))
 
 
-def dfs_order(edges: DataFrame, start: str, max_depth: int = 10, limit: int = 1000, kinds: Sequence[str] | None = None) -> DataFrame:
-    """Pre-order of a depth-first walk: (position, id). The order is sequential, so the subgraph that is walked is first
-    reached level by level and must not have more than ``limit`` nodes; children go by their id."""
-    reached = bfs(edges, edges.sparkSession.createDataFrame([(start,)], "id string"), max_depth, kinds)
-    ids = [r.id for r in reached.select("id").limit(limit + 1).collect()]
-    if len(ids) > limit:
-        raise ValueError(f"more than {limit} nodes are reached; a walk in order is meant for small subgraphs")
-    inner = induced(of_kinds(edges, kinds), reached.select("id")).select("source", "target").distinct()
-    below: dict[str, list[str]] = {}
-    for s, t in inner.orderBy("source", "target").collect():  # edges among at most ``limit`` nodes
-        below.setdefault(s, []).append(t)
-    out, seen, stack = [], set(), [(start, 0)]
-    while stack:
-        at, depth = stack.pop()
-        if at in seen:
-            continue
-        seen.add(at)
-        out.append((len(out), at))
-        if depth < max_depth:
-            stack += [(t, depth + 1) for t in reversed(below.get(at, []))]
-    return edges.sparkSession.createDataFrame(out, "position int, id string")
+def dfs_order(edges: DataFrame, start: str, max_depth: int | None = 10, limit: int | None = None, kinds: Sequence[str] | None = None) -> DataFrame:
+    """Pre-order of a depth-first walk: (position, id). Children go by their id; a node counts where the walk meets it first
+    and is not walked again, also where ``max_depth`` ended its way. More than ``limit`` nodes are refused, if it is given.
+
+    The walk meets nodes in the order of their ways from the start (arrays of ids), so a node's way is the least of its
+    predecessors' ways with its id behind. Each round takes all ways anew from those of the round before; the rounds end
+    when no way changes, after as many as the walk is deep if no node has two predecessors. Then the ways are numbered.
+    """
+    spark = edges.sparkSession
+    steps = cut(directed(of_kinds(edges, kinds)).where(F.col("src").isNotNull() & (F.col("dst") != start)), "steps")
+    root = spark.createDataFrame([(start,)], "id string").select("id", F.array("id").alias("way"))
+    state = cut(root, "ways")
+    while True:
+        ways = state.where("way is not null").select("id", "way")
+        last = ways if max_depth is None else ways.where(F.size("way") <= max_depth)
+        # A step back into the way never is the least one.
+        ahead = last.join(steps, (F.col("id") == F.col("src")) & ~F.array_contains("way", F.col("dst"))).select(F.col("dst").alias("id"), F.concat("way", F.array("dst")).alias("way"))
+        both = ahead.unionByName(root).withColumn("was", F.lit(None).cast("array<string>")).unionByName(ways.select("id", F.lit(None).cast("array<string>").alias("way"), F.col("way").alias("was")))
+        met = both.groupBy("id").agg(F.min("way").alias("way"), F.min("was").alias("was"))
+        before = state
+        state, seen = cut_counted(met, "ways", F.count("way").alias("ways"), F.count_if(~F.col("way").eqNullSafe(F.col("was"))).alias("moved"))
+        drop(before)
+        if not seen["moved"]:
+            break
+    if limit is not None and seen["ways"] > limit:
+        raise ValueError(f"more than {limit} nodes are reached")
+    return numbered(state.where("way is not null").select("id", "way"), ["way"], "position").select(F.col("position").cast("int").alias("position"), "id")
 
 
 def context(nodes: DataFrame, edges: DataFrame, ids: DataFrame, each: int = 5) -> DataFrame:

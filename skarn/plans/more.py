@@ -150,7 +150,7 @@ def v_orphan_dependencies(spark, d):
 @query("with recursive " + G + """c as (select distinct target id from edges_g where kind = 'contains' and source = 'r:1' and target <> 'r:1'), w as (select 'r:1' id, '' place union all select c.id, c.id || '/' from c union all select e.target, c.id || '/' || e.target || '/' from c join (select distinct source, target from edges_g where kind = 'contains') e on e.source = c.id) select (row_number() over (order by place) - 1)::int as position, id from w""")
 def g_dfs(spark, d):
     n, e = g_of(spark, d)
-    return graph.dfs_order(e, "r:1", 2, 1000, ["contains"])
+    return graph.dfs_order(e, "r:1", 2, kinds=["contains"])
 
 
 @query("with recursive " + G + """c as (select distinct source, target from edges_g where kind = 'calls'), x as (select target id, 'caller' side, source other from c where target in ('p:2', 'p:3') union all select source, 'callee', target from c where source in ('p:2', 'p:3')),

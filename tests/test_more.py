@@ -114,6 +114,32 @@ def test_walk_in_order(spark):
         graph.dfs_order(e, "a", limit=2)
 
 
+def test_walk_in_order_of_any_size(spark):
+    import random
+
+    def walk(edges, start, depth):
+        below = {}
+        for s, t in sorted(set(edges)):
+            below.setdefault(s, []).append(t)
+        out, stack = [], [(start, 0)]
+        while stack:
+            at, d = stack.pop()
+            if at not in out:
+                out.append(at)
+                stack += [(t, d + 1) for t in reversed(below.get(at, []))] if d < depth else []
+        return out
+
+    tree = [("r", f"n{i}") for i in range(30)] + [(f"n{i}", f"m{i}-{j}") for i in range(30) for j in range(50)]
+    e = spark.createDataFrame([(s, t, "contains") for s, t in tree], "source string, target string, kind string")
+    assert [r.id for r in graph.dfs_order(e, "r").orderBy("position").collect()] == walk(tree, "r", 10)
+    rng = random.Random(3)
+    mixed = [(f"x{rng.randrange(9)}", f"x{rng.randrange(9)}") for _ in range(20)] + [("s", "a"), ("a", "b"), ("s", "b"), ("b", "c"), ("c", "s"), ("s", "x1")]
+    e = spark.createDataFrame([(s, t, "calls") for s, t in mixed], "source string, target string, kind string")
+    for depth in (2, 4, 20):
+        got = graph.dfs_order(e, "s", depth).orderBy("position").collect()
+        assert [r.id for r in got] == walk(mixed, "s", depth) and [r.position for r in got] == list(range(len(got)))
+
+
 def test_sessions_of_stream_and_table_agree(spark):
     rows = [(1, t) for t in (0, 3600, 7200, 7201, 20000, 27200)] + [(2, 5), (2, 5)] + [(None, 1)]
     df = spark.createDataFrame([(u, t) for u, t in rows], "user_id bigint, s bigint").selectExpr("user_id", "timestamp_seconds(s) ts")
