@@ -264,20 +264,54 @@ def wiki_review(pages: DataFrame, slug: str = "slug", content: str = "content")
 NEGATIONS = ("instead of", "not", "replaced by", "superseded", "deprecated")
 
 
+#: Pages of one class, about, that lie in one row while pairs are made.
+CLASS_BLOCK = 512
+
+
 def contradictions(pages: DataFrame, slug: str = "slug", title: str = "title", content: str = "content") -> DataFrame:
     """Pairs of pages one of which holds every word of the other's title, that both hold the same mark of negation:
-    (a, b, signal), a < b, signal the first such mark. A title is joined by its rarest word, the others are checked."""
+    (a, b, signal), a < b, signal the first such mark. A title is joined by its rarest word, the others are checked.
+
+    Pages with the same words, title words and marks are one class. Classes are matched, each pair from one side only; their
+    pages, in blocks, are paired last of all, so that pairs of pages are neither shuffled nor sorted. Only pairs with a slug
+    whose rows are of several classes are made unique, with their least mark.
+    """
     from skarn.operators.search import tokens
+    from skarn.session import cut, parallelism
     from skarn.skew import salted_join
 
     signals = F.array_compact(F.array(*[F.when(F.lower(content).contains(s), F.lit(s)) for s in NEGATIONS]))
-    p = pages.select(F.col(slug).alias("slug"), F.array_distinct(tokens(F.concat_ws(" ", title, content))).alias("ts"), F.array_distinct(tokens(F.coalesce(title, F.lit("")))).alias("ask"), signals.alias("sig")).where(F.size("sig") > 0)
-    df = p.select(F.explode("ts").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rare = salted_join(p.select("slug", "ask", "sig", F.explode("ask").alias("term")), df, "term", "inner").groupBy("slug").agg(F.min(F.struct("df", "term")).alias("r"), F.first("ask").alias("ask"), F.first("sig").alias("sig"))
-    hits = rare.select(F.col("slug").alias("asker"), "ask", F.col("sig").alias("own"), F.col("r.term").alias("term")).join(p.select("slug", "ts", "sig", F.explode("ts").alias("term")), "term")
-    both = F.array_intersect("own", "sig")
-    pairs = hits.where((F.col("asker") != F.col("slug")) & (F.size(F.array_except("ask", "ts")) == 0) & (F.size(both) > 0))
-    return pairs.groupBy(F.least("asker", "slug").alias("a"), F.greatest("asker", "slug").alias("b")).agg(F.min(both[0]).alias("signal"))
+    words = lambda c: F.array_sort(F.array_distinct(tokens(c)))
+    what = ["ts", "ask", "sig"]
+    p = pages.select(F.col(slug).alias("slug"), words(F.concat_ws(" ", title, content)).alias("ts"), words(F.coalesce(title, F.lit(""))).alias("ask"), signals.alias("sig"))
+    p = p.where((F.size("sig") > 0) & F.col("slug").isNotNull()).withColumn("class", F.unhex(F.sha2(F.to_json(F.struct(*what)), 256)))
+    classes = cut(p.groupBy("class").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in what]), "classes")
+    members = p.select("slug", "class").distinct().join(classes.select("class", "n"), "class")
+
+    df = classes.select("n", F.explode("ts").alias("term")).groupBy("term").agg(F.sum("n").alias("df"))
+    rare = salted_join(classes.select("class", F.explode("ask").alias("term")), df, "term", "inner").groupBy("class").agg(F.min(F.struct("df", "term")).alias("r"))
+    askers = classes.select("class", *what).join(rare, "class").select(F.col("class").alias("x"), *[F.col(c).alias(f"{c}_x") for c in what], F.col("r.term").alias("term"))
+    hits = askers.join(classes.select(F.col("class").alias("y"), *what, F.explode("ts").alias("term")), "term")
+    both = F.array_intersect("sig_x", "sig")
+    back = (F.size("ask") > 0) & (F.size(F.array_except("ask", "ts_x")) == 0)
+    links = hits.where((F.size(both) > 0) & (F.size(F.array_except("ask_x", "ts")) == 0) & ((F.col("x") <= F.col("y")) | ~back)).select("x", "y", both[0].alias("signal"))
+
+    several = cut(members.groupBy("slug").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("slug", F.lit(True).alias("several")), "several")
+    block = F.pmod(F.xxhash64("slug"), F.ceil(F.col("n") / CLASS_BLOCK))
+    blocks = members.join(several, "slug", "left").groupBy("class", F.coalesce("several", F.lit(False)).alias("several"), block.alias("block")).agg(F.collect_list("slug").alias("slugs"))
+    blocks = cut(blocks, "blocks")
+    one, two = (blocks.select(F.col("class").alias(c), F.struct("several", "block").alias(f"at_{c}"), F.col("slugs").alias(f"slugs_{c}")) for c in "xy")
+    met = links.join(one, "x").join(two, "y").where((F.col("x") != F.col("y")) | (F.col("at_x") <= F.col("at_y")))
+    met = met.repartition(4 * parallelism(pages.sparkSession), "x", "y", "at_x", "at_y").withColumn("same", (F.col("x") == F.col("y")) & (F.col("at_x") == F.col("at_y")))
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        each = rows.select(F.explode("slugs_x").alias("p"), "slugs_y", "same", "signal").select("p", F.explode("slugs_y").alias("q"), "same", "signal")
+        return each.where(F.when(F.col("same"), F.col("p") < F.col("q")).otherwise(F.col("p") != F.col("q"))).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "signal")
+
+    if several.isEmpty():
+        return pairs(met)
+    apart = F.col("at_x.several") | F.col("at_y.several")
+    return pairs(met.where(~apart)).unionByName(pairs(met.where(apart)).groupBy("a", "b").agg(F.min("signal").alias("signal")))
 
 
 def context_pages(hits: DataFrame, n: int = 3, floor: float = 0.4) -> DataFrame:

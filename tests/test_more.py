@@ -140,6 +140,31 @@ def test_walk_in_order_of_any_size(spark):
         assert [r.id for r in got] == walk(mixed, "s", depth) and [r.position for r in got] == list(range(len(got)))
 
 
+def test_contradictions_pair_by_pair(spark, monkeypatch):
+    import re
+
+    rng = np.random.default_rng(5)
+    say = ["not so", "superseded now", "deprecated, not good", "fine", "instead of all", ""]
+    pages = [(f"p{i}", f"page t{rng.integers(3)}" if i % 5 else ["t1", "", None, "zzz t2"][i // 5 % 4], f"{say[rng.integers(6)]} t{rng.integers(3)} page") for i in range(60)]
+    pages += [("p3", "t0", "deprecated t1 page"), ("p3", "t1", "not t0"), ("p4", "t1", "instead of not t0"), pages[7], (None, "t1", "not t1")]
+    want = {}
+    for sa, ta, ca in pages:
+        for sb, tb, cb in pages:
+            ask, has = set(re.findall(r"\w+", ta or "")), set(re.findall(r"\w+", f"{tb or ''} {cb}"))
+            marks = [m for m in documents.NEGATIONS if m in ca and m in cb]
+            if sa and sb and sa != sb and ask and ask <= has and marks:
+                k = (min(sa, sb), max(sa, sb))
+                want[k] = min(want.get(k, marks[0]), marks[0])
+    monkeypatch.setattr(documents, "CLASS_BLOCK", 2, raising=False)
+    df = spark.createDataFrame(pages, "slug string, title string, content string")
+    got = documents.contradictions(df)
+    assert sorted(map(tuple, got.collect())) == sorted((*k, v) for k, v in want.items()) and want
+    # What makes the pairs comes last: they are not gathered again.
+    once = documents.contradictions(df.dropDuplicates(["slug"]))
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.partition("Generate")[0]
+
+
 def test_sessions_of_stream_and_table_agree(spark):
     rows = [(1, t) for t in (0, 3600, 7200, 7201, 20000, 27200)] + [(2, 5), (2, 5)] + [(None, 1)]
     df = spark.createDataFrame([(u, t) for u, t in rows], "user_id bigint, s bigint").selectExpr("user_id", "timestamp_seconds(s) ts")
