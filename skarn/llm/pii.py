@@ -4,7 +4,7 @@ One Aho-Corasick pass over the lower-cased text finds anchors: at-signs and thei
 words, titles, phrases that introduce persons, and the tokens of the name lexicon. Runs of digits anchor numbers.
 Deterministic parsers expand each anchor to both sides, validate it and give its exact bounds; of overlapping cases the
 longer one stands. Name words that the lexicon lacks are judged by their letter trigrams, with a classifier fitted on
-the lexicon (bounded) against a bounded sample of other capitalised words.
+the lexicon against the common words of all texts.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, functions as F
 from skarn.session import cut
 from skarn.skew import hashed_sample
 
-#: Tokens, about, of a lexicon that are broadcast and that the classifier is fitted on (of a larger one the others are
-#: joined to the texts that hold them), and rows, about, from which other words are sampled.
-LEXICON_LIMIT, OTHER_SAMPLE = 200_000, 2_000
+#: Tokens, about, of a lexicon that are broadcast (of a larger one the others count for the classifier as well, and are
+#: joined to the texts that hold them).
+LEXICON_LIMIT = 200_000
 
 # Words and phrases that mark anchors, in lower case.
 AT_MARKS = ["@", " at ", "(at)", "[at]", "{at}", "( at )", "[ at ]"]
@@ -127,18 +127,21 @@ def lower_same(text: str) -> str:
 class NameModel:
     """Letter trigrams of name words against those of other capitalised words (naive Bayes with smoothing)."""
 
-    def __init__(self, lexicon: dict[str, str], other: list[str]):
+    def __init__(self, lexicon: dict[str, str], other: list[str], counted: list[tuple[bool, str, int]] | None = None):
+        """counted: (of a given name, trigram, count) over all tokens of a lexicon that is larger than ``lexicon``."""
         self.lexicon = {k.lower(): v for k, v in lexicon.items()}
         names = list(self.lexicon)
         rest = sorted({w.lower() for w in other} - set(names))
         self.weights: dict[str, float] = {}
-        pos, neg = Counter(g for w in names for g in self.grams(w)), Counter(g for w in rest for g in self.grams(w))
+        kinds: dict[str, Counter] = {"given": Counter(), "family": Counter()}
+        for given, g, k in counted or [(part == "given", g, 1) for w, part in self.lexicon.items() for g in self.grams(w)]:
+            kinds["given" if given else "family"][g] += k
+        pos, neg = kinds["given"] + kinds["family"], Counter(g for w in rest for g in self.grams(w))
         n_pos, n_neg, v = sum(pos.values()), sum(neg.values()), len(pos.keys() | neg.keys()) + 1
         for g in pos.keys() | neg.keys():
             self.weights[g] = math.log((pos[g] + 0.3) / (n_pos + 0.3 * v)) - math.log((neg[g] + 0.3) / (n_neg + 0.3 * v))
         self.unseen = math.log((0.3 / (n_pos + 0.3 * v)) / (0.3 / (n_neg + 0.3 * v))) - 1.0
         self.rest = frozenset(rest)
-        kinds = {k: Counter(g for w, part in self.lexicon.items() if (part == "given") == (k == "given") for g in self.grams(w)) for k in ("given", "family")}
         n = {k: sum(c.values()) for k, c in kinds.items()}
         self.family_weights = {
             g: math.log((kinds["family"][g] + 0.3) / (n["family"] + 0.3 * v)) - math.log((kinds["given"][g] + 0.3) / (n["given"] + 0.3 * v)) for g in kinds["given"].keys() | kinds["family"].keys()
@@ -198,8 +201,8 @@ BEHIND_COMMA = 0.3
 class Finder:
     """Finds cases in one text; pure Python over anchors, so that text without anchors costs one automaton pass."""
 
-    def __init__(self, lexicon: dict[str, str], other: list[str]):
-        self.names = NameModel(lexicon, other)
+    def __init__(self, lexicon: dict[str, str], other: list[str], counted: list[tuple[bool, str, int]] | None = None):
+        self.names = NameModel(lexicon, other, counted)
         a = ahocorasick.Automaton()
         anchors: dict[str, set[str]] = {}
         for kind, words in (("at", AT_MARKS), ("id", ID_CUES), ("box", BOXES), ("name", NAME_CUES), ("lex", self.names.lexicon), ("title", TITLES)):
@@ -574,6 +577,13 @@ def read_lexicon(df: DataFrame, token: str = "token", part: str = "name_part", l
     return {r[0]: r[1] for r in few.orderBy("word").collect()}, None if n <= limit else rows
 
 
+def gram_counts(rows: DataFrame) -> list[tuple[bool, str, int]]:
+    """(of a given name, trigram, count) over all tokens of a lexicon; there are only so many trigrams of letters."""
+    p = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
+    grams = rows.where("length(word) > 0").select((F.col("part") == "given").alias("given"), F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(p, i, F.lit(3)))).alias("g"))
+    return sorted(map(tuple, grams.groupBy("given", "g").count().collect()))
+
+
 def with_known(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(key, text, known): the words of each text that the lexicon holds, as word=part. Words are made distinct before they
     are joined; what meets in one row are the words of one text."""
@@ -583,27 +593,31 @@ def with_known(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return numbered.join(hits, "__row", "left").select("key", "text", "known")
 
 
-#: A word that is in at least this share of the sampled rows (and in three) isn't taken for a name.
+#: A word that is in at least this share of the rows with a text (and in three) isn't taken for a name.
 COMMON_SHARE = 0.005
 
 
-def other_words(df: DataFrame, key: str, text: str, lexicon: dict[str, str], rows: int = OTHER_SAMPLE) -> list[str]:
-    """Words of a bounded sample of rows, labelled as no names for the classifier.
+def other_words(df: DataFrame, text: str, lexicon: dict[str, str], all_words: DataFrame | None = None) -> list[str]:
+    """Words of all rows, labelled as no names for the classifier.
 
-    They are the words in lower case or at the beginning of sentences that are in many of the sampled rows. The rows are
-    picked by their hash and counted by the executors; only the few common words come to the driver.
+    They are the words in lower case or at the beginning of sentences that are in many of the rows. All texts are read and
+    counted by the executors, a batch at a time; only the common words come to the driver: as a text has few words, they are
+    few, however many texts there are. Words of the lexicon are none of them, also of one that isn't broadcast as a whole.
     """
-    picked = hashed_sample(df.select(F.col(key).alias("k"), F.col(text).alias("t")), ["k"], rows, df.count()).where("length(t) > 0").select("t")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(0).to_pylist()
-            found = [w for t in texts for w in common_candidates(t)] + [""] * len(texts)  # "" counts the texts
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["w"])
+            found = Counter(w for t in texts for w in common_candidates(t))
+            found[""] = len(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["w", "n"])
 
-    counts = cut(picked.mapInArrow(words, "w string").groupBy("w").agg(F.count(F.lit(1)).alias("n")), "words")
+    texts = df.select(F.col(text).alias("t")).where("length(t) > 0")
+    counts = cut(texts.mapInArrow(words, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")), "words")
     least = counts.where("w = ''").agg(F.greatest(F.lit(3.0), F.max("n") * COMMON_SHARE).alias("n")).scalar()
     often = counts.where((F.col("n") >= least) & (F.col("w") != "")).select("w")
+    if all_words is not None:
+        often = often.join(all_words.select(F.col("word").alias("w")), "w", "left_anti")
     return sorted({r[0] for r in often.collect()} - {k.lower() for k in lexicon})
 
 
@@ -641,9 +655,10 @@ def mask(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
 
 def _run(df: DataFrame, key: str, text: str, lexicon: DataFrame, masked: bool) -> DataFrame:
     words, all_words = read_lexicon(lexicon)
-    other = other_words(df, key, text, words)
-    digest = hashlib.sha256(repr((sorted(words.items()), other)).encode()).hexdigest()
-    shared, joined = df.sparkSession.sparkContext.broadcast((words, other)), all_words is not None
+    other = other_words(df, text, words, all_words)
+    counted = None if all_words is None else gram_counts(all_words)
+    digest = hashlib.sha256(repr((sorted(words.items()), other, counted)).encode()).hexdigest()
+    shared, joined = df.sparkSession.sparkContext.broadcast((words, other, counted)), all_words is not None
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -90,6 +90,22 @@ def test_lexicon_beyond_the_limit(spark, monkeypatch):
     assert pii.read_lexicon(lex)[1] is not None and [tuple(r) for r in pii.find_cases(docs, "doc_id", "text", lex).collect()] == want == [(1, 10, 25, "name")]
 
 
+def test_other_words_count_all_rows(spark):
+    texts = [f"every pin {'keeps' if i < 30 else 'drops'} rows {i}, word{'abcdefghij'[i % 10] * 3} stays" for i in range(5_000)] + [None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    # 25 of 5,000 rows are the least number: counted in all of them, not in some.
+    assert pii.other_words(df, "text", {"Pin": "given"}) == pii.common_words([t for t in texts if t], {"Pin": "given"})
+    more = spark.createDataFrame([("drops", "family")], "word string, part string")
+    assert "keeps" in pii.other_words(df, "text", {}) and "drops" not in pii.other_words(df, "text", {}, more)
+
+
+def test_trigrams_of_a_large_lexicon(spark):
+    lex = {k.lower(): v for k, v in LEXICON.items()}
+    counted = pii.gram_counts(spark.createDataFrame([*lex.items(), ("", "given")], "word string, part string"))
+    whole, some = pii.NameModel(LEXICON, COMMON), pii.NameModel({"Drolud": "given"}, COMMON, counted)
+    assert whole.weights == some.weights and whole.family_weights == some.family_weights and whole.unseen == some.unseen
+
+
 def test_many_cases_in_one_text(finder):
     import time
 
